@@ -38,5 +38,151 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op2_id_store": op2_id_store, "op4_bpe": op4_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftlake.llm.quality import judge
+
+    return judge(read_table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftlake.llm.common import scratch
+    from siftlake.llm.warc import read_warc, write_warc
+
+    path = scratch(spark, "warc")
+    write_warc(read_table(spark, sf_dir, "pages"), path)
+    return read_warc(spark, path, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+
+#: The listed entries of op7: host, path, action.
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftlake.llm.urlfilter import judge_urls
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftlake.llm.chat import REPLY_SCHEMA, conversation_items, link_calls
+
+    return link_calls(conversation_items(read_table(spark, sf_dir, "conversations")), REPLY_SCHEMA)
+
+
+QUERIES: dict[str, Query] = {
+    "op1_packing": op1_packing,
+    "op2_id_store": op2_id_store,
+    "op4_bpe": op4_bpe,
+    "op5_quality": op5_quality,
+    "op6_warc": op6_warc,
+    "op7_url_filter": op7_url_filter,
+    "op10_chat": op10_chat,
+}
+
+_OP5 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d
+), windows AS (
+  SELECT r, i, array_to_string(words[i:i + 7], ' ') AS g
+  FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM w)
+), twice AS (
+  SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, g) > 1
+), rep AS (
+  SELECT r, count(DISTINCT i + j) AS n FROM twice, range(0, 8) AS s(j) GROUP BY r
+), lines AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), f AS (
+  SELECT doc_id, source, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN rep USING (r) LEFT JOIN lines USING (r)
+), b AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f
+), hosts AS (
+  SELECT source, count(*) AS n, sum(CAST(base_failed AS INT)) AS k FROM b WHERE source IS NOT NULL GROUP BY source
+), prior AS (
+  SELECT sum(k) / sum(n) AS m, greatest(var_pop(k / n), 1e-9) AS v FROM hosts
+), bad AS (
+  SELECT source FROM (
+    SELECT source, k, n, m, least(greatest(m * (1 - m) / v - 1, 1.0), 1e4) AS c FROM hosts, prior
+  ) WHERE (k + m * c) / (n + c) > 0.5
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  bad.source IS NOT NULL AS host_failed, NOT base_failed AND bad.source IS NULL AS kept
+FROM b LEFT JOIN bad ON b.source = bad.source
+"""
+
+_OP7 = """
+WITH rules(rh, rp, action) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+    ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), p AS (
+  SELECT row_number() OVER () AS r, page_id,
+    translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages
+), hit AS (
+  SELECT r, rh || rp AS rule, action,
+    row_number() OVER (PARTITION BY r ORDER BY length(rh || rp) DESC, length(rh) DESC, action DESC) AS k
+  FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict
+FROM p LEFT JOIN (SELECT * FROM hit WHERE k = 1) USING (r)
+"""
+
+_OP10 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), i AS (
+  SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+    CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS asked
+  FROM c
+), l AS (
+  SELECT *, 'call-' || conv_id || '-' || asked AS call_id FROM i
+), calls AS (
+  SELECT conv_id, call_id, min(turn) AS call_turn FROM l WHERE kind = 'call' GROUP BY ALL
+), answered AS (
+  SELECT DISTINCT conv_id, call_id, true AS hit FROM l WHERE kind = 'result'
+), j AS (
+  SELECT l.*, call_turn, hit FROM l LEFT JOIN calls USING (conv_id, call_id) LEFT JOIN answered USING (conv_id, call_id)
+), m AS (
+  SELECT conv_id, turn, kind, call_id,
+    CASE kind WHEN 'call' THEN hit IS NOT NULL WHEN 'result' THEN call_turn IS NOT NULL ELSE false END AS linked,
+    true AS valid, CASE kind WHEN 'result' THEN greatest(turn, coalesce(call_turn, turn)) ELSE turn END AS at_turn,
+    CAST(kind = 'result' AS INT) AS late,
+    '{' || CASE kind WHEN 'call' THEN '"arguments":{"chars":' || length(text) || ',"words":'
+        || len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) || '},' ELSE '' END
+      || CASE WHEN kind = 'message' THEN '' ELSE '"call_id":' || to_json(call_id) || ',' END
+      || '"content":' || to_json(text) || CASE kind WHEN 'call' THEN ',"name":"reply"' ELSE '' END
+      || ',"role":' || to_json(role) || '}' AS message
+  FROM j
+)
+SELECT conv_id, turn, kind, call_id, linked, valid,
+  row_number() OVER (PARTITION BY conv_id ORDER BY at_turn, late, turn, call_id, message) - 1 AS position, message
+FROM m
+"""
+
+_OP6 = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b, coalesce(html, '') AS h FROM pages
+), g AS (
+  SELECT h, max(page_id) AS keep FROM p GROUP BY h
+)
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN page_id = keep OR keep IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = keep OR keep IS NULL THEN NULL ELSE keep END AS refers_to
+FROM p JOIN g USING (h)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_quality": _OP5, "op7_url_filter": _OP7, "op10_chat": _OP10}
