@@ -68,6 +68,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftlake.llm.substring import repeat_digest
+
+    return repeat_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftlake.llm.chat import REPLY_SCHEMA, conversation_items, link_calls
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality": op5_quality,
     "op6_warc": op6_warc,
     "op7_url_filter": op7_url_filter,
+    "op9_substring": op9_substring,
     "op10_chat": op10_chat,
 }
 
