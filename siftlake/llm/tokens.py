@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -18,11 +19,15 @@ import numpy as np
 SPACE = "\t-\r \x85\xa0  -     　"
 #: The byte-level pattern with its three kinds of non-space runs put together.
 BYTE_CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
-#: The word-level pattern drops white space; ASCII white space is always a boundary there.
-WORD_CHUNKS = re.compile("[^ \t-\r]+").findall
+
+
+def word_chunks(text: str) -> list[bytes]:
+    """The word-level pattern drops white space; ASCII white space is always a boundary there."""
+    return text.encode().split()
+
 
 #: Chunks kept per Python worker (about 200 bytes each).
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 500_000
 #: Characters of text looked at together; bounds what a worker holds besides one text.
 GROUP_CHARS = 1 << 20
 LONG_CHUNK = 200
@@ -41,7 +46,10 @@ class ChunkCache:
         if len(cache) > self.entries:
             cache.clear()
         cut = [None if any(s in t for s in self.specials) else self.chunks(t) for t in texts]
-        new = [c for c in {c for cs in cut if cs for c in cs} if c not in cache]
+        seen: set[str] = set()
+        for cs in cut:
+            seen.update(cs or ())
+        new = list(seen.difference(cache))
         if new:
             cache.update(zip(new, self.encode(new), strict=True))
         get = cache.__getitem__
@@ -64,6 +72,67 @@ class ChunkCache:
         return out + self._group(group) if group else out
 
 
+#: Letters of one byte or two that are composed and keep their class in lower case.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+#: A plain chunk: letters, then punctuation; the tokenizer always starts a new word between the two.
+PLAIN = re.compile(f"( ?[{LETTERS}]+)([.,;:!?]*)").fullmatch
+
+
+def byte_characters() -> str:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from 256."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    moved = iter(range(256, 512))
+    return "".join(chr(b if b in own else next(moved)) for b in range(256))
+
+
+class PlainEncoder:
+    """Encodes unseen chunks: plain ones by the library's model, their letters and punctuation apart; others whole."""
+
+    def __init__(self, tok, lower: bool):
+        self.tok, self.model, self.lower = tok, tok.model, lower
+        self.cores: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        self.mapped = dict(enumerate(byte_characters()))
+
+    def each(self, chunks: list[str]) -> list[bytes]:
+        found = self.tok.encode_batch_fast(chunks, add_special_tokens=False) if chunks else []
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def core(self, word: str) -> bytes:
+        """Ids of a run of letters, which is one word to the pre-tokenizer."""
+        if not (word.isascii() and word[0] != " "):
+            word = word.encode().decode("latin-1").translate(self.mapped)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def __call__(self, chunks: list) -> list[bytes]:
+        if len(self.cores) > CACHE_ENTRIES:
+            self.cores.clear()
+        if len(self.tails) > 1000:
+            self.tails = {"": b""}
+        if chunks and isinstance(chunks[0], bytes):
+            chunks = [c.decode() for c in chunks]
+        cores, tails, out, rest = self.cores, self.tails, [], []
+        for k, m in enumerate(map(PLAIN, chunks)):
+            if m is None or m.end() > LONG_CHUNK:
+                rest.append(k)
+                out.append(b"")
+                continue
+            word, tail = m.groups()
+            if self.lower:
+                word = word.lower()
+            ids = cores.get(word)
+            if ids is None:
+                ids = cores[word] = self.core(word)
+            if tail:
+                if tail not in tails:
+                    tails[tail] = self.each([tail])[0]
+                ids += tails[tail]
+            out.append(ids)
+        for k, ids in zip(rest, self.each([chunks[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
+
+
 _encoders: dict[str, ChunkCache] = {}
 
 
@@ -75,12 +144,11 @@ def library_encoder(path: str) -> ChunkCache:
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        pack = lambda ids: np.asarray(ids, dtype="<u4").tobytes()
         byte_level = tok.decoder is not None and tok.normalizer is None
         _encoders[path] = ChunkCache(
-            BYTE_CHUNKS if byte_level else WORD_CHUNKS,
-            lambda new: [pack(e.ids) for e in tok.encode_batch_fast(new, add_special_tokens=False)],
+            BYTE_CHUNKS if byte_level else word_chunks,
+            PlainEncoder(tok, lower=not byte_level),
             [t.content for t in tok.get_added_tokens_decoder().values()],
-            lambda t: pack(tok.encode(t, add_special_tokens=False).ids),
+            lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(),
         )
     return _encoders[path]
