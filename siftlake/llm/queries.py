@@ -68,6 +68,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftlake.llm.minhash import classes
+
+    return classes(read_table(spark, sf_dir, "documents"))
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftlake.llm.substring import repeat_digest
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality": op5_quality,
     "op6_warc": op6_warc,
     "op7_url_filter": op7_url_filter,
+    "op8_minhash": op8_minhash,
     "op9_substring": op9_substring,
     "op10_chat": op10_chat,
 }
