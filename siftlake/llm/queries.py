@@ -32,6 +32,14 @@ def op2_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path, all_keys(docs))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from siftlake.llm.ann import search
+
+    return search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftlake.llm.bpe import round_trip
 
@@ -89,6 +97,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_id_store": op2_id_store,
+    "op3_ann": op3_ann,
     "op4_bpe": op4_bpe,
     "op5_quality": op5_quality,
     "op6_warc": op6_warc,
