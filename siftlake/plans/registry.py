@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list[str] = []
+MODULES = ["cells", "store"]
 
 
 def all_queries() -> dict[str, Query]:
