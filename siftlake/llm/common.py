@@ -68,11 +68,6 @@ def written_bytes(df: DataFrame) -> int:
     return sum(i.size or 0 for i in fs.get_file_info(pafs.FileSelector(p, recursive=True)))
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """Hint a broadcast of a written table only when its files are within ``BROADCAST_BYTES``; else leave it to a shuffle."""
-    return F.broadcast(df) if written_bytes(df) <= BROADCAST_BYTES else df
-
-
 @contextlib.contextmanager
 def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
     """Session settings (dots written as ``__``) for the eager part of an operator."""

@@ -18,13 +18,14 @@ no rows; other columns are ignored, or carried by ``remove_repeats``.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import BROADCAST_BYTES, materialize, small_side, written_bytes
+from siftlake.llm.common import materialize
 from siftlake.llm.wordhash import RangeHash, U, Words, mix, slices
 
 WINDOW = 50
@@ -162,42 +163,48 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def window_rows(candidates: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``w1, w2, doc_id, th, pos`` of the windows in ``ranges`` of ``doc_id, th, text, ranges``."""
+    """``w1, w2, doc_id, th``: the different windows in ``ranges`` of ``doc_id, th, text, ranges``."""
 
     def run(batches):
         for batch in batches:
             texts = batch["text"].cast(pa.binary()).to_pylist()
             ranges = batch["ranges"].to_pylist()
-            ids, ths = batch["doc_id"].to_pylist(), batch["th"].to_pylist()
+            ids, ths = batch["doc_id"].to_numpy(), batch["th"].to_numpy()
             for x, y in slices([len(t) for t in texts], SLICE_BYTES // 2):
                 words = Words(texts[x:y])
                 at = [
                     (words.first[k - x] + np.unique(np.concatenate([np.arange(r["i0"], r["i1"] + 1) for r in ranges[k]])))
                     for k in range(x, y)
                 ]
-                lengths = [len(p) for p in at]
-                at = np.concatenate(at)
-                w1 = RangeHash(words.hashes)(at, at + window).view(np.int64)
-                w2 = (RangeHash(words.hashes, 1)(at, at + window) >> U(32)).astype(np.uint32).view(np.int32)
-                pos = (at - np.repeat(words.first[: y - x], lengths)).astype(np.int32)
-                cols = [w1, w2, np.repeat(np.array(ids[x:y]), lengths), np.repeat(np.array(ths[x:y]), lengths), pos]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["w1", "w2", "doc_id", "th", "pos"])
+                doc = np.repeat(np.arange(x, y), [len(p) for p in at])
+                w1, w2 = window_hashes(words, np.concatenate(at), window)
+                order = np.lexsort((w2, w1, doc))
+                w1, w2, doc = w1[order], w2[order], doc[order]
+                new = np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]) | (doc[1:] != doc[:-1])])
+                cols = [w1[new], w2[new], ids[doc[new]], ths[doc[new]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["w1", "w2", "doc_id", "th"])
 
-    return candidates.mapInArrow(run, "w1 long, w2 int, doc_id long, th long, pos int")
+    return candidates.mapInArrow(run, "w1 long, w2 int, doc_id long, th long")
+
+
+def window_hashes(words: Words, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two hashes of the windows that start at ``at``."""
+    second = RangeHash(words.hashes, 1)(at, at + window) >> U(32)
+    return RangeHash(words.hashes)(at, at + window).view(np.int64), second.astype(np.uint32).view(np.int32)
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The scan without stretches, and ``doc_id, th, ranges`` of the words to remove (``ranges`` of ``i0`` to before ``i1``)."""
+    """The scan without stretches, and what goes: ``doc_id, th, ranges`` (words ``i0`` to before ``i1``), ``windows`` (hashes)."""
     scanned = materialize(scan(docs, window), "substring-scan")
     base = scanned.drop("stretches")
     long_ = base.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     first = long_.groupBy("q1", "q2", "n_words").agg(F.min("doc_id").alias("m"), F.count("*").alias("n")).where("n > 1")
     first = materialize(first.drop("n"), "substring-copies")
-    copies = long_.join(small_side(first), ["q1", "q2", "n_words"]).where("doc_id > m")
+    copies = long_.join(first, ["q1", "q2", "n_words"]).where("doc_id > m")
     copies = materialize(copies.select("doc_id", "th", "n_words").distinct(), "substring-copied")
 
     own = scanned.where(F.col("doc_id").isNotNull()).select("doc_id", "th", "stretches")
-    own = own.join(small_side(copies).select("doc_id", "th"), ["doc_id", "th"], "left_anti")
+    own = own.join(copies.select("doc_id", "th"), ["doc_id", "th"], "left_anti")
     rows = own.select("doc_id", "th", F.inline("stretches"))
     shared = rows.where("key <> 0").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
     rows_shared = materialize(rows.join(shared.select("key"), "key"), "substring-shared")
@@ -213,20 +220,28 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Data
     single = single.union(rows.where("key = 0").select("doc_id", "th", "i0", "i1"))
     ranges = F.collect_list(F.struct("i0", "i1")).alias("ranges")
     asked = materialize(single.groupBy("doc_id", "th").agg(ranges), "substring-asked")
-    windows = materialize(window_rows(identified(docs).join(small_side(asked), ["doc_id", "th"]), window), "substring-windows")
+    windows = materialize(window_rows(identified(docs).join(asked, ["doc_id", "th"]), window), "substring-windows")
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x")
     found = windows.join(least, ["w1", "w2"]).where("doc_id > m")
-    one = found.select("doc_id", "th", F.col("pos").alias("i0"), (F.col("pos") + window).alias("i1"))
+    one = found.select("doc_id", "th", F.struct("w1", "w2").alias("w")).groupBy("doc_id", "th").agg(F.collect_list("w").alias("windows"))
     copied = copies.select("doc_id", "th", F.lit(0).alias("i0"), F.col("n_words").cast("int").alias("i1"))
-    removed = whole.union(one).distinct().groupBy("doc_id", "th").agg(ranges)
-    removed = removed.union(copied.select("doc_id", "th", F.array(F.struct("i0", "i1")).alias("ranges")))
-    return base, materialize(removed, "substring-removed")
+    whole = whole.union(copied).distinct().groupBy("doc_id", "th").agg(ranges)
+    return base, materialize(whole.join(one, ["doc_id", "th"], "full"), "substring-removed")
 
 
-def _keep_mask(n: int, ranges: list[dict]) -> np.ndarray:
+def _keep_mask(words: Words, ranges: list[dict] | None, windows: list[dict] | None, window: int) -> np.ndarray:
+    """Which words of a single text stay: those outside ``ranges`` and outside windows with the hashes of ``windows``."""
+    n = len(words.hashes)
     steps = np.zeros(n + 1, np.int64)
-    np.add.at(steps, [r["i0"] for r in ranges], 1)
-    np.add.at(steps, [r["i1"] for r in ranges], -1)
+    np.add.at(steps, [r["i0"] for r in ranges or []], 1)
+    np.add.at(steps, [r["i1"] for r in ranges or []], -1)
+    if windows:
+        w1, w2 = window_hashes(words, np.arange(n - window + 1), window)
+        hit = np.flatnonzero(np.isin(w1, [w["w1"] for w in windows]))
+        known = {(w["w1"], w["w2"]) for w in windows}
+        hit = np.array([i for i in hit if (int(w1[i]), int(w2[i])) in known], np.int64)
+        np.add.at(steps, hit, 1)
+        np.add.at(steps, hit + window, -1)
     return np.cumsum(steps[:n]) == 0
 
 
@@ -237,15 +252,15 @@ def repeat_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches):
         for batch in batches:
             n, sha = [], []
-            for text, ranges in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["ranges"].to_pylist(), strict=True):
-                words = (text or b"").split()
-                keep = _keep_mask(len(words), ranges)
-                n.append(len(words) - int(keep.sum()))
-                sha.append(hashlib.sha256(b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k)).hexdigest())
+            lists = (batch["ranges"].to_pylist(), batch["windows"].to_pylist())
+            for text, ranges, windows in zip(batch["text"].cast(pa.binary()).to_pylist(), *lists, strict=True):
+                keep = _keep_mask(Words([text or b""]), ranges, windows, window).tolist()
+                n.append(len(keep) - sum(keep))
+                sha.append(hashlib.sha256(b" ".join(itertools.compress((text or b"").split(), keep))).hexdigest())
             cols = [batch["doc_id"], batch["th"], pa.array(n, pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "n_removed", "sha"])
 
-    texts = identified(docs).join(small_side(removed), ["doc_id", "th"]).select("doc_id", "th", "text", "ranges")
+    texts = identified(docs).join(removed, ["doc_id", "th"]).select("doc_id", "th", "text", "ranges", "windows")
     cut = texts.mapInArrow(run, "doc_id long, th long, n_removed long, sha string").distinct()
     out = base.select("doc_id", "th", "n_words", "full_sha").join(cut, ["doc_id", "th"], "left")
     return out.select(
@@ -257,33 +272,32 @@ def repeat_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with repeated words cut out of their texts; those of which nothing is left go."""
     _, removed = find_repeats(docs, window)
-    small = written_bytes(removed) <= BROADCAST_BYTES
     columns, schema = docs.columns, docs.schema
     marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
-    removed = removed.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("ranges").alias("__ranges"))
-    marked = marked.join(F.broadcast(removed) if small else removed, ["__id", "__th"], "left")
+    removed = removed.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.struct("ranges", "windows").alias("__gone"))
+    marked = marked.join(removed, ["__id", "__th"], "left")
 
     def run(batches):
         for batch in batches:
             texts = batch["text"].to_pylist()
-            for k, ranges in enumerate(batch["__ranges"].to_pylist()):
-                if ranges:
-                    texts[k] = cut_text(texts[k], ranges)
+            for k, gone in enumerate(batch["__gone"].to_pylist()):
+                if gone:
+                    texts[k] = cut_text(texts[k], gone["ranges"], gone["windows"], window)
             cols = {c: batch[c] for c in columns}
             cols["text"] = pa.array(texts, pa.string())
             if "n_chars" in cols:
                 cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    out = marked.select(*columns, "__ranges").mapInArrow(run, schema)
+    out = marked.select(*columns, "__gone").mapInArrow(run, schema)
     return out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def cut_text(text: str, ranges: list[dict]) -> str:
-    """``text`` without the words in ``ranges`` and the blanks after them; the rest keeps its own blanks."""
+def cut_text(text: str, ranges: list[dict] | None, windows: list[dict] | None, window: int = WINDOW) -> str:
+    """``text`` without those words and the blanks after them; the rest keeps its own blanks."""
     raw = text.encode()
     words = Words([raw])
-    keep = _keep_mask(len(words.start), ranges)
+    keep = _keep_mask(words, ranges, windows, window)
     starts = np.append(words.start, len(raw))
     parts = [raw[: starts[0]]]
     edges = np.flatnonzero(np.diff(np.concatenate([[False], keep, [False]]).astype(np.int8)))

@@ -28,7 +28,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from siftlake.llm.common import filesystem, materialize, small_side
+from siftlake.llm.common import filesystem, materialize
 
 SCHEMA = (
     "page_id long, record_type string, record_id string, target_uri string, payload_digest string, payload_bytes long, "
@@ -324,7 +324,7 @@ def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     size = F.octet_length(F.coalesce("html", F.lit("")))
     groups = own.where(size >= least_bytes).groupBy("__digest").agg(F.count("*").alias("n"), F.max("page_id").alias("keep"))
     groups = materialize(groups.where("n > 1 AND keep IS NOT NULL").select("__digest", "keep"), "warc-groups")
-    joined = own.join(small_side(groups), "__digest", "left")
+    joined = own.join(groups, "__digest", "left")
     revisit = F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
     return joined.select(
         "page_id", "url", "html", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
