@@ -3,10 +3,10 @@
 A document is the multiset of its shingles of ``SHINGLE`` words (lower case, punctuation apart). Darts are thrown by
 hashing: each cell of one unit of a shingle's weight and one unit of rank holds a Poisson number of darts with a rank and
 a coordinate; the earliest dart of every coordinate is the signature, in O(k log k + words) whatever the weights. Equal
-word sequences are put together first. Documents that share a band meet the band's smallest document; pairs are verified
-by their exact weighted Jaccard similarity; connected components are the classes. Bands whose documents ended in more
-than one class then have every remaining pair with a document outside their largest class verified, so that no link of a
-shared band is lost.
+word sequences are put together first. Documents that share a band (a bucket) meet a central
+document of it; pairs are verified by their exact weighted Jaccard similarity; connected components are the classes.
+Buckets whose documents ended in more than one component then have every pair with a document outside their largest one
+compared, large buckets in blocks that emit links only, so that no link of a shared band is lost.
 
 Defined results: a null text, or one without words, is alone in its class; fewer than ``SHINGLE`` words are one shingle;
 documents without ``doc_id`` are left out of classes by ``classes`` and kept by ``keep_one``; repeated rows are in one
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import BROADCAST_BYTES, connected_components, materialize, small_side, written_bytes
+from siftlake.llm.common import connected_components, materialize
 from siftlake.llm.wordhash import PUNCTUATION, RangeHash, U, Words, mix, slices
 
 SHINGLE = 5
@@ -31,6 +31,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 30, 5
 COORDINATES = BANDS * ROWS
 SLICE_BYTES = 1 << 20
+#: Buckets of up to so many texts are compared by a join of pairs, larger ones in blocks of ``BLOCK`` within tasks.
+SMALL_BUCKET, BLOCK = 16, 1024
 RANK_BITS = 40
 
 
@@ -161,51 +163,99 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def bucket_links(outside: pa.Table, everyone: pa.Table, threshold: float) -> pa.Table:
+    """Links of one bucket's block: pairs of different components, only those that join what is not joined yet."""
+    links: list[tuple[int, int]] = []
+    if len(outside) and len(everyone):
+        sets = [np.frombuffer(x, np.uint32) for x in everyone["shingles_"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        universe, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(size) - size
+        reps, component = everyone["rep_"].to_numpy(), everyone["component_"].to_numpy().copy()
+        xs = zip(outside["rep"].to_pylist(), outside["component"].to_pylist(), outside["shingles"].to_pylist(), strict=True)
+        joined: dict[int, int] = {}
+        for rep, own, raw in xs:
+            while own in joined:
+                own = joined[own]
+            x = np.frombuffer(raw, np.uint32)
+            at = np.minimum(np.searchsorted(universe, x), len(universe) - 1)
+            held = np.zeros(len(universe), np.int32)
+            held[at[universe[at] == x]] = 1
+            both = np.add.reduceat(held[ids], starts)
+            near = np.flatnonzero(both >= threshold * (len(x) + size - both) - 1e-9)
+            for k in near[component[near] != own]:
+                if component[k] != own:
+                    links.append((rep, int(reps[k])))
+                    joined[int(component[k])] = own
+                    component[component == component[k]] = own
+    return pa.table({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, class_id, n_links`` of every document; ``class_id`` is the smallest ``doc_id`` of its class."""
+    """``doc_id, class_id`` of every document; ``class_id`` is the smallest ``doc_id`` of its class."""
     signed = materialize(sign(docs), "minhash-signed")
     texts = signed.where(F.col("bands").isNotNull()).groupBy("q1", "q2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     texts = materialize(texts, "minhash-texts")
     bands = texts.select("rep", F.posexplode("bands").alias("band", "key"))
-    pivots = bands.groupBy("band", "key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pivots = materialize(pivots, "minhash-pivots")
-    members = materialize(bands.join(small_side(pivots), ["band", "key"]).select("band", "key", "rep", "a"), "minhash-members")
-    pairs = materialize(members.where("rep > a").select("a", F.col("rep").alias("b")).distinct(), "minhash-pairs")
+    shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(bands.join(materialize(shared, "minhash-shared"), ["band", "key"]), "minhash-members")
+
+    # The pivot of a bucket is its document with the most band partners overall: the centre of a group of copies, to
+    # which the others are nearer than to each other.
+    degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
+    ranked = members.join(degree, "rep")
+    pivots = ranked.groupBy("band", "key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("minus"))).alias("top"))
+    pivots = pivots.select("band", "key", (-F.col("top.minus")).alias("pivot"))
+    pairs = members.join(pivots, ["band", "key"]).where("rep <> pivot")
+    pairs = materialize(pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), "minhash-pairs")
 
     ids = materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "minhash-ids")
     rows = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull())
-    wanted = rows.join(small_side(ids), "doc_id", "left_semi")
+    wanted = rows.join(ids, "doc_id", "left_semi")
     sets = materialize(shingle_sets(wanted).dropDuplicates(["doc_id"]), "minhash-sets")
     links = materialize(verify(pairs, sets, threshold), "minhash-links")
     component = materialize(connected_components(links), "minhash-components")
 
-    # Bands with several classes: every pair not yet verified with a document outside the band's largest class.
+    # Buckets with several components: every pair of a document outside the largest with one of another component.
     where = component.select(F.col("node").alias("rep"), "component")
-    at = members.drop("a").join(where, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    at = members.join(where, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = at.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band", "key").agg(
         F.count("*").alias("m"), F.sum("n").alias("all"), F.max_by("component", F.struct("n", "component")).alias("largest")
-    ).where("m > 1 AND all > 2").select("band", "key", "largest")
-    at = materialize(at.join(mixed, ["band", "key"]), "minhash-mixed")
-    outside = at.where("component <> largest").select("band", "key", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    every = at.select("band", "key", F.col("rep").alias("y"), F.col("component").alias("cy"))
-    more = outside.join(every, ["band", "key"]).where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    more = more.distinct().join(pairs, ["a", "b"], "left_anti")
-    links = materialize(links.union(verify(materialize(more, "minhash-more"), sets, threshold)), "minhash-all-links")
-    component = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("class"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-
-    texts = texts.select("q1", "q2", "rep").join(component, "rep", "left").join(degree, "rep", "left")
+    ).where("m > 1 AND all > 2").select("band", "key", "all", "largest")
+    at = materialize(at.drop("n").join(mixed, ["band", "key"]), "minhash-mixed")
+    outside = lambda df: df.where("component <> largest")
+
+    few = at.where(F.col("all") <= SMALL_BUCKET)
+    x = outside(few).select("band", "key", F.col("rep").alias("x"), F.col("component").alias("cx"))
+    y = few.select("band", "key", F.col("rep").alias("y"), F.col("component").alias("cy"))
+    more = x.join(y, ["band", "key"]).where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    more = materialize(more.distinct().join(pairs, ["a", "b"], "left_anti"), "minhash-more")
+
+    # Larger ones are compared in blocks within tasks; only links leave them.
+    many = at.where(F.col("all") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int"))
+    many = many.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    deal = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col("blocks")).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    block = ["band", "key", "xb", "yb"]
+    left = outside(many).withColumn("xb", deal("x")).withColumn("yb", others).select(*block, "rep", "component", "shingles")
+    right = many.withColumn("yb", deal("y")).withColumn("xb", others).select(*block, "rep", "component", "shingles")
+    right = right.select(*[F.col(c).alias(f"{c}_") for c in right.columns])  # apart from the left side's columns
+    blocked = left.groupBy(*block).cogroup(right.groupBy(*[f"{c}_" for c in block])).applyInArrow(
+        lambda a, b: bucket_links(a, b, threshold), "a long, b long"
+    )
+    links = links.union(verify(more, sets, threshold)).union(blocked)
+    component = connected_components(links, name="cc2").select(F.col("node").alias("rep"), F.col("component").alias("class"))
+
+    texts = texts.select("q1", "q2", "rep").join(component, "rep", "left")
     out = signed.select("doc_id", "q1", "q2", F.col("bands").isNull().alias("alone"))
     out = out.join(texts, ["q1", "q2"], "left")
     found = F.when(F.col("alone"), F.col("doc_id")).otherwise(F.coalesce("class", "rep"))
-    return out.select("doc_id", found.alias("class_id"), F.coalesce(F.when(~F.col("alone"), F.col("links")), F.lit(0).cast("long")).alias("n_links"))
+    return out.select("doc_id", found.alias("class_id"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with one of each class, that of the smallest ``doc_id``; rows of equal ``doc_id`` stay together."""
     found = classes(docs, threshold)
     drop = materialize(found.where("doc_id <> class_id").select(F.col("doc_id").alias("__drop")).distinct(), "minhash-drop")
-    small = written_bytes(drop) <= BROADCAST_BYTES
-    drop = F.broadcast(drop) if small else drop
     return docs.join(drop, F.col("doc_id").cast("long") == F.col("__drop"), "left_anti")
