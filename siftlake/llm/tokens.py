@@ -21,6 +21,22 @@ SPACE = "\t-\r \x85\xa0  -     　"
 BYTE_CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
 
 
+ASIS = "\0"
+OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+
+
+def byte_keys(text: str) -> list[str]:
+    """Chunks of the byte-level pattern as keys: a word stands for itself after a blank, one with ``\\n`` in front for a
+    line's first word, one with ``ASIS`` in front for just what follows. Texts with runs of white space go by the pattern."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or ASIS in text or OTHER_SPACE(text):
+        return [ASIS + c for c in BYTE_CHUNKS(text)]
+    keys = text.replace("\n", " \n").split(" ")
+    keys[0] = ASIS + keys[0]
+    if keys[-1] in ("", "\n"):
+        return [ASIS + c for c in BYTE_CHUNKS(text)]
+    return keys
+
+
 def word_chunks(text: str) -> list[bytes]:
     """The word-level pattern drops white space; ASCII white space is always a boundary there."""
     return text.encode().split()
@@ -75,7 +91,7 @@ class ChunkCache:
 #: Letters of one byte or two that are composed and keep their class in lower case.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 #: A plain chunk: letters, then punctuation; the tokenizer always starts a new word between the two.
-PLAIN = re.compile(f"( ?[{LETTERS}]+)([.,;:!?]*)").fullmatch
+PLAIN = re.compile(f"([{LETTERS}]+)([!-&(-/:-@[-`{{-~]*)").fullmatch
 
 
 def byte_characters() -> str:
@@ -99,27 +115,34 @@ class PlainEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def core(self, word: str) -> bytes:
-        """Ids of a run of letters, which is one word to the pre-tokenizer."""
-        if not (word.isascii() and word[0] != " "):
-            word = word.encode().decode("latin-1").translate(self.mapped)
-        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        """Ids of a run of letters, perhaps after a blank, which is one word to the pre-tokenizer."""
+        blank, letters = (self.mapped[32], word[1:]) if word[0] == " " else ("", word)
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.mapped)
+        return array("I", [t.id for t in self.model.tokenize(blank + letters)]).tobytes()
 
-    def __call__(self, chunks: list) -> list[bytes]:
+    def __call__(self, keys: list) -> list[bytes]:
         if len(self.cores) > CACHE_ENTRIES:
             self.cores.clear()
         if len(self.tails) > 1000:
             self.tails = {"": b""}
-        if chunks and isinstance(chunks[0], bytes):
-            chunks = [c.decode() for c in chunks]
+        if keys and isinstance(keys[0], bytes):
+            keys = [c.decode() for c in keys]
         cores, tails, out, rest = self.cores, self.tails, [], []
-        for k, m in enumerate(map(PLAIN, chunks)):
-            if m is None or m.end() > LONG_CHUNK:
-                rest.append(k)
-                out.append(b"")
-                continue
-            word, tail = m.groups()
-            if self.lower:
-                word = word.lower()
+        for k, key in enumerate(keys):
+            before = " "
+            if key.isascii() and key.isalpha() and len(key) < LONG_CHUNK:
+                word, tail = key, ""
+            else:
+                m = PLAIN(key)
+                if m is None and not self.lower and key[0] in "\n\0":
+                    m, before = PLAIN(key, 1), key[0]
+                if m is None or m.end() > LONG_CHUNK:
+                    rest.append(k)
+                    out.append(b"")
+                    continue
+                word, tail = m.groups()
+            word = word.lower() if self.lower else f" {word}" if before == " " else word
             ids = cores.get(word)
             if ids is None:
                 ids = cores[word] = self.core(word)
@@ -127,8 +150,13 @@ class PlainEncoder:
                 if tail not in tails:
                     tails[tail] = self.each([tail])[0]
                 ids += tails[tail]
+            if before == "\n":
+                if before not in tails:
+                    tails[before] = self.each([before])[0]
+                ids = tails[before] + ids
             out.append(ids)
-        for k, ids in zip(rest, self.each([chunks[k] for k in rest]), strict=True):
+        plain = lambda key: key if self.lower or key[0] == "\n" else key[1:] if key[0] == ASIS else f" {key}"
+        for k, ids in zip(rest, self.each([plain(keys[k]) for k in rest]), strict=True):
             out[k] = ids
         return out
 
@@ -146,7 +174,7 @@ def library_encoder(path: str) -> ChunkCache:
         tok.no_padding()
         byte_level = tok.decoder is not None and tok.normalizer is None
         _encoders[path] = ChunkCache(
-            BYTE_CHUNKS if byte_level else word_chunks,
+            byte_keys if byte_level else word_chunks,
             PlainEncoder(tok, lower=not byte_level),
             [t.content for t in tok.get_added_tokens_decoder().values()],
             lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(),
