@@ -56,19 +56,22 @@ def pii_summary(found: DataFrame, by: list[str] | None = None) -> DataFrame:
     return found.groupBy(*(by or [])).agg(*counted)
 
 
-def ingest_summary(rows: DataFrame, found: DataFrame, weak: DataFrame | None = None) -> DataFrame:
-    """S-01 by file: rows with the header, rows with an e-mail, distinct e-mails, hashed and weak credentials."""
+def ingest_summary(rows: DataFrame, found: DataFrame, weak_hashes: DataFrame | None = None, weak_plain: DataFrame | None = None) -> DataFrame:
+    """S-01 by file: rows with the header, rows with an e-mail, distinct e-mails, rows with hashes of weak passwords.
+
+    ``weak_hashes`` and ``weak_plain``: cells that a probe found (``file_id, row_idx``); without the latter no weak
+    passwords count, as plaintext is probed in strict mode only.
+    """
     total = rows.where("row_idx IS NOT NULL").groupBy("file_id").agg(F.count("*").alias("rows_processed"))
-    per_row = found.groupBy("file_id", "row_idx").agg(F.max(F.col("email").isNotNull()).alias("has"), F.max("is_hash").alias("hashed"))
-    stats = per_row.groupBy("file_id").agg(
-        F.count_if("has").alias("unique_addresses"), F.count_if("hashed").alias("hashed_credentials")
-    )
+    per_row = found.groupBy("file_id", "row_idx").agg(F.max(F.col("email").isNotNull()).alias("has"))
+    stats = per_row.groupBy("file_id").agg(F.count_if("has").alias("unique_addresses"))
     distinct = found.groupBy("file_id").agg(F.count_distinct("email").alias("distinct_addresses"))
     out = total.join(stats, "file_id", "left").join(distinct, "file_id", "left")
-    if weak is not None:
-        out = out.join(weak.groupBy("file_id").agg(F.count_distinct("row_idx").alias("weak_passwords")), "file_id", "left")
-    else:
-        out = out.withColumn("weak_passwords", F.lit(0).cast("long"))
+    for name, cells in (("hashed_credentials", weak_hashes), ("weak_passwords", weak_plain)):
+        if cells is None:
+            out = out.withColumn(name, F.lit(0).cast("long"))
+        else:
+            out = out.join(cells.groupBy("file_id").agg(F.count_distinct("row_idx").alias(name)), "file_id", "left")
     return out.withColumn("breached_addresses", F.lit(0).cast("long")).na.fill(0)
 
 

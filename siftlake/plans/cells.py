@@ -196,15 +196,21 @@ def s03(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("row_idx", F.size("findings").cast("long").alias("n_findings"), F.size("emails").cast("long").alias("n_emails"), "row_number")
 
 
-@query("s01_ingest_summary", LABELLED_SQL + """, r AS (SELECT row_id, max(regexp_matches(trim(value), '^[^@ ]+@([^@. ]+\\.)+[a-zA-Z]{2,}$')) AS m,
-max(regexp_matches(value, '^[0-9a-f]{32}$') OR (regexp_matches(trim(value), '^[A-Za-z0-9+/=]+$') AND length(trim(value)) % 4 = 0 AND length(trim(value)) >= 24)) AS h FROM l GROUP BY 1)
-SELECT count(*) AS rows_processed, count(*) FILTER (m) AS unique_addresses, count(*) FILTER (h) AS hashed_credentials,
-(SELECT count(DISTINCT trim(value)) FROM l WHERE regexp_matches(trim(value), '^[^@ ]+@([^@. ]+\\.)+[a-zA-Z]{2,}$')) AS distinct_addresses,
-CAST(0 AS BIGINT) AS weak_passwords, CAST(0 AS BIGINT) AS breached_addresses FROM r""")
+_MAIL = "regexp_matches(trim(value), '^[^@ ]+@([^@. ]+\\.)+[a-zA-Z]{2,}$')"
+
+
+@query("s01_ingest_summary", f"""WITH cells AS ({CELLS_SQL}), words AS ({_WEAK_SQL}), h AS (SELECT md5(w) AS h FROM words UNION SELECT sha256(w) FROM words),
+r AS (SELECT row_id, max({_MAIL}) AS m, max(lower(value) IN (SELECT h FROM h)) AS k FROM cells GROUP BY 1)
+SELECT count(*) AS rows_processed, count(*) FILTER (m) AS unique_addresses, count(*) FILTER (k) AS hashed_credentials,
+(SELECT count(DISTINCT trim(value)) FROM cells WHERE {_MAIL}) AS distinct_addresses, (SELECT count(DISTINCT row_id) FROM cells WHERE value IN (SELECT w FROM words)) AS weak_passwords, CAST(0 AS BIGINT) AS breached_addresses FROM r""")
 def s01(spark: SparkSession, sf: str) -> DataFrame:
     found = cells(spark, sf).select(F.lit("f").alias("file_id"), F.col("row_id").alias("row_idx"), F.lit(0).alias("col_idx"), "col_name", "value")
     rows = table(spark, sf, "customer").select(F.lit("f").alias("file_id"), F.col("c_custkey").alias("row_idx"))
-    return report.ingest_summary(rows, report.findings(found)).drop("file_id")
+    words = wordlist.builtin_words(spark)
+    hashes = wordlist.digests(wordlist.rainbow_table(words, with_ntlm=False))
+    weak = wordlist.weak_hash_probe(found, "value", hashes).where("plaintext IS NOT NULL")
+    plain = wordlist.weak_plaintext_probe(found, "value", words)
+    return report.ingest_summary(rows, report.findings(found), weak, plain).drop("file_id")
 
 
 _FOLD = "trim(regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '\\s+', ' ', 'g'))"

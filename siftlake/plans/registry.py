@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["cells", "store"]
+MODULES = ["cells", "store", "files"]
 
 
 def all_queries() -> dict[str, Query]:
