@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions.hashing import is_credential_hash, row_hash, sha256
 from siftlake.functions.text import normalize_row
+from siftlake.scratch import written
 
 ADDRESS_HEADER = "mail|email|addr|address"
 CREDENTIAL_HEADER = "pass|pwd|password|credential|secret"
@@ -55,7 +56,7 @@ def event_log(rows: DataFrame, history: dict[str, DataFrame] | None = None, norm
     """
     history = history or {}
     where = ["file_seq", "file_id", "row_idx"]
-    ext = extract(rows, normalized)
+    ext = written(extract(rows, normalized).drop("header"), "extracted")  # read by every branch below
 
     def events(df: DataFrame, kind: str, **cols: Column) -> DataFrame:
         given = {c: cols.get(c, F.lit(None).cast("string")) for c in ("address_hash", "credential_hash", "row_hash")}
