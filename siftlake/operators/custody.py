@@ -54,7 +54,10 @@ class Signer:
 
     @property
     def public_key(self) -> str:
-        return bytes(self.pair.getPublic().getEncoded()).hex()
+        security = self.jvm.java.security
+        kind = self.jvm.java.lang.Class.forName("java.security.spec.X509EncodedKeySpec")
+        spec = security.KeyFactory.getInstance("Ed25519").getKeySpec(self.pair.getPublic(), kind)
+        return bytes(spec.getEncoded()).hex()
 
     def sign(self, record: CustodyRecord) -> CustodyRecord:
         s = self.jvm.java.security.Signature.getInstance("Ed25519")

@@ -10,12 +10,14 @@ from collections.abc import Iterator
 def parse_csv(text: str) -> list[list[str]]:
     """A-01: quotes toggle anywhere, doubled quotes inside quotes are one, CR is dropped, an open quote takes the rest."""
     rows, row, cell, quoted = [], [], [], False
-    for token in re.findall(r'""|"|,|\n|\r|[^",\r\n]+', text):
-        if token == '""':
-            if quoted:
-                cell.append('"')
-            else:  # opens and closes at once
-                continue
+    tokens = re.findall(r'"|,|\n|\r|[^",\r\n]+', text)
+    doubled = False
+    for token, after in zip(tokens, [*tokens[1:], ""][: len(tokens)], strict=True):
+        if doubled:  # the second of two quotes within quotes
+            doubled = False
+        elif token == '"' and quoted and after == '"':
+            cell.append('"')
+            doubled = True
         elif token == '"':
             quoted = not quoted
         elif token == "\r":
