@@ -24,31 +24,38 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-# The event log. History: what the first rows of the dump (order keys below 3000) already told.
+# The event log. History: the events of an earlier dump, made from the customers.
+_OLD_CELLS = [
+    "'Cust' || CAST(c_custkey % 300 AS STRING) || '@Example.com'", "'user' || CAST(c_custkey % 700 AS STRING)",
+    "'pw' || CAST(c_custkey % 23 AS STRING)",
+]
 _HISTORY_SQL = (
-    DUMP_SQL + ", old AS (SELECT * FROM good WHERE row_idx < 3000), new AS (SELECT * FROM good WHERE row_idx >= 3000), "
+    DUMP_SQL + ", oldc AS (SELECT lower(" + _OLD_CELLS[0] + ") AS email, " + _OLD_CELLS[1] + " AS username, " + _OLD_CELLS[2] + " AS password FROM customer), "
+    "old AS (SELECT sha256(email) AS address_hash, sha256(password) AS credential_hash, sha256(email || '|' || username || '|' || password) AS row_hash FROM oldc), "
     "oa AS (SELECT DISTINCT address_hash FROM old), oc AS (SELECT DISTINCT credential_hash FROM old), "
     "op AS (SELECT DISTINCT address_hash, credential_hash FROM old), orr AS (SELECT DISTINCT row_hash FROM old), "
-    "fa AS (SELECT address_hash, min(row_idx) AS row_idx FROM new WHERE address_hash NOT IN (SELECT address_hash FROM oa) GROUP BY 1), "
-    "fc AS (SELECT credential_hash, min(row_idx) AS row_idx FROM new WHERE credential_hash NOT IN (SELECT credential_hash FROM oc) GROUP BY 1), "
-    "fp AS (SELECT address_hash, credential_hash, min(row_idx) AS row_idx FROM new ANTI JOIN op USING (address_hash, credential_hash) GROUP BY ALL), "
-    "fr AS (SELECT row_hash, min(row_idx) AS row_idx FROM new WHERE row_hash NOT IN (SELECT row_hash FROM orr) GROUP BY 1) "
+    "fa AS (SELECT address_hash, min(row_idx) AS row_idx FROM good WHERE address_hash NOT IN (SELECT address_hash FROM oa) GROUP BY 1), "
+    "fc AS (SELECT credential_hash, min(row_idx) AS row_idx FROM good WHERE credential_hash NOT IN (SELECT credential_hash FROM oc) GROUP BY 1), "
+    "fp AS (SELECT address_hash, credential_hash, min(row_idx) AS row_idx FROM good ANTI JOIN op USING (address_hash, credential_hash) GROUP BY ALL), "
+    "fr AS (SELECT row_hash, min(row_idx) AS row_idx FROM good WHERE row_hash NOT IN (SELECT row_hash FROM orr) GROUP BY 1) "
 )
 _EVENTS = {
-    "f03_malformed_row": ("malformed_row", "SELECT row_idx, CAST(NULL AS VARCHAR) AS address_hash, CAST(NULL AS VARCHAR) AS credential_hash, CAST(NULL AS VARCHAR) AS row_hash FROM dump WHERE malformed AND row_idx >= 3000"),
+    "f03_malformed_row": ("malformed_row", "SELECT row_idx, CAST(NULL AS VARCHAR) AS address_hash, CAST(NULL AS VARCHAR) AS credential_hash, CAST(NULL AS VARCHAR) AS row_hash FROM dump WHERE malformed"),
     "f07_new_address": ("new_address", "SELECT row_idx, address_hash, CAST(NULL AS VARCHAR) AS credential_hash, CAST(NULL AS VARCHAR) AS row_hash FROM fa"),
     "f08_credential_hash": ("credential_hash", "SELECT row_idx, CAST(NULL AS VARCHAR) AS address_hash, credential_hash, CAST(NULL AS VARCHAR) AS row_hash FROM fc"),
     "f09_addr_cred": ("addr_cred", "SELECT row_idx, address_hash, credential_hash, CAST(NULL AS VARCHAR) AS row_hash FROM fp"),
     "f10_known_address_new_credential": ("known_address_new_credential", "SELECT row_idx, address_hash, credential_hash, CAST(NULL AS VARCHAR) AS row_hash FROM fp WHERE NOT EXISTS (SELECT 1 FROM fa WHERE fa.address_hash = fp.address_hash AND fa.row_idx = fp.row_idx)"),
-    "f11_duplicate_row": ("duplicate_row", "SELECT row_idx, CAST(NULL AS VARCHAR) AS address_hash, CAST(NULL AS VARCHAR) AS credential_hash, row_hash FROM new WHERE NOT EXISTS (SELECT 1 FROM fr WHERE fr.row_hash = new.row_hash AND fr.row_idx = new.row_idx)"),
+    "f11_duplicate_row": ("duplicate_row", "SELECT row_idx, CAST(NULL AS VARCHAR) AS address_hash, CAST(NULL AS VARCHAR) AS credential_hash, row_hash FROM good WHERE NOT EXISTS (SELECT 1 FROM fr WHERE fr.row_hash = good.row_hash AND fr.row_idx = good.row_idx)"),
     "f11_row": ("row", "SELECT row_idx, CAST(NULL AS VARCHAR) AS address_hash, CAST(NULL AS VARCHAR) AS credential_hash, row_hash FROM fr"),
 }
 
 
 def event_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = dump(spark, sf)
-    before = events.history_of(events.event_log(rows.where("row_idx < 3000")))
-    return events.event_log(rows.where("row_idx >= 3000"), before)
+    earlier = table(spark, sf, "customer").selectExpr(
+        "CAST(0 AS BIGINT) AS file_seq", "'earlier' AS file_id", "c_custkey AS row_idx", "array(" + ", ".join(_OLD_CELLS) + ") AS cells",
+        "array('email', 'username', 'password') AS header",
+    )
+    return events.event_log(dump(spark, sf), events.history_of(events.event_log(earlier)))
 
 
 def _event(kind: str):
@@ -163,10 +170,10 @@ def g08(spark: SparkSession, sf: str) -> DataFrame:
 _COS = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[]))"
 
 
-@query("g09_find_similar", f"WITH m AS (SELECT q.vec_id AS query_id, s.vec_id AS id, {_COS} AS c FROM embeddings q JOIN embeddings s ON q.vec_id % 50 = 0 AND q.vec_id <> s.vec_id) SELECT query_id, id, round(c, 6) AS similarity FROM m WHERE c >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) <= 5")
+@query("g09_find_similar", f"WITH m AS (SELECT q.vec_id AS query_id, s.vec_id AS id, {_COS} AS c FROM embeddings q JOIN embeddings s ON q.vec_id % 20 = 0 AND q.vec_id <> s.vec_id) SELECT query_id, id, round(c, 6) AS similarity FROM m WHERE c >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) <= 5")
 def g09(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return similar.find_similar(e, e.where("id % 50 = 0"), 0.3, 5).withColumn("similarity", F.round("similarity", 6))
+    return similar.find_similar(e, e.where("id % 20 = 0"), 0.3, 5).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("g10_cosine", f"SELECT q.vec_id AS a, s.vec_id AS b, round({_COS}, 6) AS similarity FROM embeddings q JOIN embeddings s ON s.vec_id = q.vec_id + 1")
@@ -176,11 +183,11 @@ def g10(spark: SparkSession, sf: str) -> DataFrame:
     return pairs_.select("a", "b", F.round(similar.cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
-@query("g11_find_duplicates", f"WITH m AS (SELECT q.vec_id AS id, s.vec_id AS o, {_COS} AS c FROM embeddings q JOIN embeddings s ON q.vec_id % 10 = 3 AND s.vec_id % 10 <> 3), b AS (SELECT id, o, c FROM m WHERE c >= 0.3 QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, o) = 1), x AS (SELECT q.vec_id AS id, min(s.vec_id) AS o FROM embeddings q JOIN embeddings s ON q.vec_id % 10 = 3 AND s.vec_id % 10 <> 3 AND q.vec_id // 40 = s.vec_id // 20 GROUP BY 1) SELECT id, o AS duplicate_of, 'hash' AS how FROM x UNION ALL SELECT id, o, 'similar' FROM b WHERE id NOT IN (SELECT id FROM x)")
+@query("g11_find_duplicates", f"WITH m AS (SELECT q.vec_id AS id, s.vec_id AS o, {_COS} AS c FROM embeddings q JOIN embeddings s ON q.vec_id % 20 = 0 AND s.vec_id % 20 <> 0), b AS (SELECT id, o, c FROM m WHERE c >= 0.3 QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, o) = 1), x AS (SELECT q.vec_id AS id, min(s.vec_id) AS o FROM embeddings q JOIN embeddings s ON q.vec_id % 20 = 0 AND s.vec_id % 20 <> 0 AND q.vec_id // 40 = s.vec_id // 20 GROUP BY 1) SELECT id, o AS duplicate_of, 'hash' AS how FROM x UNION ALL SELECT id, o, 'similar' FROM b WHERE id NOT IN (SELECT id FROM x)")
 def g11(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    p = e.where("id % 10 = 3").withColumn("address_hash", F.floor(F.col("id") / 40).cast("string"))
-    k = e.where("id % 10 <> 3").withColumn("address_hash", F.floor(F.col("id") / 20).cast("string"))
+    p = e.where("id % 20 = 0").withColumn("address_hash", F.floor(F.col("id") / 40).cast("string"))
+    k = e.where("id % 20 <> 0").withColumn("address_hash", F.floor(F.col("id") / 20).cast("string"))
     return similar.find_duplicates(p, k, 0.3)
 
 
@@ -207,12 +214,12 @@ def g14(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Anomalies, risk, aliases.
-_ENTROPY = "list_sum(list_transform(list_sort(list_distinct(string_split(v, ''))), lambda c: -(len(list_filter(string_split(v, ''), lambda y: y = c)) / strlen(v)) * log2(len(list_filter(string_split(v, ''), lambda y: y = c)) / strlen(v))))"
-_VALUES = f"WITH cells AS ({CELLS_SQL}), x AS (SELECT row_id, col_name, value AS v FROM cells WHERE col_name IN ('email', 'hash', 'full_name', 'user') AND row_id % 3 = 0) "
+_ENTROPY = "list_sum(list_transform(list_sort(list_distinct(string_split(v, ''))), lambda c: -((length(v) - length(replace(v, c, ''))) / strlen(v)) * log2((length(v) - length(replace(v, c, ''))) / strlen(v))))"
+_VALUES = f"WITH cells AS ({CELLS_SQL}), x AS (SELECT row_id, col_name, value AS v FROM cells WHERE col_name IN ('email', 'hash', 'full_name', 'user')) "
 
 
 def values(spark: SparkSession, sf: str) -> DataFrame:
-    return cells(spark, sf).where("col_name IN ('email', 'hash', 'full_name', 'user') AND row_id % 3 = 0")
+    return cells(spark, sf).where("col_name IN ('email', 'hash', 'full_name', 'user')")
 
 
 @query("e01_entropy", _VALUES + f"SELECT row_id, col_name, round({_ENTROPY}, 6) AS entropy FROM x")
@@ -235,11 +242,10 @@ def e02b(spark: SparkSession, sf: str) -> DataFrame:
 _OUT = ", e AS (SELECT *, {e} AS e, strlen(v) AS n FROM x), b AS (SELECT avg(e) AS me, stddev_pop(e) AS se, avg(n) AS ml, stddev_pop(n) AS sl FROM e) "
 
 
-@query("e03_e04_outliers", f"WITH x AS (SELECT doc_id, left(text, 60) || CASE WHEN doc_id % 40 = 0 THEN text ELSE '' END AS v FROM documents WHERE text <> '')" + _OUT.format(e=_ENTROPY) +
+@query("e03_e04_outliers", f"WITH x AS (SELECT doc_id, text AS v FROM documents WHERE text <> '')" + _OUT.format(e=_ENTROPY) +
        "SELECT doc_id, CASE WHEN abs(e - me) / greatest(se, 0.1) > 3 THEN CASE WHEN e > me + 3 * se THEN 85 ELSE 75 END END AS entropy_risk, CASE WHEN sl >= 0.1 AND abs(n - ml) / sl > 3 THEN CASE WHEN n > ml THEN 70 ELSE 60 END END AS length_risk FROM e, b")
 def e03(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").where("text <> ''")
-    d = d.select("doc_id", F.concat(F.left("text", F.lit(60)), F.when(F.col("doc_id") % 40 == 0, F.col("text")).otherwise("")).alias("value"))
+    d = table(spark, sf, "documents").where("text <> ''").select("doc_id", F.col("text").alias("value"))
     return anomaly.outliers(d).select("doc_id", "entropy_risk", "length_risk")
 
 
