@@ -75,6 +75,19 @@ def ingest_summary(rows: DataFrame, found: DataFrame, weak_hashes: DataFrame | N
     return out.withColumn("breached_addresses", F.lit(0).cast("long")).na.fill(0)
 
 
+def detailed_report(events: DataFrame, found: DataFrame, weak: DataFrame) -> dict[str, DataFrame]:
+    """S-08: the sections of the long report, each a table of its own; nothing is collected."""
+    kind = lambda k: events.where(F.col("event_type") == k)
+    return {
+        "duplicate_rows": kind("duplicate_row").select("file_id", "row_idx", "row_hash"),
+        "new_addresses": kind("new_address").select("file_id", "row_idx", "address_hash"),
+        "compromised_with_new_credentials": kind("known_address_new_credential").select("file_id", "row_idx", "address_hash", "credential_hash"),
+        "weak_passwords": weak.select("file_id", "row_idx").distinct(),
+        "pii_by_row": detected_rows(found).select("file_id", "row_idx", "findings").where(F.size("findings") > 0),
+        "pii_by_type": found.select(F.explode("labels").alias("pii_type")).groupBy("pii_type").agg(F.count("*").alias("n")),
+    }
+
+
 def format_json(summary: dict, detailed: list[dict] | None = None) -> str:
     """S-04."""
     return json.dumps(summary | ({"detailed_findings": detailed} if detailed else {}), indent=2, ensure_ascii=False, default=str)

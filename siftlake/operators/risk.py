@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PII_WEIGHTS = {"ssn": 10, "credit_card": 10, "national_id": 5, "phone_number": 3, "ip_address": 3, "ipv4": 3, "ipv6": 3}
 #: The sum of weights and caps by which scores are scaled.
 SCALE = 123.0
+#: The phrases of explanations; ``{}`` takes a count.
+PHRASES = {
+    "weak_password": "Uses weak/common password",
+    "weak_hash": "Hash algorithm is weak (MD5/SHA1/SHA256)",
+    "breach": "Found in {} breach(es)",
+    "new_credential": "⚠️ NEW CREDENTIAL SINCE BREACH - Active exploitation risk",
+    "pii": "Contains {} PII field(s)",
+    "anomaly": "{} anomalies detected",
+    "none": "No significant risk factors detected",
+}
 LEVELS = [(10, "green"), (25, "yellow"), (50, "orange"), (75, "red")]
 
 
@@ -48,21 +58,29 @@ def risk_score(weak_password: Column, weak_hash: Column, breaches: Column, new_c
         password.cast("float") * single(w.weak_password),
     )
     score = F.floor(((raw / single(SCALE)).cast("float") * single(100.0)).cast("float")).cast("int")
-    explained = F.concat_ws(
-        "; ", F.when(weak_password, "Uses weak/common password"),
-        F.when(weak_hash, "Hash algorithm is weak (MD5/SHA1/SHA256)"),
-        F.when(breaches > 0, F.concat(F.lit("Found in "), breaches.cast("string"), F.lit(" breach(es)"))),
-        F.when((breaches > 0) & new_credential, "⚠️ NEW CREDENTIAL SINCE BREACH - Active exploitation risk"),
-        F.when(F.size(types) > 0, F.concat(F.lit("Contains "), F.size(types).cast("string"), F.lit(" PII field(s)"))),
-        F.when(anomalies > 0, F.concat(anomalies.cast("string"), F.lit(" anomalies detected"))),
-    )
-    explained = F.when(explained == "", "No significant risk factors detected").otherwise(explained)
+    count = F.size(types)
+    said = [
+        (weak_password, "weak_password", None), (weak_hash, "weak_hash", None), (breaches > 0, "breach", breaches),
+        ((breaches > 0) & new_credential, "new_credential", None), (count > 0, "pii", count), (anomalies > 0, "anomaly", anomalies),
+    ]
+    explained = F.concat_ws("; ", *[F.when(hit, _phrase(name, n)) for hit, name, n in said])
+    explained = F.when(explained == "", PHRASES["none"]).otherwise(explained)
     return F.struct(
         score.alias("score"), risk_level(score).alias("level"), password.alias("weak_password"), hashed.alias("weak_hash"),
         breach.alias("breach"), pii.alias("pii"), anomaly.alias("anomaly"), explained.alias("explanation"),
     )
 
 
+def _phrase(name: str, count: Column | None) -> Column:
+    before, _, after = PHRASES[name].partition("{}")
+    return F.lit(before) if count is None else F.concat(F.lit(before), count.cast("string"), F.lit(after))
+
+
+def risk_distribution(scores: DataFrame, column: str = "level") -> DataFrame:
+    """How many rows each level holds, for reports."""
+    return scores.groupBy(column).agg(F.count("*").alias("n"))
+
+
 def risk_level(score: Column) -> Column:
     out = F.lit("critical")
     for most, name in reversed(LEVELS):

@@ -213,6 +213,13 @@ def s01(spark: SparkSession, sf: str) -> DataFrame:
     return report.ingest_summary(rows, report.findings(found), weak, plain).drop("file_id")
 
 
+@query("s08_pii_by_type", LABELLED_SQL + "SELECT pii_type, count(*) AS n FROM (SELECT unnest(labels) AS pii_type FROM l) GROUP BY 1")
+def s08(spark: SparkSession, sf: str) -> DataFrame:
+    found = report.findings(cells(spark, sf).select(F.lit("f").alias("file_id"), F.col("row_id").alias("row_idx"), F.lit(0).alias("col_idx"), "col_name", "value"))
+    nothing = spark.createDataFrame([], "event_type string, file_id string, row_idx long, row_hash string, address_hash string, credential_hash string")
+    return report.detailed_report(nothing, found, nothing)["pii_by_type"]
+
+
 _FOLD = "trim(regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '\\s+', ' ', 'g'))"
 
 

@@ -149,9 +149,9 @@ def g05(spark: SparkSession, sf: str) -> DataFrame:
     return history.canonical_of(a, a.select("alternate_hash")).select("alternate_hash", "canonical_hash")
 
 
-@query("g06_credentials_of", _PAIRS_SQL + "SELECT address_hash, count(*) AS credentials, sum(n) AS occurrences FROM pairs GROUP BY 1")
+@query("g06_credentials_of", _PAIRS_SQL + "SELECT address_hash, count(*) AS credentials, CAST(sum(n) AS BIGINT) AS occurrences FROM pairs GROUP BY 1")
 def g06(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs(spark, sf).groupBy("address_hash").agg(F.count("*").alias("credentials"), F.sum("n").cast("decimal(38,0)").alias("occurrences"))
+    return pairs(spark, sf).groupBy("address_hash").agg(F.count("*").alias("credentials"), F.sum("n").alias("occurrences"))
 
 
 _EDGES_SQL = "WITH s AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), e AS (SELECT a.l_suppkey AS canonical_hash_1, b.l_suppkey AS canonical_hash_2, count(*) AS cooccurrence_count FROM s a JOIN s b USING (l_orderkey) WHERE a.l_suppkey < b.l_suppkey GROUP BY ALL) "
@@ -286,6 +286,11 @@ def r01(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(k.alias("c_custkey"), r.alias("r")).select("c_custkey", "r.score", "r.level", "r.weak_password", "r.weak_hash", "r.breach", "r.pii", "r.anomaly")
 
 
+@query("r03_distribution", f"SELECT level, count(*) AS n FROM ({SQL['r01_risk_score']}) GROUP BY 1")
+def r03(spark: SparkSession, sf: str) -> DataFrame:
+    return risk.risk_distribution(r01(spark, sf))
+
+
 @query("r04_explanation", """SELECT c_custkey, CASE WHEN c_custkey % 2 = 1 AND c_custkey % 7 = 0 THEN 'No significant risk factors detected' ELSE concat_ws('; ', CASE WHEN c_custkey % 2 = 0 THEN 'Uses weak/common password' END,
 CASE WHEN c_custkey % 7 > 0 THEN 'Found in ' || CAST(c_custkey % 7 AS STRING) || ' breach(es)' END) END AS explanation FROM customer""")
 def r04(spark: SparkSession, sf: str) -> DataFrame:
