@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlake.scratch import spread
+
 _K = "CAST(c_custkey AS STRING)"
 
 #: Column name to expression over ``customer``.
@@ -57,12 +59,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``row_id, col_name, value``."""
     stack = f"stack({len(CELLS)}, " + ", ".join(f"'{c}', {e}" for c, e in CELLS.items()) + ") AS (col_name, value)"
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS row_id", stack)
+    return spread(table(spark, sf_dir, "customer")).selectExpr("c_custkey AS row_id", stack)
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, lang, value``: the tokens of all documents between ASCII blanks."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     each = F.explode(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r]+")).alias("value")
     return docs.select("doc_id", "lang", each).where("value <> ''")
 
@@ -83,7 +85,7 @@ DUMP_CELLS = [
 def dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``file_seq, file_id, row_idx, cells, header`` of the dump."""
     full = "array(" + ", ".join(DUMP_CELLS) + ")"
-    return table(spark, sf_dir, "orders").selectExpr(
+    return spread(table(spark, sf_dir, "orders")).selectExpr(
         "CAST(0 AS BIGINT) AS file_seq", "'dump' AS file_id", "o_orderkey AS row_idx",
         f"CASE WHEN o_orderkey % 97 = 0 THEN slice({full}, 1, 2) ELSE {full} END AS cells",
         "array('email', 'username', 'password') AS header",
