@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftlake.llm.common import pieces
 from siftlake.llm.tokens import BYTE_CHUNKS, ChunkCache
 
 SHORT = 128
@@ -150,7 +151,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids`` with the ids of every whole text as ``array<int>``."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             ids = [np.frombuffer(x, "<i4") for x in model(path).encode(batch["text"].to_pylist())]
             flat = np.concatenate([np.empty(0, "<i4"), *ids])
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
@@ -165,7 +166,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         bpe = model(path)
-        for batch in batches:
+        for batch in pieces(batches):
             n, ids_sha, text_sha = [], [], []
             texts = batch["text"].to_pylist()
             for at in range(0, len(texts), 256):

@@ -8,6 +8,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 #: A side this small (bytes of its written Parquet files) may be broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 8 << 20
 
+#: Rows of an Arrow batch and bytes of text that a Python worker looks at together.
+BATCH_ROWS, PIECE_BYTES = 1000, 1 << 20
+
 _written: list[str] = []
 
 
@@ -56,12 +61,34 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    conf = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
+        # Few files of a decent size (Spark's default) instead of many small ones: each costs a task, and on local disks a
+        # process for its permissions.
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
+    }
+    with settings(df.sparkSession, conf):
+        df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._siftlake_path = path
     return out
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut where their texts pass ``most`` bytes, so that memory does not follow the lengths of texts."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_pylist()
+        at = size = 0
+        for k, n in enumerate(sizes):
+            size += n
+            if size >= most:
+                yield batch.slice(at, k + 1 - at)
+                at, size = k + 1, 0
+        if at < len(sizes):
+            yield batch.slice(at)
+
+
 def written_bytes(df: DataFrame) -> int:
     """Bytes of the files behind a ``materialize`` result."""
     fs, p = filesystem(df._siftlake_path)
@@ -69,9 +96,8 @@ def written_bytes(df: DataFrame) -> int:
 
 
 @contextlib.contextmanager
-def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
-    """Session settings (dots written as ``__``) for the eager part of an operator."""
-    conf = {k.replace("__", "."): v for k, v in conf.items()}
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Session settings for the eager part of an operator."""
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import filesystem, materialize
+from siftlake.llm.common import filesystem, materialize, pieces
 from siftlake.llm.tokens import library_encoder
 
 MAGIC = b"SIFTIDS1"
@@ -103,7 +103,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
         encode, end, out = library_encoder(tokenizer), np.array([end_id], "<u4").tobytes(), None
         offset, nth, last = 0, 0, object()
         try:
-            for batch in batches:
+            for batch in pieces(batches):
                 rows: list[tuple] = []
                 for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode(batch["text"].to_pylist()), strict=True):
                     if out is None:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import connected_components, materialize
+from siftlake.llm.common import connected_components, materialize, pieces
 from siftlake.llm.wordhash import PUNCTUATION, RangeHash, U, Words, mix, slices
 
 SHINGLE = 5
@@ -30,7 +30,9 @@ THRESHOLD = 0.8
 #: 30 bands of 5: a pair of similarity 0.8 shares none with probability 7e-6.
 BANDS, ROWS = 30, 5
 COORDINATES = BANDS * ROWS
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Cells that are thrown together.
+CELLS = 1 << 18
 #: Buckets of up to so many texts are compared by a join of pairs, larger ones in blocks of ``BLOCK`` within tasks.
 SMALL_BUCKET, BLOCK = 16, 1024
 RANK_BITS = 40
@@ -63,7 +65,7 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, do
         use = open_[doc]
         d, e, w = doc[use], element[use], weight[use].astype(np.int64)
         ranks = np.ceil(reach[d]).astype(np.int64)
-        for x, y in slices((w * ranks).tolist(), 1 << 20):
+        for x, y in slices((w * ranks).tolist(), CELLS):
             _throw(best, d[x:y], e[x:y], w[x:y], ranks[x:y], reach, k)
         open_ = (best.reshape(docs, k) == np.iinfo(U).max).any(axis=1) & open_
         reach = reach * 2  # the same darts and later ones, until every coordinate has one
@@ -107,7 +109,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """``doc_id, q1, q2, bands`` of every document; ``bands`` is null where there are no words."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             texts = normalized(batch["text"].to_pylist())
             for x, y in slices([len(t) for t in texts], SLICE_BYTES):
                 words = Words(texts[x:y], PUNCTUATION)
@@ -128,7 +130,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """``doc_id, shingles``: sorted 32-bit hashes of (shingle, occurrence), so that plain sets compare the multisets."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             texts, ids = normalized(batch["text"].to_pylist()), batch["doc_id"]
             for x, y in slices([len(t) for t in texts], SLICE_BYTES):
                 doc, element, times = shingles(Words(texts[x:y], PUNCTUATION))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import materialize
+from siftlake.llm.common import materialize, pieces
 from siftlake.llm.tokens import library_encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -32,7 +32,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, keep_ids
 
     def run(batches):
         encode, end = library_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in pieces(batches):
             cols: list[list] = [[], [], [], [], [], []]
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode(batch["text"].to_pylist()), strict=True):
                 ids += end

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import materialize
+from siftlake.llm.common import materialize, pieces
 from siftlake.llm.wordhash import RangeHash, U, Words, mix, slices
 
 WINDOW = 50
 ROUNDS = 4
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 FAR = 1 << 40
 
 
@@ -131,7 +131,7 @@ def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     fields = [("key", pa.int64()), ("s1", pa.int64()), ("s2", pa.int32()), ("i0", pa.int32()), ("i1", pa.int32())]
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [x or b"" for x in batch["text"].cast(pa.binary()).to_pylist()]
             for x, y in slices([len(t) for t in texts], SLICE_BYTES):
                 part = texts[x:y]
@@ -166,11 +166,11 @@ def window_rows(candidates: DataFrame, window: int = WINDOW) -> DataFrame:
     """``w1, w2, doc_id, th``: the different windows in ``ranges`` of ``doc_id, th, text, ranges``."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch["text"].cast(pa.binary()).to_pylist()
             ranges = batch["ranges"].to_pylist()
             ids, ths = batch["doc_id"].to_numpy(), batch["th"].to_numpy()
-            for x, y in slices([len(t) for t in texts], SLICE_BYTES // 2):
+            for x, y in slices([len(t) for t in texts], SLICE_BYTES):
                 words = Words(texts[x:y])
                 at = [
                     (words.first[k - x] + np.unique(np.concatenate([np.arange(r["i0"], r["i1"] + 1) for r in ranges[k]])))
@@ -250,7 +250,7 @@ def repeat_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     base, removed = find_repeats(docs, window)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             n, sha = [], []
             lists = (batch["ranges"].to_pylist(), batch["windows"].to_pylist())
             for text, ranges, windows in zip(batch["text"].cast(pa.binary()).to_pylist(), *lists, strict=True):
@@ -278,7 +278,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     marked = marked.join(removed, ["__id", "__th"], "left")
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch["text"].to_pylist()
             for k, gone in enumerate(batch["__gone"].to_pylist()):
                 if gone:
