@@ -84,15 +84,15 @@ def rejected_hosts(judged: DataFrame, host: str, failed: Column) -> DataFrame:
 
 
 def with_host_verdict(judged: DataFrame, host: str, hosts: DataFrame, salt: Column) -> DataFrame:
-    """Adds ``host_failed``. Rejected hosts are broadcast only when small; else both sides are salted."""
-    bad = hosts.select(F.col("host").alias("__host"), F.lit(True).alias("host_failed"))
+    """Adds ``__host_failed``. Rejected hosts are broadcast only when small; else both sides are salted."""
+    bad = hosts.select(F.col("host").alias("__host"), F.lit(True).alias("__host_failed"))
     if written_bytes(hosts) <= BROADCAST_BYTES:
         out = judged.join(F.broadcast(bad), F.col(host) == F.col("__host"), "left")
     else:
         bad = bad.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         judged = judged.withColumn("__s", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
         out = judged.join(bad, (F.col(host) == F.col("__host")) & (F.col("__s") == F.col("__salt")), "left").drop("__s", "__salt")
-    return out.withColumn("host_failed", F.coalesce("host_failed", F.lit(False))).drop("__host")
+    return out.withColumn("__host_failed", F.coalesce("__host_failed", F.lit(False))).drop("__host")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def judge(docs: DataFrame) -> DataFrame:
     judged = docs.select("doc_id", F.col("source").alias("host"), base_figures(F.col("text")).alias("q"))
     judged = materialize(judged.select("doc_id", "host", "q.*"), "quality")
     hosts = rejected_hosts(judged, "host", F.col("base_failed"))
-    out = with_host_verdict(judged, "host", hosts, F.col("doc_id")).drop("host")
+    out = with_host_verdict(judged, "host", hosts, F.col("doc_id")).drop("host").withColumnRenamed("__host_failed", "host_failed")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
 
 
@@ -110,4 +110,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     judged = materialize(docs.withColumn("__failed", base_figures(F.col("text"))["base_failed"]), "quality-docs")
     hosts = rejected_hosts(judged, "source", F.col("__failed"))
     out = with_host_verdict(judged, "source", hosts, F.col("doc_id"))
-    return out.where(~F.col("__failed") & ~F.col("host_failed")).select(*columns)
+    return out.where(~F.col("__failed") & ~F.col("__host_failed")).select(*columns)
