@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siftlake.llm.common import read_table
+from siftlake.scratch import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +21,7 @@ def tokenizer_path(name: str) -> str:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftlake.llm.packing import pack
 
-    return pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, size=2048)
+    return pack(spread(read_table(spark, sf_dir, "documents")), tokenizer_path("word_bpe_49k.json"), end_id=1, size=2048)
 
 
 def op2_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftlake.llm.bpe import round_trip
 
-    return round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return round_trip(spread(read_table(spark, sf_dir, "documents")), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,13 +80,13 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftlake.llm.minhash import classes
 
-    return classes(read_table(spark, sf_dir, "documents"))
+    return classes(spread(read_table(spark, sf_dir, "documents")))
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftlake.llm.substring import repeat_digest
 
-    return repeat_digest(read_table(spark, sf_dir, "documents"))
+    return repeat_digest(spread(read_table(spark, sf_dir, "documents")))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,14 +199,60 @@ FROM m
 
 _OP6 = """
 WITH p AS (
-  SELECT page_id, encode(coalesce(html, '')) AS b, coalesce(html, '') AS h FROM pages
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages
 ), g AS (
   SELECT h, max(page_id) AS keep FROM p GROUP BY h
 )
-SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(x, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
   CASE WHEN page_id = keep OR keep IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = keep OR keep IS NULL THEN NULL ELSE keep END AS refers_to
 FROM p JOIN g USING (h)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_quality": _OP5, "op7_url_filter": _OP7, "op10_chat": _OP10}
+_OP8 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL
+), s AS (
+  SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)
+), c AS (
+  SELECT doc_id, g, count(*) AS n FROM s GROUP BY ALL
+), t AS (
+  SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS shared
+  FROM c AS a JOIN c AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM p JOIN t AS x ON x.doc_id = a JOIN t AS y ON y.doc_id = b WHERE shared >= 0.8 * (x.n + y.n - shared) - 1e-9
+), edges AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM d
+  UNION
+  SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a
+)
+SELECT d.doc_id, min(reach.b) AS class_id FROM d JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id
+"""
+
+_OP9 = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT r, doc_id, i, array_to_string(ws[i:i + 49], ' ') AS g FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)
+), least AS (
+  SELECT g, min(doc_id) AS m FROM windows GROUP BY g
+), gone AS (
+  SELECT DISTINCT r, i + j AS p FROM windows JOIN least USING (g), range(0, 50) AS s(j) WHERE doc_id > m
+), words AS (
+  SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_warc": _OP6, "op8_minhash": _OP8, "op9_substring": _OP9, "op5_quality": _OP5, "op7_url_filter": _OP7, "op10_chat": _OP10}
