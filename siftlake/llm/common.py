@@ -89,6 +89,11 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(at)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """A join side that grows with the input: never broadcast, so that the plan is the same at every size."""
+    return df.hint("shuffle_merge")
+
+
 def written_bytes(df: DataFrame) -> int:
     """Bytes of the files behind a ``materialize`` result."""
     fs, p = filesystem(df._siftlake_path)

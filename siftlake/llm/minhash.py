@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import connected_components, materialize, pieces
+from siftlake.llm.common import by_shuffle, connected_components, materialize, pieces
 from siftlake.llm.wordhash import PUNCTUATION, RangeHash, U, Words, mix, slices
 
 SHINGLE = 5
@@ -200,7 +200,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = materialize(texts, "minhash-texts")
     bands = texts.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(bands.join(materialize(shared, "minhash-shared"), ["band", "key"]), "minhash-members")
+    members = materialize(bands.join(by_shuffle(materialize(shared, "minhash-shared")), ["band", "key"]), "minhash-members")
 
     # The pivot of a bucket is its document with the most band partners overall: the centre of a group of copies, to
     # which the others are nearer than to each other.

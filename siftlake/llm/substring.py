@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import materialize, pieces
+from siftlake.llm.common import by_shuffle, materialize, pieces
 from siftlake.llm.wordhash import RangeHash, U, Words, mix, slices
 
 WINDOW = 50
@@ -207,7 +207,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Data
     own = own.join(copies.select("doc_id", "th"), ["doc_id", "th"], "left_anti")
     rows = own.select("doc_id", "th", F.inline("stretches"))
     shared = rows.where("key <> 0").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    rows_shared = materialize(rows.join(shared.select("key"), "key"), "substring-shared")
+    rows_shared = materialize(rows.join(by_shuffle(shared.select("key")), "key"), "substring-shared")
 
     stretch = rows_shared.groupBy("key", "s1", "s2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x"))
     stretch = materialize(stretch, "substring-stretch")
@@ -220,7 +220,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Data
     single = single.union(rows.where("key = 0").select("doc_id", "th", "i0", "i1"))
     ranges = F.collect_list(F.struct("i0", "i1")).alias("ranges")
     asked = materialize(single.groupBy("doc_id", "th").agg(ranges), "substring-asked")
-    windows = materialize(window_rows(identified(docs).join(asked, ["doc_id", "th"]), window), "substring-windows")
+    windows = materialize(window_rows(identified(docs).join(by_shuffle(asked), ["doc_id", "th"]), window), "substring-windows")
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x")
     found = windows.join(least, ["w1", "w2"]).where("doc_id > m")
     one = found.select("doc_id", "th", F.struct("w1", "w2").alias("w")).groupBy("doc_id", "th").agg(F.collect_list("w").alias("windows"))
@@ -260,7 +260,7 @@ def repeat_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             cols = [batch["doc_id"], batch["th"], pa.array(n, pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "n_removed", "sha"])
 
-    texts = identified(docs).join(removed, ["doc_id", "th"]).select("doc_id", "th", "text", "ranges", "windows")
+    texts = identified(docs).join(by_shuffle(removed), ["doc_id", "th"]).select("doc_id", "th", "text", "ranges", "windows")
     cut = texts.mapInArrow(run, "doc_id long, th long, n_removed long, sha string").distinct()
     out = base.select("doc_id", "th", "n_words", "full_sha").join(cut, ["doc_id", "th"], "left")
     return out.select(
@@ -275,7 +275,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     columns, schema = docs.columns, docs.schema
     marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
     removed = removed.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.struct("ranges", "windows").alias("__gone"))
-    marked = marked.join(removed, ["__id", "__th"], "left")
+    marked = marked.join(by_shuffle(removed), ["__id", "__th"], "left")
 
     def run(batches):
         for batch in pieces(batches):
