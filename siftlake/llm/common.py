@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,33 +12,22 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlake.scratch import shared_path
+
 #: A side this small (bytes of its written Parquet files) may be broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 8 << 20
 
 #: Rows of an Arrow batch and bytes of text that a Python worker looks at together.
 BATCH_ROWS, PIECE_BYTES = 1000, 1 << 20
+#: A writer holds a whole row group in memory, and readers split files at row groups.
+ROW_GROUP_BYTES = 16 << 20
 
 _written: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (tests on one machine) a temporary folder is set.
-    """
-    jsc = spark.sparkContext._jsc.sc()
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or (
-        jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None
-    )
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="siftlake-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; removed when the driver process ends."""
-    path = f"{shared_dir(spark)}/siftlake/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder (``spark.checkpoint.dir``); removed when the driver process ends."""
+    path = shared_path(spark, name)
     _written.append(path)
     return path
 
@@ -69,7 +56,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
     }
     with settings(df.sparkSession, conf):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._siftlake_path = path
     return out
@@ -96,8 +83,9 @@ def by_shuffle(df: DataFrame) -> DataFrame:
 
 def written_bytes(df: DataFrame) -> int:
     """Bytes of the files behind a ``materialize`` result."""
-    fs, p = filesystem(df._siftlake_path)
-    return sum(i.size or 0 for i in fs.get_file_info(pafs.FileSelector(p, recursive=True)))
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._siftlake_path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
 @contextlib.contextmanager
