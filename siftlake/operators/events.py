@@ -24,6 +24,8 @@ def extract(rows: DataFrame, normalized: bool = False) -> DataFrame:
 
     ``rows``: ``file_seq, file_id, row_idx, cells, header``.
     """
+    # The arity needs no normalised cells: filters on it stay below the Arrow function instead of repeating it.
+    rows = rows.withColumn("malformed", F.coalesce(F.size("cells") != F.size("header"), F.lit(False)))
     cells = rows if normalized else rows.withColumn("cells", normalize_row(F.col("cells")))
     named = F.transform("cells", lambda c, i: F.struct(i.alias("col"), c.alias("value"), F.lower(F.get("header", i)).alias("name")))
 
@@ -38,7 +40,7 @@ def extract(rows: DataFrame, normalized: bool = False) -> DataFrame:
     return out.withColumns({
         "addresses": hashes(address), "credentials": hashes(credential),
         "hashed": F.exists(credential, lambda c: is_credential_hash(c["value"])),
-        "malformed": F.coalesce(F.size("cells") != F.size("header"), F.lit(False)), "row_hash": row_hash(F.col("cells")),
+        "row_hash": row_hash(F.col("cells")),
     }).drop("named")
 
 
