@@ -74,6 +74,14 @@ def a08(spark: SparkSession, sf: str) -> DataFrame:
     return dumps.load_lines(spark, path, "csv").selectExpr("cells[0] AS a", "cells[1] AS b", "error")
 
 
+@query("a11_statistics", "SELECT count(*) FILTER (c_custkey % 10 <> 0) AS rows_processed, count(*) FILTER (c_custkey % 10 = 0) AS rows_failed, CAST(sum(CASE WHEN c_custkey % 10 = 0 THEN 12 ELSE strlen(c_name) + 14 END) AS BIGINT) AS bytes_read, 'quote within a field' AS warnings FROM customer")
+def a11(spark: SparkSession, sf: str) -> DataFrame:
+    line = F.when(F.col("c_custkey") % 10 == 0, 'bad"quote,1').otherwise(F.concat("c_name", F.lit(',"x ""y"", z"')))
+    path = _write_text(table(spark, sf, "customer").coalesce(1).select(line.alias("value")), shared_path(spark, "lines"), "csv")
+    stats = dumps.parse_statistics(dumps.load_lines(spark, path, "csv"))
+    return stats.select("rows_processed", "rows_failed", "bytes_read", F.array_join("warnings", ",").alias("warnings"))
+
+
 @query("a09_json_lines", "SELECT 'id:' || CAST(event_id AS STRING) AS a, 'type:\"' || event_type || '\"' AS b FROM events")
 def a09(spark: SparkSession, sf: str) -> DataFrame:
     line = F.to_json(F.struct(F.col("event_type").alias("type"), F.col("event_id").alias("id")))

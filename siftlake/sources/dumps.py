@@ -65,15 +65,16 @@ def load_dump(spark: SparkSession, paths: list[str] | str, fmt: str | None = Non
 
 
 def load_lines(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    """``path, cells, error`` line by line (A-02, A-08, A-09), for batch; large files are split over tasks."""
+    """``path, cells, error, bytes`` line by line (A-02, A-08, A-09), for batch; large files are split over tasks."""
     return parse_lines(spark.read.text(path).withColumn("path", F.input_file_name()), fmt)
 
 
 def parse_lines(lines: DataFrame, fmt: str) -> DataFrame:
     """The line parsers over ``value``, for batch and streams: bad lines keep an error, blank lines go (A-08, A-09)."""
     value = F.col("value")
+    size = F.octet_length(value) + 1
     if fmt == "tsv":
-        return lines.select("path", F.split(value, "\t").alias("cells"), F.lit(None).cast("string").alias("error"))
+        return lines.select("path", F.split(value, "\t").alias("cells"), F.lit(None).cast("string").alias("error"), size.alias("bytes"))
 
     def run(batches):
         import json
@@ -88,11 +89,29 @@ def parse_lines(lines: DataFrame, fmt: str) -> DataFrame:
                     cells.append(None)
                     errors.append(str(e))
             yield pa.RecordBatch.from_arrays(
-                [batch["path"], pa.array(cells, pa.list_(pa.string())), pa.array(errors, pa.string())], ["path", "cells", "error"]
+                [batch["path"], pa.array(cells, pa.list_(pa.string())), pa.array(errors, pa.string()), batch["bytes"]],
+                ["path", "cells", "error", "bytes"],
             )
 
-    kept = lines.where(value.rlike(f"[^{SPACE}]")).select("path", "value")
-    return kept.mapInArrow(run, "path string, cells array<string>, error string")
+    kept = lines.where(value.rlike(f"[^{SPACE}]")).select("path", "value", size.alias("bytes"))
+    return kept.mapInArrow(run, "path string, cells array<string>, error string, bytes int")
+
+
+def parse_statistics(parsed: DataFrame) -> DataFrame:
+    """A-11: ``path, rows_processed, rows_failed, bytes_read, warnings`` of parsed lines."""
+    failed = F.col("error").isNotNull()
+    return parsed.groupBy("path").agg(
+        F.count_if(~failed).alias("rows_processed"), F.count_if(failed).alias("rows_failed"), F.sum("bytes").alias("bytes_read"),
+        F.array_sort(F.collect_set("error")).alias("warnings"),  # a handful of different messages
+    )
+
+
+def observed(parsed: DataFrame, name: str) -> DataFrame:
+    """The same counters as an observation, for streams and writes."""
+    failed = F.col("error").isNotNull()
+    return parsed.observe(
+        name, F.count_if(~failed).alias("rows_processed"), F.count_if(failed).alias("rows_failed"), F.sum("bytes").alias("bytes_read")
+    )
 
 
 def is_header(cells: Column) -> Column:
