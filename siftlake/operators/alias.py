@@ -9,7 +9,7 @@ from siftlake.functions.text import digits, suffix_map
 
 #: The kinds of alias.
 KINDS = [
-    "email_plus", "email_dot", "email_domain", "phone_normalization", "national_id_format", "user_id_format",
+    "email_plus", "email_dot", "email_domain", "phone_normalization", "national_id_variant", "user_id_variant",
     "username_case", "string_variant",
 ]
 
@@ -42,8 +42,8 @@ def dot_key(x: Column) -> Column:
 PAIR_RULES = {
     "email_dot": (dot_key, F.lower, 85),
     "phone_normalization": (lambda x: F.nullif(digits(x), F.lit("")), lambda x: x, 90),
-    "national_id_format": (lambda x: F.nullif(F.upper(F.regexp_replace(x, r"[^\p{IsAlphabetic}\p{N}]", "")), F.lit("")), lambda x: x, 92),
-    "user_id_format": (lambda x: F.nullif(F.lower(F.regexp_replace(x, "[^0-9A-Fa-f]", "")), F.lit("")), lambda x: x, 88),
+    "national_id_variant": (lambda x: F.nullif(F.upper(F.regexp_replace(x, r"[^\p{IsAlphabetic}\p{N}]", "")), F.lit("")), lambda x: x, 92),
+    "user_id_variant": (lambda x: F.nullif(F.lower(F.regexp_replace(x, "[^0-9A-Fa-f]", "")), F.lit("")), lambda x: x, 88),
     "username_case": (F.lower, lambda x: x, 98),
 }
 

@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What can happen to a file.
-ACTIONS = ["ingested", "hashed", "normalized", "enriched", "exported", "archived", "deleted"]
+ACTIONS = [
+    "file_ingested", "file_validated", "duplication_check", "enrichment_complete", "data_stored", "temporary_files_deleted",
+    "processing_complete",
+]
 
 
 class TamperError(ValueError):
@@ -40,6 +43,10 @@ class CustodyRecord:
     signature: str = ""
     public_key: str = ""
 
+    def __post_init__(self):
+        if self.custody_action not in ACTIONS:
+            raise ValueError(f"unknown action: {self.custody_action}")
+
     def message(self) -> bytes:
         fields = {k: v for k, v in asdict(self).items() if k not in ("signature", "public_key")}
         return json.dumps(fields, sort_keys=True, separators=(",", ":")).encode()

@@ -40,7 +40,9 @@ def test_password_anomaly(spark):
 def test_alias_links(spark):
     df = spark.createDataFrame([("a.b@x.org",), ("ab@x.org",), ("AB@X.org",), (None,), ("c@x.org",)], "value string")
     assert [(r.canonical, r.variant) for r in alias.alias_links(df, "email_dot").collect()] == [("a.b@x.org", "ab@x.org")]
-    pairs = alias.alias_pairs(spark.createDataFrame([("+1 555",)], "value string"), spark.createDataFrame([("1-555",), ("+1 555",)], "value string"), "phone_normalization")
+    left = spark.createDataFrame([("+1 555",)], "value string")
+    right = spark.createDataFrame([("1-555",), ("+1 555",)], "value string")
+    pairs = alias.alias_pairs(left, right, "phone_normalization")
     assert [(r.canonical, r.variant) for r in pairs.collect()] == [("+1 555", "1-555")]
     assert one(spark, alias.email_plus_alias(F.lit("A+t@x.org"))).canonical == "a@x.org"
     assert one(spark, alias.email_plus_alias(F.lit("plain"))) is None
@@ -89,7 +91,7 @@ def test_wordlists(spark, tmp_path):
 
 def test_custody(spark):
     signer = custody.Signer(spark)
-    record = signer.sign(custody.CustodyRecord("r", "f", "ingested", "op", "h", 1, 2, "2024-01-01T00:00:00Z"))
+    record = signer.sign(custody.CustodyRecord("r", "f", "file_ingested", "op", "h", 1, 2, "2024-01-01T00:00:00Z"))
     custody.verify_record(spark, record)
     with pytest.raises(custody.TamperError):
         custody.verify_record(spark, custody.CustodyRecord(**{**record.__dict__, "file_size": 9}))
