@@ -306,11 +306,11 @@ def l01(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _VARIANTS = {
-    "email_dot": "replace(lower(c_name), '#', CASE WHEN c_custkey % 2 = 0 THEN '.' ELSE '' END) || CAST(c_custkey % 50 AS STRING) || '@x.org'",
-    "phone_normalization": "'+1 ' || CASE WHEN c_custkey % 2 = 0 THEN '(555) ' ELSE '555-' END || CAST(c_custkey % 90 AS STRING)",
-    "national_id_variant": "'AB' || CASE WHEN c_custkey % 2 = 0 THEN '-' ELSE ' ' END || CAST(c_custkey % 80 AS STRING) || 'c'",
-    "user_id_variant": "CASE WHEN c_custkey % 2 = 0 THEN 'ab-' ELSE 'AB_' END || CAST(c_custkey % 70 AS STRING)",
-    "username_case": "CASE WHEN c_custkey % 2 = 0 THEN 'User' ELSE 'uSER' END || CAST(c_custkey % 60 AS STRING)",
+    "email_dot": "'Jo' || CASE WHEN c_custkey % 2 = 0 THEN '.' ELSE '' END || 'ann' || CAST(c_custkey % 51 AS STRING) || '@x.org'",
+    "phone_normalization": "'+1 ' || CASE WHEN c_custkey % 2 = 0 THEN '(555) ' ELSE '555-' END || CAST(c_custkey % 91 AS STRING)",
+    "national_id_variant": "'AB' || CASE WHEN c_custkey % 2 = 0 THEN '-' ELSE ' ' END || CAST(c_custkey % 81 AS STRING) || 'c'",
+    "user_id_variant": "CASE WHEN c_custkey % 2 = 0 THEN 'ab-' ELSE 'AB_' END || CAST(c_custkey % 71 AS STRING)",
+    "username_case": "CASE WHEN c_custkey % 2 = 0 THEN 'User' ELSE 'uSER' END || CAST(c_custkey % 61 AS STRING)",
 }
 _KEYS = {
     "email_dot": ("lower(v)", "replace(split_part(lower(v), '@', 1), '.', '') || '@' || split_part(lower(v), '@', 2)", 85),
