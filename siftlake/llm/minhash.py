@@ -207,7 +207,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
     ranked = members.join(degree, "rep")
     pivots = ranked.groupBy("band", "key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("minus"))).alias("top"))
-    pivots = pivots.select("band", "key", (-F.col("top.minus")).alias("pivot"))
+    # Written, so that the join below is dealt by an exchange of its own, which AQE may split at a hot bucket.
+    pivots = materialize(pivots.select("band", "key", (-F.col("top.minus")).alias("pivot")), "minhash-pivots")
     pairs = members.join(pivots, ["band", "key"]).where("rep <> pivot")
     pairs = materialize(pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), "minhash-pairs")
 
@@ -225,7 +226,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     mixed = sizes.groupBy("band", "key").agg(
         F.count("*").alias("m"), F.sum("n").alias("all"), F.max_by("component", F.struct("n", "component")).alias("largest")
     ).where("m > 1 AND all > 2").select("band", "key", "all", "largest")
-    at = materialize(at.drop("n").join(mixed, ["band", "key"]), "minhash-mixed")
+    at = materialize(at.drop("n").join(materialize(mixed, "minhash-mixed"), ["band", "key"]), "minhash-placed")
     outside = lambda df: df.where("component <> largest")
 
     few = at.where(F.col("all") <= SMALL_BUCKET)

@@ -207,13 +207,15 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Data
     own = own.join(copies.select("doc_id", "th"), ["doc_id", "th"], "left_anti")
     rows = own.select("doc_id", "th", F.inline("stretches"))
     shared = rows.where("key <> 0").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    rows_shared = materialize(rows.join(by_shuffle(shared.select("key")), "key"), "substring-shared")
+    # Aggregates are written before they are joined: the join is dealt by an exchange that AQE may split at a hot key.
+    shared = materialize(shared.select("key"), "substring-keys")
+    rows_shared = materialize(rows.join(by_shuffle(shared), "key"), "substring-shared")
 
     stretch = rows_shared.groupBy("key", "s1", "s2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x"))
     stretch = materialize(stretch, "substring-stretch")
     many = stretch.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("many"))
     known = rows_shared.join(stretch.where("m < x").drop("x"), ["key", "s1", "s2"], "left")
-    known = materialize(known.join(many, "key", "left"), "substring-known")
+    known = materialize(known.join(materialize(many, "substring-many"), "key", "left"), "substring-known")
     whole = known.where("doc_id > m").select("doc_id", "th", "i0", (F.col("i1") + window).alias("i1"))
 
     single = known.where("many AND (m IS NULL OR doc_id = m)").select("doc_id", "th", "i0", "i1")
@@ -222,7 +224,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Data
     asked = materialize(single.groupBy("doc_id", "th").agg(ranges), "substring-asked")
     windows = materialize(window_rows(identified(docs).join(by_shuffle(asked), ["doc_id", "th"]), window), "substring-windows")
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x")
-    found = windows.join(least, ["w1", "w2"]).where("doc_id > m")
+    found = windows.join(materialize(least, "substring-least"), ["w1", "w2"]).where("doc_id > m")
     one = found.select("doc_id", "th", F.struct("w1", "w2").alias("w")).groupBy("doc_id", "th").agg(F.collect_list("w").alias("windows"))
     copied = copies.select("doc_id", "th", F.lit(0).alias("i0"), F.col("n_words").cast("int").alias("i1"))
     whole = whole.union(copied).distinct().groupBy("doc_id", "th").agg(ranges)
