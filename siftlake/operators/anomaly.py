@@ -15,9 +15,15 @@ KINDS = [
 def entropy(x: Column) -> Column:
     """E-01: Shannon entropy of the characters, with the byte length as the denominator."""
     size = F.octet_length(x)
-    share = lambda c: (F.length(x) - F.length(F.replace(x, c, F.lit("")))) / size
-    terms = F.transform(F.array_sort(F.array_distinct(F.split(x, ""))), lambda c: -share(c) * F.log2(share(c)))
-    return F.when(size > 0, F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)).otherwise(F.lit(0.0))
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+
+    def terms(chars: Column) -> Column:
+        share = lambda c: (chars - F.length(F.replace(x, c, F.lit("")))) / size
+        distinct = F.array_sort(F.array_distinct(F.split(x, "")))
+        return F.transform(distinct, lambda c: once(share(c), lambda s: -s * F.log2(s)))
+
+    total = F.aggregate(once(F.length(x), terms), F.lit(0.0), lambda a, t: a + t)
+    return F.when(size > 0, total).otherwise(F.lit(0.0))
 
 
 def email_domain(x: Column) -> Column:
@@ -27,10 +33,10 @@ def email_domain(x: Column) -> Column:
 
 def baseline(values: DataFrame, column: str = "value") -> DataFrame:
     """E-02: one row of ``mean_entropy, sd_entropy, mean_length, sd_length, n``; none of an empty table."""
-    v = F.col(column)
-    out = values.agg(
-        F.avg(entropy(v)).alias("mean_entropy"), F.stddev_pop(entropy(v)).alias("sd_entropy"),
-        F.avg(F.octet_length(v)).alias("mean_length"), F.stddev_pop(F.octet_length(v)).alias("sd_length"), F.count(v).alias("n"),
+    measured = values.select(entropy(F.col(column)).alias("e"), F.octet_length(column).alias("l"))
+    out = measured.agg(
+        F.avg("e").alias("mean_entropy"), F.stddev_pop("e").alias("sd_entropy"), F.avg("l").alias("mean_length"),
+        F.stddev_pop("l").alias("sd_length"), F.count("l").alias("n"),
     )
     return out.where("n > 0")
 
@@ -44,21 +50,19 @@ def top_domains(values: DataFrame, column: str = "value", k: int = 10) -> DataFr
 def outliers(values: DataFrame, column: str = "value") -> DataFrame:
     """E-03 and E-04: ``values`` with ``entropy_risk, length_risk`` (null: none) against their own baseline.
 
-    The baseline is one row of five numbers; it reaches the scan as scalar subqueries.
+    The baseline is one row of five numbers; it reaches the scan as one scalar subquery.
     """
-    base = baseline(values, column)
-    stat = {c: base.select(c).scalar() for c in ("mean_entropy", "sd_entropy", "mean_length", "sd_length")}
-    e, n = F.col("__e"), F.octet_length(column)
-    out = values.withColumn("__e", entropy(F.col(column)))
-    out = out.withColumns({"__" + k: s for k, s in stat.items()})
-    far = F.abs(e - F.col("__mean_entropy")) / F.greatest(F.col("__sd_entropy"), F.lit(0.1)) > 3
-    high = e > F.col("__mean_entropy") + 3 * F.col("__sd_entropy")
-    long_ = F.abs(n - F.col("__mean_length")) / F.col("__sd_length") > 3
+    names = ["mean_entropy", "sd_entropy", "mean_length", "sd_length"]
+    e, n, b = F.col("__e"), F.octet_length(column), F.col("__b")
+    out = values.withColumn("__e", entropy(F.col(column))).withColumn("__b", baseline(values, column).select(F.struct(*names)).scalar())
+    far = F.abs(e - b["mean_entropy"]) / F.greatest(b["sd_entropy"], F.lit(0.1)) > 3
+    high = e > b["mean_entropy"] + 3 * b["sd_entropy"]
+    long_ = F.abs(n - b["mean_length"]) / b["sd_length"] > 3
     out = out.withColumns({
         "entropy_risk": F.when(far, F.when(high, 85).otherwise(75)),
-        "length_risk": F.when((F.col("__sd_length") >= 0.1) & long_, F.when(n > F.col("__mean_length"), 70).otherwise(60)),
+        "length_risk": F.when((b["sd_length"] >= 0.1) & long_, F.when(n > b["mean_length"], 70).otherwise(60)),
     })
-    return out.drop("__e", *["__" + k for k in stat])
+    return out.drop("__e", "__b")
 
 
 def rare_domains(values: DataFrame, column: str = "value") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftlake.operators import alias, anomaly, enrich, events, history, risk, similar, sync
 from siftlake.plans.source import CELLS_SQL, DUMP_SQL, cells, dump, table
+from siftlake.scratch import spread
 from siftlake.sources import dumps
 from siftlake.streaming import incremental
 
@@ -245,7 +246,7 @@ _OUT = ", e AS (SELECT *, {e} AS e, strlen(v) AS n FROM x), b AS (SELECT avg(e)
 @query("e03_e04_outliers", f"WITH x AS (SELECT doc_id, text AS v FROM documents WHERE text <> '')" + _OUT.format(e=_ENTROPY) +
        "SELECT doc_id, CASE WHEN abs(e - me) / greatest(se, 0.1) > 3 THEN CASE WHEN e > me + 3 * se THEN 85 ELSE 75 END END AS entropy_risk, CASE WHEN sl >= 0.1 AND abs(n - ml) / sl > 3 THEN CASE WHEN n > ml THEN 70 ELSE 60 END END AS length_risk FROM e, b")
 def e03(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").where("text <> ''").select("doc_id", F.col("text").alias("value"))
+    d = spread(table(spark, sf, "documents")).where("text <> ''").select("doc_id", F.col("text").alias("value"))
     return anomaly.outliers(d).select("doc_id", "entropy_risk", "length_risk")
 
 
