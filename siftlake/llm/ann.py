@@ -2,9 +2,11 @@
 
 Vectors are quantised by 4-bit codes of small subspaces. Codebooks and codes minimise a loss that weighs the part of the
 residual parallel to the vector ``eta`` times as much as the rest, since that part moves large inner products. A query
-builds tables of its products with the codewords; blocks of codes are scanned through these tables, and the best
-``RERANK`` of a block are scored exactly in double precision on the original vectors. Every block is scanned for every
-query, in pairs of bounded blocks; nothing is capped and no list of neighbours is approximate beyond the scan.
+builds tables of its products with the codewords; blocks of codes are scanned through these tables. Each vector keeps a
+bound of its quantisation error, so a table score tells the best exact score its vector can have: the best ``PROBE`` of a
+block give a first exact score to beat, and every vector that can still reach it is scored exactly in double precision on
+the original vectors, however many those are. Every block is scanned for every query, in pairs of bounded blocks; nothing
+is capped and the neighbours are the exact ones.
 
 Equal vectors are one class with its ``k + 1`` smallest ids, so that a vector held by a third of the rows costs one entry.
 
@@ -30,8 +32,8 @@ ROUNDS = 4
 CODEWORDS = 16
 #: Vectors and queries that meet in one task.
 VECTORS, QUERIES = 8192, 1024
-#: Candidates of each block that are scored exactly for a query.
-RERANK = 100
+#: Vectors of each block that are scored exactly first, for the score that the others have to reach.
+PROBE = 100
 #: Inner products of at least this share of the vector's norm are those that matter.
 SHARE = 0.2
 
@@ -117,22 +119,47 @@ class Codebook:
         return (high[..., :, None] + low[..., None, :]).reshape(len(queries), -1, CODEWORDS * CODEWORDS)
 
 
-def scan_block(book: Codebook, vectors: np.ndarray, codes: np.ndarray, queries: np.ndarray, keep: int):
-    """For each query the places of the ``keep`` best vectors of the block and their exact scores."""
+def error_bounds(book: Codebook, vectors: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """For each vector ``e``: a query of norm 1 has a table score within ``e`` of the exact one."""
+    words = np.stack([codes & 15, codes >> 4], 2).reshape(len(codes), -1)
+    parts = book.split(vectors)
+    coded = book.words[np.arange(parts.shape[1]), words]
+    norm = lambda x: np.sqrt((x**2).sum((1, 2)))
+    # Table scores are sums of as many single-precision numbers as a code has bytes.
+    rounding = (codes.shape[1] + 4) * 2.0**-23
+    return norm(parts - coded) * (1 + 1e-9) + rounding * norm(coded)
+
+
+def scan_block(book: Codebook, vectors: np.ndarray, codes: np.ndarray, errors: np.ndarray, queries: np.ndarray, keep: int):
+    """For each query the places of the ``keep`` best vectors of the block and their exact scores; ties by place."""
     m = len(vectors)
+    keep = min(keep, m)
+    probe = min(m, max(PROBE, keep))
+    norms = np.sqrt((vectors**2).sum(1))
     for x in range(0, len(queries), 64):
         q = queries[x : x + 64]
-        if m > RERANK:
-            tables = book.tables(q)
-            score = np.zeros((len(q), m), np.float32)
+        tables = book.tables(q)
+        score = np.zeros((len(q), m), np.float32)
+        with np.errstate(invalid="ignore", over="ignore"):
             for b in range(codes.shape[1]):
                 score += tables[:, b][:, codes[:, b]]
-            near = np.argpartition(-score, RERANK - 1, axis=1)[:, :RERANK]
-        else:
-            near = np.broadcast_to(np.arange(m), (len(q), m))
-        exact = np.einsum("qrd,qd->qr", vectors[near], q)
-        best = np.argsort(-exact, axis=1, kind="stable")[:, :keep]
-        yield np.take_along_axis(near, best, 1), np.take_along_axis(exact, best, 1)
+        first = np.argpartition(-score, probe - 1, axis=1)[:, :probe]
+        to_beat = -np.partition(-np.einsum("qrd,qd->qr", vectors[first], q), keep - 1, axis=1)[:, keep - 1]
+        length = np.sqrt((q**2).sum(1))
+        slack = length[:, None] * errors + 1e-30  # numbers below single precision count as zero in tables
+        reach = ~(score + slack < to_beat[:, None]) | ~np.isfinite(score)
+        some = np.flatnonzero(reach.any(axis=0))
+        # The products of a matrix may round apart from those kept: what is within that of the last kept one stays.
+        rough = q @ vectors[some].T
+        margin = 1e-12 * length * norms[some].max()
+        last = -np.partition(-rough, keep - 1, axis=1)[:, keep - 1] - margin
+        at, best = np.empty((len(q), keep), np.int64), np.empty((len(q), keep))
+        for k in range(len(q)):
+            near = some[~(rough[k] < last[k])]
+            exact = np.einsum("rd,d->r", vectors[near], q[k])
+            order = np.argsort(-exact, kind="stable")[:keep]
+            at[k], best[k] = near[order], exact[order]
+        yield at, best
 
 
 def matrix(column, width: int) -> np.ndarray:
@@ -171,12 +198,13 @@ def search(table: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     def quantise(batches):
         for batch in batches:
             codes = book.value.packed(matrix(batch["v"], width))
+            errors = error_bounds(book.value, matrix(batch["v"], width), codes)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], [*batch.schema.names, "code"]
+                [*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors)], [*batch.schema.names, "code", "error"]
             )
 
     coded = classes.select("rep", "v", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block"))
-    coded = materialize(coded.mapInArrow(quantise, "rep long, v array<double>, block int, code binary"), "ann-codes")
+    coded = materialize(coded.mapInArrow(quantise, "rep long, v array<double>, block int, code binary, error double"), "ann-codes")
 
     asks = materialize(own.where("asks").select("vec_id", "v").distinct().join(classes.select("v", "rep"), "v").select("vec_id", "rep"), "ann-asks")
     distinct = asks.select("rep").distinct().join(classes.select("rep", "v"), "rep")
@@ -188,9 +216,10 @@ def search(table: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     def scan(vectors: pa.Table, asked: pa.Table) -> pa.Table:
         out = {"q": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "score": np.zeros(0)}
         if len(vectors) and len(asked):
+            vectors = vectors.sort_by("rep")  # equal scores go to the smaller id
             x, reps = matrix(vectors["v"], width), vectors["rep"].to_numpy()
             codes = np.frombuffer(b"".join(vectors["code"].to_pylist()), np.uint8).reshape(len(x), -1)
-            found = list(scan_block(book.value, x, codes, matrix(asked["v"], width), k + 1))
+            found = list(scan_block(book.value, x, codes, vectors["error"].to_numpy(), matrix(asked["v"], width), k + 1))
             at, score = (np.concatenate([f[i] for f in found]) for i in (0, 1))
             out = {"q": np.repeat(asked["q"].to_numpy(), at.shape[1]), "rep": reps[at.ravel()], "score": score.ravel()}
         return pa.table(out)

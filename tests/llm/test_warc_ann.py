@@ -128,6 +128,34 @@ def test_recall(spark, monkeypatch):
     assert recall >= 0.9
 
 
+def test_large_groups_of_near_copies(spark):
+    """More near copies in a block than are scored first: their codes are the same, their order is not."""
+    x = vectors(3000, 64)
+    near = np.random.default_rng(3).normal(size=(1200, 64))
+    for first, to in ((0, 600), (600, 1200)):
+        x[first:to] = x[first] + 0.002 * near[first:to]
+    ids = [*range(3000)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    got = ann.search(df, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect()
+    score = x[::20].astype(float) @ x.astype(float).T
+    np.put_along_axis(score, np.arange(0, 3000, 20)[:, None], -9, 1)
+    top = np.argsort(-score, axis=1, kind="stable")[:, :20]
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert [found[20 * k] for k in range(len(top))] == top.tolist()
+
+
+def test_error_bounds_hold():
+    x = vectors(3000, 30).astype(float) * np.random.default_rng(5).uniform(0.01, 50, 3000)[:, None]
+    book = ann.Codebook.fit(x[:1000])
+    codes, q = book.packed(x), x[:50]
+    tables = book.tables(q)
+    score = sum(tables[:, b][:, codes[:, b]] for b in range(codes.shape[1]))
+    slack = np.linalg.norm(q, axis=1)[:, None] * ann.error_bounds(book, x, codes)
+    assert (np.abs(score - q @ x.T) <= slack).all()
+
+
 def test_anisotropic_loss_is_lower():
     x = vectors(2000, 32).astype(float)
     book = ann.Codebook.fit(x)
