@@ -105,20 +105,29 @@ def canonical_of(alternates: DataFrame, probe: DataFrame) -> DataFrame:
     return probe.join(alternates.select("alternate_hash", "canonical_hash"), "alternate_hash")
 
 
-def cooccurrence(occurrences: DataFrame, group: list[str], node: str = "address_hash", most: int = 200) -> DataFrame:
+#: Nodes of a group on either side of a join that meet under one key.
+BLOCK = 256
+
+
+def cooccurrence(occurrences: DataFrame, group: list[str], node: str = "address_hash", most: int | None = None) -> DataFrame:
     """G-07: undirected edges ``canonical_hash_1 < canonical_hash_2`` with counts, from nodes that share a group.
 
-    A group of more than ``most`` nodes (no row of a dump has that many addresses) would mean all pairs; its nodes are
-    linked to its smallest node instead, which keeps it connected.
+    All pairs of every group are counted. The nodes of a group of more than ``BLOCK`` are dealt into blocks that meet in
+    pairs under keys of their own, so that no task gets a whole group. Only where a caller names ``most``, groups of more
+    nodes are reduced to links with their smallest node, which keeps them connected but not their counts.
     """
-    own = occurrences.select(*group, F.col(node).alias("n")).distinct()
+    own = occurrences.select(*group, F.col(node).alias("n")).where(F.col(node).isNotNull()).distinct()
     sized = own.groupBy(*group).agg(F.count("*").alias("size"), F.min("n").alias("least"))
-    small = own.join(sized.where(f"size BETWEEN 2 AND {most}").select(*group), group)
-    a = small.withColumnRenamed("n", "canonical_hash_1")
-    b = small.withColumnRenamed("n", "canonical_hash_2")
-    pairs = a.join(b, group).where("canonical_hash_1 < canonical_hash_2").select("canonical_hash_1", "canonical_hash_2")
-    star = own.join(sized.where(f"size > {most}"), group).where("n > least")
-    pairs = pairs.union(star.select(F.col("least").alias("canonical_hash_1"), F.col("n").alias("canonical_hash_2")))
+    whole = sized.where("size > 1") if most is None else sized.where(f"size BETWEEN 2 AND {most}")
+    blocks = whole.select(*group, F.ceil(F.col("size") / BLOCK).cast("int").alias("__blocks"))
+    dealt = own.join(blocks, group).withColumn("__own", F.pmod(F.xxhash64("n"), F.col("__blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
+    a = dealt.select(*group, F.col("n").alias("canonical_hash_1"), F.col("__own").alias("__x"), every.alias("__y"))
+    b = dealt.select(*group, F.col("n").alias("canonical_hash_2"), F.col("__own").alias("__y"), every.alias("__x"))
+    pairs = a.join(b, [*group, "__x", "__y"]).where("canonical_hash_1 < canonical_hash_2").select("canonical_hash_1", "canonical_hash_2")
+    if most is not None:
+        star = own.join(sized.where(f"size > {most}"), group).where("n > least")
+        pairs = pairs.union(star.select(F.col("least").alias("canonical_hash_1"), F.col("n").alias("canonical_hash_2")))
     return pairs.groupBy("canonical_hash_1", "canonical_hash_2").agg(F.count("*").alias("cooccurrence_count"))
 
 

@@ -67,6 +67,13 @@ def test_cooccurrence_of_large_groups_stays_connected(spark):
     assert len(edges) == 5 and sum(e.cooccurrence_count for e in edges) == 6
 
 
+def test_cooccurrence_counts_all_pairs_of_large_groups(spark):
+    nodes = [f"n{i:03}" for i in range(600)]
+    df = spark.createDataFrame([(1, n) for n in nodes] + [(2, n) for n in nodes[:201]] + [(3, "n000"), (3, "n000"), (3, None), (None, "n001")], "g int, address_hash string")
+    edges = {(e.canonical_hash_1, e.canonical_hash_2): e.cooccurrence_count for e in history.cooccurrence(df, ["g"]).collect()}
+    assert edges == {(a, b): 1 + (b < "n201") for i, a in enumerate(nodes) for b in nodes[i + 1 :]}
+
+
 def test_similar(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, [1.0, 0.0, 0.0]), (6, None)]
     df = spark.createDataFrame(rows, "id long, embedding array<float>")
