@@ -56,12 +56,17 @@ def find_similar(stored: DataFrame, queries: DataFrame, threshold: float = 0.85,
 
 
 def find_duplicates(probe: DataFrame, known: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """G-11: ``id, duplicate_of, how``: the known row of the same hash, else the most similar one.
+    """G-11: ``id, duplicate_of, how``: the least known row of the same hash, else the most similar one.
 
-    ``probe`` and ``known``: ``id, address_hash, embedding``.
+    ``probe`` and ``known``: ``id, address_hash, embedding``. A row is no duplicate of itself, so that the probes may be
+    known rows.
     """
-    exact = probe.select("id", "address_hash").join(known.groupBy("address_hash").agg(F.min("id").alias("duplicate_of")), "address_hash")
-    exact = exact.select("id", "duplicate_of", F.lit("hash").alias("how"))
+    least = known.groupBy("address_hash").agg(F.min("id").alias("least"))
+    after = known.select("address_hash", "id").join(least, "address_hash").where("id > least")
+    after = after.groupBy("address_hash").agg(F.min("id").alias("after"))
+    exact = probe.select("id", "address_hash").join(least, "address_hash").join(after, "address_hash", "left")
+    exact = exact.select("id", F.when(F.col("id") != F.col("least"), F.col("least")).otherwise(F.col("after")).alias("duplicate_of"))
+    exact = exact.where("duplicate_of IS NOT NULL").withColumn("how", F.lit("hash"))
     left = probe.join(exact, "id", "left_anti")
     similar = find_similar(known.select("id", "embedding"), left.select("id", "embedding"), threshold, 1)
     return exact.union(similar.select(F.col("query_id").alias("id"), F.col("id").alias("duplicate_of"), F.lit("similar").alias("how")))

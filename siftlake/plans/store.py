@@ -192,6 +192,17 @@ def g11(spark: SparkSession, sf: str) -> DataFrame:
     return similar.find_duplicates(p, k, 0.3)
 
 
+# Against all rows but their own, two thirds of the queries without a hash.
+_GROUP = "CASE WHEN vec_id % 3 = 0 THEN vec_id // 120 END"
+
+
+@query("g11_find_duplicates_all", f"WITH h AS (SELECT *, {_GROUP} AS h FROM embeddings), m AS (SELECT q.vec_id AS id, s.vec_id AS o, {_COS} AS c FROM embeddings q JOIN embeddings s ON q.vec_id % 20 = 0 AND q.vec_id <> s.vec_id), b AS (SELECT id, o, c FROM m WHERE c >= 0.3 QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, o) = 1), x AS (SELECT q.vec_id AS id, min(s.vec_id) AS o FROM h q JOIN h s ON q.vec_id % 20 = 0 AND q.vec_id <> s.vec_id AND q.h = s.h GROUP BY 1) SELECT id, o AS duplicate_of, 'hash' AS how FROM x UNION ALL SELECT id, o, 'similar' FROM b WHERE id NOT IN (SELECT id FROM x)")
+def g11_all(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    e = e.withColumn("address_hash", F.when(F.col("id") % 3 == 0, F.floor(F.col("id") / 120).cast("string")))
+    return similar.find_duplicates(e.where("id % 20 = 0"), e, 0.3)
+
+
 @query("g13_high_risk", "SELECT o_orderkey AS file_id, o_custkey AS risk_score FROM orders WHERE o_custkey > 900")
 def g13(spark: SparkSession, sf: str) -> DataFrame:
     return history.high_risk(table(spark, sf, "orders").select(F.col("o_orderkey").alias("file_id"), F.col("o_custkey").alias("risk_score")), 900)

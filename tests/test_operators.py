@@ -82,6 +82,13 @@ def test_similar(spark):
     assert one(spark, similar.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) is None
 
 
+def test_duplicates_among_known_rows(spark):
+    rows = [(1, "a", [1.0, 0.0]), (2, "a", [0.0, 1.0]), (3, "b", [0.1, 1.0]), (4, None, [0.0, -1.0]), (5, "a", None), (6, None, None)]
+    df = spark.createDataFrame(rows, "id long, address_hash string, embedding array<float>")
+    got = similar.find_duplicates(df, df).collect()
+    assert sorted(map(tuple, got)) == [(1, 2, "hash"), (2, 1, "hash"), (3, 2, "similar"), (5, 1, "hash")]
+
+
 def test_wordlists(spark, tmp_path):
     (tmp_path / "w.txt").write_text("# no\n\n secret \nadmin\n")
     before = wordlist.signatures(spark, str(tmp_path)).collect()
