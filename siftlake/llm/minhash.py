@@ -9,8 +9,8 @@ Buckets whose documents ended in more than one component then have every pair wi
 compared, large buckets in blocks that emit links only, so that no link of a shared band is lost.
 
 Defined results: a null text, or one without words, is alone in its class; fewer than ``SHINGLE`` words are one shingle;
-documents without ``doc_id`` are left out of classes by ``classes`` and kept by ``keep_one``; repeated rows are in one
-class; an empty table gives no rows; other columns are ignored, or carried by ``keep_one``.
+documents without ``doc_id`` are left out of classes by ``classes`` and kept by ``keep_one``; rows that share a ``doc_id``
+are in one class, and each of their texts is compared by itself; an empty table gives no rows; other columns are ignored, or carried by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -127,26 +127,28 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, shingles``: sorted 32-bit hashes of (shingle, occurrence), so that plain sets compare the multisets."""
+    """``doc_id, q1, q2, shingles``: sorted 32-bit hashes of (shingle, occurrence), so that plain sets compare the multisets."""
 
     def run(batches):
         for batch in pieces(batches):
             texts, ids = normalized(batch["text"].to_pylist()), batch["doc_id"]
             for x, y in slices([len(t) for t in texts], SLICE_BYTES):
-                doc, element, times = shingles(Words(texts[x:y], PUNCTUATION))
+                words = Words(texts[x:y], PUNCTUATION)
+                whole = [RangeHash(words.hashes, k)(words.first[:-1], words.first[1:]).view(np.int64) for k in (0, 1)]
+                doc, element, times = shingles(words)
                 which = np.repeat(np.arange(len(doc)), times)
                 nth = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
                 with np.errstate(over="ignore"):
                     value = (mix(element[which] + nth.astype(U) * U(0x9E6C63D0876A9A47)) >> U(32)).astype(np.uint32)
                 at = np.searchsorted(doc[which], np.arange(y - x + 1))
                 sets = [np.sort(value[at[k] : at[k + 1]]).tobytes() for k in range(y - x)]
-                yield pa.RecordBatch.from_arrays([ids[x:y], pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([ids[x:y], *map(pa.array, whole), pa.array(sets, pa.binary())], ["doc_id", "q1", "q2", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
+    return docs.mapInArrow(run, "doc_id long, q1 long, q2 long, shingles binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those ``pairs`` (``a, b``) whose shingle sets have a Jaccard similarity of ``threshold`` or more."""
+    """Those ``pairs`` of texts (``a, b``) whose sets have a Jaccard similarity of ``threshold`` or more, as documents."""
 
     def run(batches):
         for batch in batches:
@@ -160,9 +162,10 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sa = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    sb = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    sa = sets.select(F.col("t").alias("a"), F.col("shingles").alias("sa"))
+    sb = sets.select(F.col("t").alias("b"), F.col("shingles").alias("sb"))
+    both = pairs.join(sa, "a").join(sb, "b").select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), "sa", "sb")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def bucket_links(outside: pa.Table, everyone: pa.Table, threshold: float) -> pa.Table:
@@ -198,30 +201,40 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     signed = materialize(sign(docs), "minhash-signed")
     texts = signed.where(F.col("bands").isNotNull()).groupBy("q1", "q2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     texts = materialize(texts, "minhash-texts")
-    bands = texts.select("rep", F.posexplode("bands").alias("band", "key"))
+    # A text is known by its smallest document and its hashes: a document may have several texts.
+    bands = texts.select(F.struct("rep", "q1", "q2").alias("t"), F.posexplode("bands").alias("band", "key"))
     shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(bands.join(by_shuffle(materialize(shared, "minhash-shared")), ["band", "key"]), "minhash-members")
 
     # The pivot of a bucket is its document with the most band partners overall: the centre of a group of copies, to
     # which the others are nearer than to each other.
-    degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
-    ranked = members.join(degree, "rep")
-    pivots = ranked.groupBy("band", "key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("minus"))).alias("top"))
+    degree = members.groupBy("t").agg(F.sum("n").alias("degree"))
+    ranked = members.join(degree, "t")
+    pivots = ranked.groupBy("band", "key").agg(F.max(F.struct("degree", (-F.col("t.rep")).alias("minus"), "t")).alias("top"))
     # Written, so that the join below is dealt by an exchange of its own, which AQE may split at a hot bucket.
-    pivots = materialize(pivots.select("band", "key", (-F.col("top.minus")).alias("pivot")), "minhash-pivots")
-    pairs = members.join(pivots, ["band", "key"]).where("rep <> pivot")
-    pairs = materialize(pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), "minhash-pairs")
+    pivots = materialize(pivots.select("band", "key", F.col("top.t").alias("pivot")), "minhash-pivots")
+    pairs = members.join(pivots, ["band", "key"]).where("t.rep <> pivot.rep")
+    pairs = materialize(pairs.select(F.least("t", "pivot").alias("a"), F.greatest("t", "pivot").alias("b")).distinct(), "minhash-pairs")
 
-    ids = materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "minhash-ids")
+    ids = materialize(members.select(F.col("t.rep").alias("doc_id")).distinct(), "minhash-ids")
     rows = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull())
     wanted = rows.join(ids, "doc_id", "left_semi")
-    sets = materialize(shingle_sets(wanted).dropDuplicates(["doc_id"]), "minhash-sets")
-    links = materialize(verify(pairs, sets, threshold), "minhash-links")
+    text = ["doc_id", "q1", "q2"]
+    sets = shingle_sets(wanted).dropDuplicates(text)
+    sets = materialize(sets.select(F.struct(F.col("doc_id").alias("rep"), "q1", "q2").alias("t"), "shingles"), "minhash-sets")
+
+    # Documents of several texts join the classes of all of them.
+    both = F.struct("q1", "q2")
+    several = signed.groupBy("doc_id").agg(F.min(both).alias("x"), F.max(both).alias("y")).where("x <> y").select("doc_id")
+    several = materialize(several, "minhash-several")
+    same = signed.select(*text).join(several, "doc_id", "left_semi").join(texts.select("q1", "q2", "rep"), ["q1", "q2"])
+    same = same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    links = materialize(verify(pairs, sets, threshold).union(same), "minhash-links")
     component = materialize(connected_components(links), "minhash-components")
 
     # Buckets with several components: every pair of a document outside the largest with one of another component.
     where = component.select(F.col("node").alias("rep"), "component")
-    at = members.join(where, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    at = members.withColumn("rep", F.col("t.rep")).join(where, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = at.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band", "key").agg(
         F.count("*").alias("m"), F.sum("n").alias("all"), F.max_by("component", F.struct("n", "component")).alias("largest")
@@ -230,15 +243,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     outside = lambda df: df.where("component <> largest")
 
     few = at.where(F.col("all") <= SMALL_BUCKET)
-    x = outside(few).select("band", "key", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    y = few.select("band", "key", F.col("rep").alias("y"), F.col("component").alias("cy"))
+    x = outside(few).select("band", "key", F.col("t").alias("x"), F.col("component").alias("cx"))
+    y = few.select("band", "key", F.col("t").alias("y"), F.col("component").alias("cy"))
     more = x.join(y, ["band", "key"]).where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     more = materialize(more.distinct().join(pairs, ["a", "b"], "left_anti"), "minhash-more")
 
     # Larger ones are compared in blocks within tasks; only links leave them.
     many = at.where(F.col("all") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int"))
-    many = many.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
-    deal = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col("blocks")).cast("int")
+    many = many.join(sets, "t")
+    deal = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "t"), F.col("blocks")).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     block = ["band", "key", "xb", "yb"]
     left = outside(many).withColumn("xb", deal("x")).withColumn("yb", others).select(*block, "rep", "component", "shingles")
@@ -250,11 +263,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = links.union(verify(more, sets, threshold)).union(blocked)
     component = connected_components(links, name="cc2").select(F.col("node").alias("rep"), F.col("component").alias("class"))
 
+    alone = signed.where(F.col("bands").isNull()).select("doc_id").join(component.withColumnRenamed("rep", "doc_id"), "doc_id", "left")
+    alone = alone.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
     texts = texts.select("q1", "q2", "rep").join(component, "rep", "left")
-    out = signed.select("doc_id", "q1", "q2", F.col("bands").isNull().alias("alone"))
-    out = out.join(texts, ["q1", "q2"], "left")
-    found = F.when(F.col("alone"), F.col("doc_id")).otherwise(F.coalesce("class", "rep"))
-    return out.select("doc_id", found.alias("class_id"))
+    out = signed.where(F.col("bands").isNotNull()).select(*text).join(texts, ["q1", "q2"])
+    return out.select("doc_id", F.coalesce("class", "rep").alias("class_id")).union(alone)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

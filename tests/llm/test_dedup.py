@@ -122,6 +122,23 @@ def test_classes(spark, monkeypatch, small):
     assert minhash.classes(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("small", [16, 1])
+def test_classes_of_ids_with_several_texts(spark, monkeypatch, small):
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", small)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    words = vocabulary(9)
+    rng = random.Random(4)
+    text = [[rng.choice(words) for _ in range(120)] for _ in range(12)]
+    near = lambda k: " ".join([*text[k][:-1], "other"])
+    rows = [(5, " ".join(text[k])) for k in range(10)] + [(20 + k, near(k)) for k in range(10)]  # ten texts of one id
+    rows += [(40, " ".join(text[10])), (41, near(10)), (50, " ".join(text[11])), (51, near(11)), (60, " ".join(text[10])), (60, near(11))]
+    rows += [(70, None), (70, " ".join(text[11])), (71, None), (1, "short")]
+    got = minhash.classes(frame(spark, rows)).collect()
+    by_hand = classes_by_hand(rows)
+    assert len(got) == len(rows) and {(r.doc_id, r.class_id) for r in got} == set(by_hand.items())
+    assert {by_hand[i] for i in (40, 41, 50, 51, 60, 70)} == {40} and by_hand[29] == 5
+
+
 def test_keep_one(spark):
     rows = [r for r in corpus() if r[0] != 7]
     df = frame(spark, rows)
