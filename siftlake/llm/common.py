@@ -121,7 +121,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), f"{name}-e"
     )
     last = None
-    for _ in range(60):
+    while True:  # until the labels have settled
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from siftlake.llm import minhash, substring
+from siftlake.llm import common, minhash, substring
 from siftlake.llm.common import connected_components
 
 WINDOW = 50
@@ -167,6 +167,13 @@ def test_components(spark):
     assert {r.node: r.component for r in got} == {i: 1 for i in range(1, 41)} | {100: 100, 200: 100, 300: 100}
 
 
+def test_components_settle(spark, monkeypatch):
+    """No bound of rounds: one of a single round would leave a path split."""
+    monkeypatch.setattr(common, "range", lambda n: [0], raising=False)
+    got = connected_components(spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == dict.fromkeys(range(1, 41), 1)
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     words = vocabulary(9)
