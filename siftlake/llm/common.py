@@ -11,11 +11,14 @@ import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from siftlake.scratch import shared_path
 
-#: A side this small (bytes of its written Parquet files) may be broadcast; larger ones are shuffled.
+#: A side this small (``memory_bytes``) may be broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 8 << 20
+#: Shuffled bytes (compressed) that one task of a written table reads.
+SHUFFLE_BYTES = "24m"
 
 #: Rows of an Arrow batch and bytes of text that a Python worker looks at together.
 BATCH_ROWS, PIECE_BYTES = 1000, 1 << 20
@@ -32,20 +35,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def remove(path: str) -> None:
+    """Delete a folder of the shared folder, if it is still there."""
+    with contextlib.suppress(Exception):
+        fs, p = filesystem(path)
+        fs.delete_dir(p)
+    if path in _written:
+        _written.remove(path)
+
+
 @atexit.register
 def _remove_scratch() -> None:
-    for path in _written:
-        with contextlib.suppress(Exception):
-            fs, p = filesystem(path)
-            fs.delete_dir(p)
+    for path in [*_written]:
+        remove(path)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and inner path of a URI or an absolute path, on the driver or an executor."""
-    return pafs.FileSystem.from_uri(uri)
+    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if uri.startswith("s3a://") else uri)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def write_table(df: DataFrame, name: str) -> tuple[str, DataFrame]:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     conf = {
@@ -53,13 +63,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         # Few files of a decent size (Spark's default) instead of many small ones: each costs a task, and on local disks a
         # process for its permissions.
         "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": SHUFFLE_BYTES,
     }
     with settings(df.sparkSession, conf):
         df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._siftlake_path = path
-    return out
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``write_table`` for a table that stays until the driver process ends."""
+    return write_table(df, name)[1]
+
+
+class Tables:
+    """The written tables of one run of an operator by name, so that those no longer read can go before its end."""
+
+    def __init__(self, prefix: str):
+        self.prefix, self.paths = prefix, {}
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths[name], out = write_table(df, f"{self.prefix}-{name}")
+        return out
+
+    def drop(self, *names: str) -> None:
+        """Remove tables that neither a lazy result nor a later step reads."""
+        for name in names:
+            remove(self.paths.pop(name))
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -81,11 +110,13 @@ def by_shuffle(df: DataFrame) -> DataFrame:
     return df.hint("shuffle_merge")
 
 
-def written_bytes(df: DataFrame) -> int:
-    """Bytes of the files behind a ``materialize`` result."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._siftlake_path)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+def memory_bytes(df: DataFrame) -> int:
+    """A bound of what the rows of ``df`` take in memory: 32 bytes for each, 16 for each value, and the bytes of strings."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, (StringType, BinaryType))]
+    size = F.lit(32 + 16 * len(df.columns)).cast("long")
+    for name in texts:
+        size = size + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+    return df.agg(F.sum(size)).first()[0] or 0
 
 
 @contextlib.contextmanager
@@ -113,31 +144,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -> DataFrame:
     """``(node, component)`` of an undirected edge table of longs, component = smallest node.
 
-    Alternating large-star and small-star rounds on written tables: O(log^2 n) rounds, edges never leave the executors,
-    and a node with many neighbours is reduced by a partially combined ``min`` and a join that AQE may split.
+    Alternating large-star and small-star rounds on written tables until the labels have settled: O(log^2 n) rounds, edges
+    never leave the executors, and a node with many neighbours is reduced by a partially combined ``min`` and a join that
+    AQE may split. Tables of earlier rounds are removed. The result reads one written table.
     """
-    spark = edges.sparkSession
-    e = materialize(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), f"{name}-e"
-    )
-    last = None
+    at, e = write_table(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), f"{name}-e")
     while True:  # until the labels have settled
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        e2 = materialize(large, f"{name}-l")
+        at_large, e2 = write_table(large.where("u <> v").distinct(), f"{name}-l")
         low = e2.groupBy("u").agg(F.min("v").alias("m"))
         small = e2.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = materialize(small.where("u <> v").distinct(), f"{name}-s")
-        now = e.agg(
-            F.count("*").alias("n"),
-            F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0)).alias("h"),
-            F.count_distinct("u").alias("d"),
-        ).first()
-        if now.n == now.d and last is not None and (now.n, now.h) == last:
+        remove(at)
+        at, e = write_table(small.where("u <> v").distinct(), f"{name}-s")
+        remove(at_large)
+        # Settled: every node has one edge, to a node that has none, which a further round would leave as it is.
+        now = e.agg(F.count("*").alias("n"), F.count_distinct("u").alias("d")).first()
+        if now.n == now.d and not e.join(e.select(F.col("v").alias("u")), "u", "left_semi").head(1):
             break
-        last = (now.n, now.h)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -133,13 +133,14 @@ WITH d AS (
 ), b AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f
 ), hosts AS (
-  SELECT source, count(*) AS n, sum(CAST(base_failed AS INT)) AS k FROM b WHERE source IS NOT NULL GROUP BY source
+  SELECT source, count(*) AS n, sum(CAST(base_failed AS INT)) AS k FROM b WHERE source <> '' GROUP BY source
+), moments AS (
+  SELECT sum(k) / sum(n) AS m, var_pop(k / n) AS v, avg(1 / n) AS few FROM hosts
 ), prior AS (
-  SELECT sum(k) / sum(n) AS m, greatest(var_pop(k / n), 1e-9) AS v FROM hosts
+  SELECT m, CASE WHEN m * (1 - m) > 0 AND v > m * (1 - m) * few
+    THEN least(greatest((m * (1 - m) - v) / (v - m * (1 - m) * few), 1.0), 1e4) ELSE 1e4 END AS c FROM moments
 ), bad AS (
-  SELECT source FROM (
-    SELECT source, k, n, m, least(greatest(m * (1 - m) / v - 1, 1.0), 1e4) AS c FROM hosts, prior
-  ) WHERE (k + m * c) / (n + c) > 0.5
+  SELECT source FROM hosts, prior WHERE (k + m * c) / (n + c) > 0.5
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   bad.source IS NOT NULL AS host_failed, NOT base_failed AND bad.source IS NULL AS kept
