@@ -1,12 +1,14 @@
 """WARC archives as a Python data source named ``warc``: writer, and reader with pushed predicates.
 
 Each record is a gzip member of its own that states its compressed length in an extra field, so that the reader inflates
-only a record's headers, applies the predicates on record type and headers, and seeks past payloads nobody asked for;
-members without that field are inflated to their end. Partitions are files, small ones put together.
+only a record's headers, applies the predicates on record type and headers, and seeks past payloads of which neither
+text, digest nor length is asked for; members without that field are inflated to their end, unread. Partitions are files,
+small ones put together.
 
 Defined results: a null html is an empty payload; a null page id is written without that header and read as null; among
 equal payloads the largest page id is the response, rows that share it are all responses, null ids count as smallest;
-an empty table gives an empty archive; columns of other names are ignored.
+an empty table gives an empty archive; columns of other names are ignored. A payload is held whole, about three times
+its size for a moment, in the task that writes or decodes it. An archive that ends within a record raises ``EOFError``.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ LISTING = "_files.json"
 FILE_BYTES = 128 << 20
 PARTITION_BYTES = 64 << 20
 LEVEL = 6
+#: Fixed value: the first bytes of a gzip member.
+MAGIC = b"\x1f\x8b"
 #: Fixed value: the profile that the WARC 1.1 format names for revisits of an equal payload.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -61,7 +65,7 @@ def gzip_member(data: bytes) -> bytes:
     packer = zlib.compressobj(LEVEL, zlib.DEFLATED, -15)
     body = packer.compress(data) + packer.flush()
     total = 10 + 2 + 8 + len(body) + 8
-    head = b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff" + struct.pack("<H2sHI", 8, b"sl", 4, total)
+    head = MAGIC + b"\x08\x04" + bytes(4) + b"\x00\xff" + struct.pack("<H2sHI", 8, b"sl", 4, total)
     return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -186,12 +190,11 @@ class WarcReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], self.columns)
 
     def records(self, f):
-        """Rows of one file that fit the predicates."""
-        while True:
-            start = f.tell()
-            member = Member(f) if f.read(2) == b"\x1f\x8b" else None
-            f.seek(start)
-            stream = member or Plain(f)
+        """Rows of one file that fit the predicates; raises where the file ends within a record."""
+        decodes = {"payload", "payload_digest", "payload_bytes"} & {*self.columns}
+        while magic := f.read(2):
+            f.seek(f.tell() - len(magic))
+            stream = (Member if magic == MAGIC else Plain)(f)
             head = stream.start()
             if head is None:
                 return
@@ -199,19 +202,19 @@ class WarcReader(DataSourceReader):
             for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
                 key, _, value = line.partition(":")
                 headers[key.strip().lower()] = value.strip()
+            length = int(headers["content-length"])
             values = {c: self.value(c, headers) for c in HEADERS}
             if all(values[c] in want for c, want in self.wanted.items()):
-                if self.columns and ("payload" in self.columns or values["payload_bytes"] is None or values["record_type"] == "response"):
-                    block = stream.block(int(headers["content-length"]))
+                if decodes and values["record_type"] != "revisit":
+                    block = stream.block(length)
                     payload = block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
-                    if values["record_type"] != "revisit":
-                        values["payload_bytes"] = len(payload)
-                        if "payload_digest" in self.columns:
-                            values["payload_digest"] = digest(payload)
-                        if "payload" in self.columns:
-                            values["payload"] = payload.decode("utf-8", "replace")
+                    values["payload_bytes"] = len(payload)
+                    if "payload_digest" in decodes:
+                        values["payload_digest"] = digest(payload)
+                    if "payload" in decodes:
+                        values["payload"] = payload.decode("utf-8", "replace")
                 yield [values.get(c) for c in self.columns]
-            stream.skip(int(headers["content-length"]))
+            stream.skip(length)
 
     @staticmethod
     def value(column: str, headers: dict):
@@ -221,6 +224,10 @@ class WarcReader(DataSourceReader):
         return int(value) if value is not None and column in LONGS else value
 
 
+def cut_short(f, what: str) -> EOFError:
+    return EOFError(f"archive ends within {what}, at byte {f.tell()}")
+
+
 class Plain:
     """An uncompressed record at the file's position."""
 
@@ -228,40 +235,51 @@ class Plain:
         self.f, self.at, self.head_end = f, f.tell(), 0
 
     def start(self):
+        """The record's head; None where only line ends are left."""
         data = b""
-        while b"\r\n\r\n" not in data:
-            more = self.f.read(4096)
+        while b"\r\n\r\n" not in data.lstrip():
+            more = self.f.read(max(4096, len(data)))
             if not more:
+                if data.strip():
+                    raise cut_short(self.f, "the head of a record")
                 return None
             data += more
-        head = data.partition(b"\r\n\r\n")[0]
-        self.head_end = self.at + len(head) + 4
+        blank = len(data) - len(data.lstrip())
+        head = data[blank:].partition(b"\r\n\r\n")[0]
+        self.head_end = self.at + blank + len(head) + 4
         return head
 
     def block(self, n: int) -> bytes:
         self.f.seek(self.head_end)
-        return self.f.read(n)
+        data = self.f.read(n)
+        if len(data) < n:
+            raise cut_short(self.f, "a block")
+        return data
 
     def skip(self, n: int) -> None:
-        self.f.seek(self.head_end + n + 4)
+        end = self.head_end + n
+        if end > self.f.size():
+            raise cut_short(self.f, "a block")
+        self.f.seek(min(end + 4, self.f.size()))
 
 
 class Member:
     """A gzip member at the file's position, inflated only as far as somebody asks."""
 
     def __init__(self, f):
-        self.f, self.at, self.data = f, f.tell() - 2, b""
+        self.f, self.at, self.data = f, f.tell(), b""
 
     def start(self):
-        self.f.seek(self.at)
         fixed = self.f.read(20)
-        self.length = struct.unpack("<I", fixed[16:20])[0] if fixed[3] & 4 and fixed[12:14] == b"sl" else None
+        known = len(fixed) == 20 and fixed[3] & 4 and fixed[12:14] == b"sl"
+        self.length = struct.unpack("<I", fixed[16:20])[0] if known else None
+        if known and self.at + self.length > self.f.size():
+            raise cut_short(self.f, "a gzip member")
         self.f.seek(self.at)
         self.inflater = zlib.decompressobj(31)
-        self.head = None
         while b"\r\n\r\n" not in self.data:
-            if not self._more(2048):
-                return None
+            if not self._more(max(2048, len(self.data))):
+                raise cut_short(self.f, "the head of a record")
         head, _, self.data = self.data.partition(b"\r\n\r\n")
         return head
 
@@ -280,7 +298,7 @@ class Member:
         while have < n:
             self.data = b""
             if not self._more(1 << 20):
-                break
+                raise cut_short(self.f, "a block")
             parts.append(self.data)
             have += len(self.data)
         self.data = b"".join(parts)
@@ -290,8 +308,10 @@ class Member:
         if self.length is not None:
             self.f.seek(self.at + self.length)
             return
-        while not self.inflater.eof and self._more(1 << 20):
+        while not self.inflater.eof:
             self.data = b""
+            if not self._more(1 << 20):
+                raise cut_short(self.f, "a gzip member")
         self.f.seek(self.f.tell() - len(self.inflater.unused_data))
 
 
@@ -320,7 +340,7 @@ def register(spark: SparkSession) -> None:
 def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """``page_id, url, html, record_type, refers_to``: of equal payloads the largest page id is the response."""
     own = pages.select(F.col("page_id").cast("long"), "url", "html")
-    own = own.withColumn("__digest", F.concat(F.sha1(F.coalesce("html", F.lit(""))), F.octet_length(F.coalesce("html", F.lit("")))))
+    own = own.withColumn("__digest", F.sha2(F.coalesce("html", F.lit("")), 256))  # SHA-1, as in the headers, has known collisions
     size = F.octet_length(F.coalesce("html", F.lit("")))
     groups = own.where(size >= least_bytes).groupBy("__digest").agg(F.count("*").alias("n"), F.max("page_id").alias("keep"))
     groups = materialize(groups.where("n > 1 AND keep IS NOT NULL").select("__digest", "keep"), "warc-groups")
