@@ -5,7 +5,9 @@ again and again, one boundary is deleted and the two neighbouring ranks are refr
 bytes, where repeated scans would be quadratic, go through a heap over linked parts that merges in the same order.
 
 Defined results: a null text is empty (no ids, empty decoded text); repeated rows and null ids are kept as they are;
-strings of special tokens in a text become those tokens; bytes that are not UTF-8 after decoding become U+FFFD.
+strings of special tokens in a text become those tokens; bytes that are not UTF-8 after decoding become U+FFFD; an empty
+table gives no rows; other columns are ignored. Texts are encoded whole, one at a time beyond ``PIECE_BYTES``: a worker
+holds about 40 bytes for each byte of the longest.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm.common import pieces
-from siftlake.llm.tokens import BYTE_CHUNKS, ChunkCache
+from siftlake.llm.tokens import BYTE_CHUNKS, ChunkCache, byte_characters
 
 SHORT = 128
 NONE = 1 << 60
@@ -29,20 +31,13 @@ NONE = 1 << 60
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def byte_alphabet() -> dict[str, int]:
-    """Characters of the file to bytes: printable ones stand for themselves, the others are moved to 256 and up."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    moved = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(moved)}
-
-
 class Bpe:
     """A byte-level BPE model read from a ``tokenizers`` JSON file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        alphabet = byte_alphabet()
+        alphabet = {c: b for b, c in enumerate(byte_characters())}
         raw = lambda token: bytes(alphabet[c] for c in token)
         vocab = spec["model"]["vocab"]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -60,7 +55,7 @@ class Bpe:
         self.path, self.alphabet, self.pretokenizer = path, alphabet, None
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
         self.known: dict[str, bytes] = {}
-        self.chunked = ChunkCache(BYTE_CHUNKS, lambda new: [self._chunk(c) for c in new], [*self.specials], self._whole)
+        self.chunked = ChunkCache(BYTE_CHUNKS, lambda new: [self._chunk(c) for c in new], [*self.specials], self._whole, len(self.bytes_of) - 1)
 
     def _short(self, ids: list[int]) -> list[int]:
         merge = self.merge

@@ -6,7 +6,8 @@ Tasks write under names of their own attempt; only files named in the manifest c
 leave no trace in what is read.
 
 Defined results: a null text is empty (the end id only); null keys and repeated keys are stored and found by their
-occurrence number; an empty table gives a store without shards; other columns are ignored.
+occurrence number; an id that does not fit the width raises; an empty table gives a store without shards; other columns
+are ignored. Very long texts are encoded one at a time; a worker holds about 30 bytes for each byte of the longest.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ HEADER = 16
 INDEX_KEYS = 200_000
 GAMMA = 2.0
 LEVELS = 32
+#: Seeds tried until the keys of an index file differ in 64 bits; a second one is needed about once in a thousand million.
+SEEDS = 64
+#: Occurrences of one doc_id that are spelled out together.
+RUN = 65_536
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -85,15 +90,41 @@ class PerfectHash:
         return cls(levels, saved["rest"])
 
 
-def with_hashes(df: DataFrame, parts: int) -> DataFrame:
-    """Adds ``part, key64, fingerprint`` of the key (``doc_id``, ``nth``)."""
+def hashes(doc_id: pa.ChunkedArray, nth: pa.ChunkedArray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys and 32-bit fingerprints of the keys (``doc_id``, ``nth``)."""
+    values = doc_id.fill_null(0).to_numpy().astype(np.int64).view(np.uint64)
+    first = _mix(values, seed) ^ _mix(doc_id.is_null().to_numpy().astype(np.uint64), seed + 1)
+    key = _mix(first ^ _mix(nth.to_numpy().astype(np.int64).view(np.uint64), seed + 2), seed + 3)
+    return key, (_mix(key ^ values, seed + 4) >> np.uint64(32)).astype(np.uint32)
+
+
+def distinct_hashes(doc_id: pa.ChunkedArray, nth: pa.ChunkedArray) -> tuple[int, np.ndarray, np.ndarray]:
+    """A seed by which the keys differ in their 64 bits, and their hashes; raises where a key occurs twice."""
+    for seed in range(0, 8 * SEEDS, 8):
+        key, fingerprint = hashes(doc_id, nth, seed)
+        if len(np.unique(key)) == len(key):
+            return seed, key, fingerprint
+    raise ValueError("keys of an index are not distinct")
+
+
+def with_part(df: DataFrame, parts: int) -> DataFrame:
+    """Adds the index file ``part`` of the key (``doc_id``, ``nth``)."""
     key = [F.col("doc_id").isNull().cast("int"), F.coalesce("doc_id", F.lit(0)), F.col("nth").cast("long")]
-    df = df.withColumns({"key64": F.xxhash64(*key), "fingerprint": F.xxhash64(F.lit("fp"), *key).bitwiseAND(0xFFFFFFFF)})
-    return df.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), *key), F.lit(parts)).cast("int"))
+    return df.withColumn("part", F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int"))
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int = 2) -> DataFrame:
-    """Encode ``docs`` into a store at ``path`` (ids of ``width`` bytes); returns its manifest."""
+def shard_ids(ids: np.ndarray, width: int) -> bytes:
+    """``ids`` as unsigned integers of ``width`` bytes; raises where one does not fit."""
+    if len(ids) and int(ids.max()) >> (8 * width):
+        raise OverflowError(f"id {int(ids.max())} does not fit into {width} bytes")
+    return ids.astype(f"<u{width}").tobytes()
+
+
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int | None = None) -> DataFrame:
+    """Encode ``docs`` into a store at ``path``; returns its manifest.
+
+    Ids take ``width`` bytes, without it 2 where all ids of the tokenizer and ``end_id`` fit, else 4.
+    """
 
     def shard(batches):
         fs, root = filesystem(path)
@@ -101,6 +132,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
         pid = TaskContext.get().partitionId()
         name = f"shard-{pid:06d}-{uuid.uuid4().hex[:8]}.ids"
         encode, end, out = library_encoder(tokenizer), np.array([end_id], "<u4").tobytes(), None
+        size = width or (2 if max(encode.largest_id, end_id) < 1 << 16 else 4)
         offset, nth, last = 0, 0, object()
         try:
             for batch in pieces(batches):
@@ -108,9 +140,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
                 for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode(batch["text"].to_pylist()), strict=True):
                     if out is None:
                         out = fs.open_output_stream(f"{root}/{name}")
-                        out.write(MAGIC + width.to_bytes(8, "little"))
+                        out.write(MAGIC + size.to_bytes(8, "little"))
                     ids = np.frombuffer(ids + end, "<u4")
-                    out.write(ids.astype(f"<u{width}").tobytes())
+                    out.write(shard_ids(ids, size))
                     nth, last = (nth + 1 if doc_id == last else 0), doc_id
                     rows.append((pid, name, doc_id, nth, offset, len(ids)))
                     offset += len(ids)
@@ -122,7 +154,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
             if out is not None:
                 out.close()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # The row's number splits a doc_id (or null) that holds many rows over several ranges.
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").withColumn("row", F.monotonically_increasing_id())
+    ordered = ordered.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").drop("row")
     entries = materialize(
         ordered.mapInArrow(shard, "shard int, file string, doc_id long, nth long, offset long, n long"), "ids-entries"
     )
@@ -133,13 +167,23 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
     manifest = docs.sparkSession.read.parquet(f"{path}/manifest.parquet")
     parts = max(1, -(-(manifest.agg(F.sum("documents")).first()[0] or 0) // INDEX_KEYS))
 
+    # A doc_id that goes on in a further shard is that shard's first: occurrences before it are added to its numbers.
+    heads = entries.where("offset = 0").select(F.col("doc_id").alias("head")).distinct()  # at most one row for each shard
+    runs = entries.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
+    runs = runs.groupBy(F.col("doc_id").alias("head"), F.col("shard").alias("at")).agg(F.count("*").alias("k"))
+    earlier = F.sum("k").over(W.partitionBy("head").orderBy("at").rowsBetween(W.unboundedPreceding, -1))
+    runs = runs.withColumn("earlier", earlier).where("earlier > 0").drop("k")  # at most one row for each shard
+    same = (F.col("shard") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("head"))
+    entries = entries.join(F.broadcast(runs), same, "left").withColumn("nth", F.col("nth") + F.coalesce("earlier", F.lit(0)))
+
     def index(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
-        keys = table["key64"].to_numpy().view(np.uint64)
+        seed, keys, fingerprint = distinct_hashes(table["doc_id"], table["nth"])
         hashed = PerfectHash.build(keys)
         slot, n = hashed(keys), len(keys)
-        saved = hashed.arrays()
-        for name, kind in (("fingerprint", np.uint32), ("shard", np.int32), ("offset", np.int64), ("n", np.int64)):
+        saved = hashed.arrays() | {"seed": np.array([seed]), "fingerprint": np.empty(n, np.uint32)}
+        saved["fingerprint"][slot] = fingerprint
+        for name, kind in (("shard", np.int32), ("offset", np.int64), ("n", np.int64)):
             saved[name] = np.empty(n, kind)
             saved[name][slot] = table[name].to_numpy().astype(kind)
         fs, root = filesystem(path)
@@ -150,8 +194,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
             out.write(data.getvalue())
         return pa.table({"part": pa.array([part], pa.int32()), "index_file": [name]})
 
-    hashed = with_hashes(entries.drop("file"), parts)
-    built = hashed.groupBy("part").applyInArrow(index, "part int, index_file string")
+    dealt = with_part(entries.select("doc_id", "nth", "shard", "offset", "n"), parts)
+    built = dealt.groupBy("part").applyInArrow(index, "part int, index_file string")
     built.coalesce(1).write.parquet(f"{path}/index.parquet")
     return manifest
 
@@ -166,14 +210,15 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
         fs, root = filesystem(path)
         with fs.open_input_stream(f"{root}/{table['index_file'][0].as_py()}") as f:
             saved = dict(np.load(io.BytesIO(f.read())))
-        slot = PerfectHash.load(saved)(table["key64"].to_numpy().view(np.uint64))
+        key, fingerprint = hashes(table["doc_id"], table["nth"], int(saved["seed"][0]))
+        slot = PerfectHash.load(saved)(key)
         there = slot >= 0
-        there[there] = saved["fingerprint"][slot[there]] == table["fingerprint"].to_numpy()[there].astype(np.uint32)
+        there[there] = saved["fingerprint"][slot[there]] == fingerprint[there]
         table, slot = table.filter(pa.array(there)), slot[there]
         out = {"doc_id": table["doc_id"], "nth": table["nth"]}
         return pa.table(out | {k: pa.array(saved[k][slot]) for k in ("shard", "offset", "n")})
 
-    asked = with_hashes(keys, parts).join(F.broadcast(names), "part")  # one row for each INDEX_KEYS documents
+    asked = with_part(keys, parts).join(F.broadcast(names), "part")  # one row for each INDEX_KEYS documents
     return asked.groupBy("part").applyInArrow(find, "doc_id long, nth long, shard int, offset long, n long")
 
 
@@ -209,6 +254,12 @@ def read_store(spark: SparkSession, path: str, keys: DataFrame, keep_ids: bool =
 
 
 def all_keys(docs: DataFrame) -> DataFrame:
-    """The keys of ``docs``: each ``doc_id`` with the number of the occurrence."""
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id")) - 1
-    return docs.select(F.col("doc_id").cast("long")).withColumn("nth", nth.cast("long"))
+    """The keys of ``docs``: each ``doc_id`` with the number of the occurrence.
+
+    Occurrences are counted, then spelled out in runs of ``RUN``, so that a frequent ``doc_id`` is no task's work.
+    """
+    counts = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("times"))
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / RUN)))
+    run = counts.select("doc_id", "times", runs.alias("run"))
+    nth = F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("times"), (F.col("run") + 1) * RUN) - 1))
+    return run.repartition("doc_id", "run").select("doc_id", nth.alias("nth"))

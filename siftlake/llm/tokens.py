@@ -16,7 +16,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 import numpy as np
 
 #: Unicode White_Space, which is what the byte-level pattern's ``\s`` matches.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The byte-level pattern with its three kinds of non-space runs put together.
 BYTE_CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
 
@@ -53,8 +53,9 @@ class ChunkCache:
     """Texts to bytes of little-endian unsigned 32-bit ids, by a chunker and a function for chunks not seen yet."""
 
     def __init__(self, chunks: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]],
-                 specials: list[str], whole: Callable[[str], bytes], entries: int = CACHE_ENTRIES):
+                 specials: list[str], whole: Callable[[str], bytes], largest_id: int, entries: int = CACHE_ENTRIES):
         self.chunks, self.encode, self.specials, self.whole, self.entries = chunks, encode, specials, whole, entries
+        self.largest_id = largest_id
         self.cache: dict[str, bytes] = {}
 
     def _group(self, texts: list[str]) -> list[bytes]:
@@ -178,5 +179,6 @@ def library_encoder(path: str) -> ChunkCache:
             PlainEncoder(tok, lower=not byte_level),
             [t.content for t in tok.get_added_tokens_decoder().values()],
             lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(),
+            max(tok.get_vocab(with_added_tokens=True).values(), default=0),
         )
     return _encoders[path]
