@@ -5,7 +5,9 @@ reaches the driver; it places lengths from the longest to the shortest, always i
 of packing patterns. Pieces then meet their place by their rank among the pieces of equal length.
 
 Defined results: a null text is an empty document (one piece: the end id); a null ``doc_id`` is kept as it is; repeated
-rows are packed as often as they occur; an empty table gives no rows; other columns are ignored.
+rows are packed as often as they occur; pieces of equal length take their places in no set order; an empty table gives no
+rows; other columns are ignored. Very long texts are encoded one at a time; a worker holds about 30 bytes for each byte of
+the longest.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from siftlake.llm.common import materialize, pieces
 from siftlake.llm.tokens import library_encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Buckets by which the ranking within one length is dealt out, so that no length is one task's work.
-RANK_BUCKETS = 64
+#: Pieces of one length that are ranked together: a length is dealt into as many buckets as its count asks for, so that
+#: the full pieces of a large corpus are no task's work.
+RANKED = 50_000
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, keep_ids: bool = False) -> DataFrame:
@@ -112,17 +115,22 @@ def layout(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.nd
 def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048, keep_ids: bool = False) -> DataFrame:
     """Pieces with their ``sequence_id`` and gapless ``offset`` in sequences of at most ``size`` ids."""
     spark = docs.sparkSession
-    pieces = materialize(cut_pieces(docs, tokenizer, end_id, size, keep_ids), "pieces")
+    # Numbered before they are written, so that equal pieces of equal documents differ.
+    cut = cut_pieces(docs, tokenizer, end_id, size, keep_ids).withColumn("row", F.monotonically_increasing_id())
+    pieces = materialize(cut, "pieces")
     histogram = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``size`` rows
     places = spark.sparkContext.broadcast(layout(shortest_pack_first(histogram, size)))
 
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(RANK_BUCKETS)))
+    dealt = [(length, -(-n // RANKED)) for length, n in histogram.items()]
+    dealt = spark.createDataFrame(dealt, "length long, buckets int")  # at most ``size`` rows
+    pieces = pieces.join(F.broadcast(dealt), "length")
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("buckets")).cast("int")).drop("buckets")
     before = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     up_to = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     before = before.select("length", "bucket", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("before"))
-    within = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens"))
+    within = F.row_number().over(W.partitionBy("length", "bucket").orderBy("row"))
     ranked = pieces.withColumn("within", within).join(before, ["length", "bucket"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("within") - 1).drop("bucket", "within", "before")
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("within") - 1).drop("bucket", "within", "before", "row")
 
     def run(batches):
         at = places.value
