@@ -13,8 +13,9 @@ Equal vectors are one class with its ``k + 1`` smallest ids, so that a vector he
 Codebooks are fitted on a sample of at most ``SAMPLE`` distinct vectors, those of the smallest hashes of their ids.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or with null or non-finite components
-take no part; equal scores go to the smaller id; fewer candidates than ``k`` are all returned; rows that share an id
-count as one; an empty table gives no rows; other columns are ignored.
+take no part; equal scores go to the smaller id; fewer candidates than ``k`` are all returned; of rows that share an id
+only the vector of the smallest hash takes part; an empty table gives no rows; other columns are ignored. Long vectors
+make smaller blocks (``BLOCK_BYTES``).
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ from siftlake.llm.common import materialize
 SAMPLE = 8192
 ROUNDS = 4
 CODEWORDS = 16
-#: Vectors and queries that meet in one task.
-VECTORS, QUERIES = 8192, 1024
+#: Vectors and queries that meet in one task, at most, and bytes of either. Every vector is shipped once for each block
+#: of queries and every query once for each block of vectors, so that blocks of equal size ship least.
+VECTORS, QUERIES, BLOCK_BYTES = 8192, 8192, 16 << 20
 #: Vectors of each block that are scored exactly first, for the score that the others have to reach.
 PROBE = 100
 #: Inner products of at least this share of the vector's norm are those that matter.
@@ -174,6 +176,15 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & F.forall(v, finite) & F.exists(v, lambda x: x != 0)
 
 
+def one_for_each_id(own: DataFrame) -> DataFrame:
+    """The rows without those whose id has another vector of a smaller hash. Only hashes are shuffled to find them."""
+    hashed = own.withColumn("h", F.xxhash64("v"))
+    several = hashed.groupBy("vec_id").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least < most")
+    several = materialize(several.select(F.col("vec_id").alias("several"), "least"), "ann-several")
+    other = (F.col("vec_id") == F.col("several")) & (F.col("h") > F.col("least"))
+    return hashed.join(several, other, "left_anti").drop("h")
+
+
 def search(table: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of the rows for which ``queries`` holds."""
     spark = table.sparkSession
@@ -184,7 +195,8 @@ def search(table: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     if not widths:
         return spark.createDataFrame([], schema)
     width = widths[0].width
-    own = own.where(F.size("v") == width)
+    own = one_for_each_id(own.where(F.size("v") == width))
+    block_rows = lambda most: max(1, min(most, BLOCK_BYTES // (8 * width)))
 
     least = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
     few = own.select("v", "vec_id").distinct().withColumn("nth", least).where(F.col("nth") <= k + 1)
@@ -193,7 +205,7 @@ def search(table: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     n = classes.count()
     sample = classes.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toArrow()  # at most SAMPLE rows
     book = spark.sparkContext.broadcast(Codebook.fit(matrix(sample["v"], width)))
-    blocks = max(1, -(-n // VECTORS))
+    blocks = max(1, -(-n // block_rows(VECTORS)))
 
     def quantise(batches):
         for batch in batches:
@@ -208,7 +220,7 @@ def search(table: DataFrame, queries: Column, k: int = 20) -> DataFrame:
 
     asks = materialize(own.where("asks").select("vec_id", "v").distinct().join(classes.select("v", "rep"), "v").select("vec_id", "rep"), "ann-asks")
     distinct = asks.select("rep").distinct().join(classes.select("rep", "v"), "rep")
-    chunks = max(1, -(-asks.count() // QUERIES))
+    chunks = max(1, -(-asks.count() // block_rows(QUERIES)))
     distinct = distinct.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "rep"), F.lit(chunks)).cast("int"))
     left = coded.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     right = distinct.select(F.col("rep").alias("q"), "v", "chunk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
