@@ -10,7 +10,8 @@ compared, large buckets in blocks that emit links only, so that no link of a sha
 
 Defined results: a null text, or one without words, is alone in its class; fewer than ``SHINGLE`` words are one shingle;
 documents without ``doc_id`` are left out of classes by ``classes`` and kept by ``keep_one``; rows that share a ``doc_id``
-are in one class, and each of their texts is compared by itself; an empty table gives no rows; other columns are ignored, or carried by ``keep_one``.
+are in one class, and each of their texts is compared by itself; an empty table gives no rows; other columns are ignored,
+or carried by ``keep_one``. Texts are read whole: a worker holds about 60 bytes for each byte of the longest.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import by_shuffle, connected_components, materialize, pieces
+from siftlake.llm.common import Tables, by_shuffle, connected_components, materialize, pieces
 from siftlake.llm.wordhash import PUNCTUATION, RangeHash, U, Words, mix, slices
 
 SHINGLE = 5
@@ -33,8 +34,9 @@ COORDINATES = BANDS * ROWS
 SLICE_BYTES = 1 << 19
 #: Cells that are thrown together.
 CELLS = 1 << 18
-#: Buckets of up to so many texts are compared by a join of pairs, larger ones in blocks of ``BLOCK`` within tasks.
-SMALL_BUCKET, BLOCK = 16, 1024
+#: Buckets of up to so many texts are compared by a join of pairs, larger ones within tasks in blocks of at most about
+#: ``BLOCK`` texts and ``BLOCK_SHINGLES`` shingles (a longer text is a block of its own).
+SMALL_BUCKET, BLOCK, BLOCK_SHINGLES = 16, 256, 1 << 18
 RANK_BITS = 40
 
 
@@ -106,7 +108,7 @@ def normalized(texts: list[str | None]) -> list[bytes]:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """``doc_id, q1, q2, bands`` of every document; ``bands`` is null where there are no words."""
+    """``doc_id, q1, q2, size, bands`` of every document (``size`` in shingles); ``bands`` is null where there are no words."""
 
     def run(batches):
         for batch in pieces(batches):
@@ -114,16 +116,18 @@ def sign(docs: DataFrame) -> DataFrame:
             for x, y in slices([len(t) for t in texts], SLICE_BYTES):
                 words = Words(texts[x:y], PUNCTUATION)
                 a, b = words.first[:-1], words.first[1:]
-                keys = band_keys(dart_signatures(*shingles(words), y - x))
+                found = shingles(words)
+                keys = band_keys(dart_signatures(*found, y - x))
+                size = np.bincount(found[0], found[2], y - x).astype(np.int64)
                 whole = [RangeHash(words.hashes, k)(a, b).view(np.int64) for k in (0, 1)]
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.arange(0, BANDS * (y - x + 1), BANDS, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()),
                     mask=pa.array(a == b),
                 )
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][x:y], *map(pa.array, whole), lists], ["doc_id", "q1", "q2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][x:y], *map(pa.array, [*whole, size]), lists], ["doc_id", "q1", "q2", "size", "bands"])
 
     docs = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull())
-    return docs.mapInArrow(run, "doc_id long, q1 long, q2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, q1 long, q2 long, size long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -198,13 +202,14 @@ def bucket_links(outside: pa.Table, everyone: pa.Table, threshold: float) -> pa.
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, class_id`` of every document; ``class_id`` is the smallest ``doc_id`` of its class."""
-    signed = materialize(sign(docs), "minhash-signed")
-    texts = signed.where(F.col("bands").isNotNull()).groupBy("q1", "q2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    texts = materialize(texts, "minhash-texts")
+    t = Tables("minhash")
+    signed = t(sign(docs), "signed")
+    first = [F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")]
+    texts = t(signed.where(F.col("bands").isNotNull()).groupBy("q1", "q2").agg(*first), "texts")
     # A text is known by its smallest document and its hashes: a document may have several texts.
-    bands = texts.select(F.struct("rep", "q1", "q2").alias("t"), F.posexplode("bands").alias("band", "key"))
+    bands = texts.select(F.struct("rep", "q1", "q2").alias("t"), "size", F.posexplode("bands").alias("band", "key"))
     shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(bands.join(by_shuffle(materialize(shared, "minhash-shared")), ["band", "key"]), "minhash-members")
+    members = t(bands.join(by_shuffle(t(shared, "shared")), ["band", "key"]), "members")
 
     # The pivot of a bucket is its document with the most band partners overall: the centre of a group of copies, to
     # which the others are nearer than to each other.
@@ -212,56 +217,65 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ranked = members.join(degree, "t")
     pivots = ranked.groupBy("band", "key").agg(F.max(F.struct("degree", (-F.col("t.rep")).alias("minus"), "t")).alias("top"))
     # Written, so that the join below is dealt by an exchange of its own, which AQE may split at a hot bucket.
-    pivots = materialize(pivots.select("band", "key", F.col("top.t").alias("pivot")), "minhash-pivots")
-    pairs = members.join(pivots, ["band", "key"]).where("t.rep <> pivot.rep")
-    pairs = materialize(pairs.select(F.least("t", "pivot").alias("a"), F.greatest("t", "pivot").alias("b")).distinct(), "minhash-pairs")
+    pivots = t(pivots.select("band", "key", F.col("top.t").alias("pivot")), "pivots")
+    pairs = members.join(pivots, ["band", "key"]).where("t <> pivot")
+    pairs = t(pairs.select(F.least("t", "pivot").alias("a"), F.greatest("t", "pivot").alias("b")).distinct(), "pairs")
 
-    ids = materialize(members.select(F.col("t.rep").alias("doc_id")).distinct(), "minhash-ids")
+    ids = t(members.select(F.col("t.rep").alias("doc_id")).distinct(), "ids")
     rows = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull())
-    wanted = rows.join(ids, "doc_id", "left_semi")
     text = ["doc_id", "q1", "q2"]
-    sets = shingle_sets(wanted).dropDuplicates(text)
-    sets = materialize(sets.select(F.struct(F.col("doc_id").alias("rep"), "q1", "q2").alias("t"), "shingles"), "minhash-sets")
+    sets = shingle_sets(rows.join(ids, "doc_id", "left_semi")).dropDuplicates(text)
+    sets = t(sets.select(F.struct(F.col("doc_id").alias("rep"), "q1", "q2").alias("t"), "shingles"), "sets")
+    t.drop("shared", "pivots", "ids")
 
     # Documents of several texts join the classes of all of them.
     both = F.struct("q1", "q2")
     several = signed.groupBy("doc_id").agg(F.min(both).alias("x"), F.max(both).alias("y")).where("x <> y").select("doc_id")
-    several = materialize(several, "minhash-several")
+    several = t(several, "several")
     same = signed.select(*text).join(several, "doc_id", "left_semi").join(texts.select("q1", "q2", "rep"), ["q1", "q2"])
     same = same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links = materialize(verify(pairs, sets, threshold).union(same), "minhash-links")
-    component = materialize(connected_components(links), "minhash-components")
+    links = t(verify(pairs, sets, threshold).union(same), "links")
+    component = t(connected_components(links), "components")
 
     # Buckets with several components: every pair of a document outside the largest with one of another component.
     where = component.select(F.col("node").alias("rep"), "component")
     at = members.withColumn("rep", F.col("t.rep")).join(where, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    sizes = at.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+    sizes = at.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("size"))
     mixed = sizes.groupBy("band", "key").agg(
-        F.count("*").alias("m"), F.sum("n").alias("all"), F.max_by("component", F.struct("n", "component")).alias("largest")
-    ).where("m > 1 AND all > 2").select("band", "key", "all", "largest")
-    at = materialize(at.drop("n").join(materialize(mixed, "minhash-mixed"), ["band", "key"]), "minhash-placed")
+        F.count("*").alias("m"), F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("size").alias("all_size"),
+        F.max_by("component", F.struct("n", "component")).alias("largest"),
+    ).where("m > 1 AND all > 2")
+    # Blocks hold so many texts and shingles; those outside the largest component are dealt into blocks of their own.
+    cuts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    outside_of = F.col("all") - F.col("most")
+    mixed = mixed.select(
+        "band", "key", "all", "largest", cuts(F.col("all"), F.col("all_size")).alias("ys"),
+        cuts(outside_of, F.col("all_size") * outside_of / F.col("all")).alias("xs"),
+    )
+    at = t(at.drop("n").join(t(mixed, "mixed"), ["band", "key"]), "placed")
+    t.drop("members", "mixed")
     outside = lambda df: df.where("component <> largest")
 
     few = at.where(F.col("all") <= SMALL_BUCKET)
     x = outside(few).select("band", "key", F.col("t").alias("x"), F.col("component").alias("cx"))
     y = few.select("band", "key", F.col("t").alias("y"), F.col("component").alias("cy"))
     more = x.join(y, ["band", "key"]).where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    more = materialize(more.distinct().join(pairs, ["a", "b"], "left_anti"), "minhash-more")
+    more = t(more.distinct().join(pairs, ["a", "b"], "left_anti"), "more")
 
     # Larger ones are compared in blocks within tasks; only links leave them.
-    many = at.where(F.col("all") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int"))
-    many = many.join(sets, "t")
-    deal = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "t"), F.col("blocks")).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    many = at.where(F.col("all") > SMALL_BUCKET).join(sets, "t")
+    deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "t"), F.col(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     block = ["band", "key", "xb", "yb"]
-    left = outside(many).withColumn("xb", deal("x")).withColumn("yb", others).select(*block, "rep", "component", "shingles")
-    right = many.withColumn("yb", deal("y")).withColumn("xb", others).select(*block, "rep", "component", "shingles")
+    left = outside(many).withColumn("xb", deal("x", "xs")).withColumn("yb", others("ys")).select(*block, "rep", "component", "shingles")
+    right = many.withColumn("yb", deal("y", "ys")).withColumn("xb", others("xs")).select(*block, "rep", "component", "shingles")
     right = right.select(*[F.col(c).alias(f"{c}_") for c in right.columns])  # apart from the left side's columns
     blocked = left.groupBy(*block).cogroup(right.groupBy(*[f"{c}_" for c in block])).applyInArrow(
         lambda a, b: bucket_links(a, b, threshold), "a long, b long"
     )
     links = links.union(verify(more, sets, threshold)).union(blocked)
     component = connected_components(links, name="cc2").select(F.col("node").alias("rep"), F.col("component").alias("class"))
+    t.drop("pairs", "sets", "several", "links", "components", "placed", "more")  # the result reads the signed texts and classes
 
     alone = signed.where(F.col("bands").isNull()).select("doc_id").join(component.withColumnRenamed("rep", "doc_id"), "doc_id", "left")
     alone = alone.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))

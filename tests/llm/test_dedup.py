@@ -116,7 +116,7 @@ def classes_by_hand(rows):
 def test_classes(spark, monkeypatch, small):
     monkeypatch.setattr(minhash, "SMALL_BUCKET", small)
     monkeypatch.setattr(minhash, "BLOCK", 8)
-    rows = [r for r in corpus() if r[0] != 7]  # one text for each id
+    rows = corpus()
     got = minhash.classes(frame(spark, rows))
     assert {r.doc_id: r.class_id for r in got.collect()} == classes_by_hand(rows)
     assert minhash.classes(frame(spark, [])).count() == 0
@@ -140,13 +140,23 @@ def test_classes_of_ids_with_several_texts(spark, monkeypatch, small):
 
 
 def test_keep_one(spark):
-    rows = [r for r in corpus() if r[0] != 7]
+    """One document of each class, the smallest id; 7 has two texts, which stay together or go together."""
+    rows = corpus()
     df = frame(spark, rows)
     kept = minhash.keep_one(df)
     assert kept.columns == df.columns
     by_hand = classes_by_hand(rows)
-    got = {r.doc_id for r in kept.collect()}
-    assert {i for i, c in by_hand.items() if i == c} <= got and None in got
+    want = Counter(r for r in rows if r[0] is None or by_hand[r[0]] == r[0])
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == want and len(by_hand) > len({*by_hand.values()})
+    assert minhash.keep_one(frame(spark, [])).count() == 0
+
+
+def test_blocks_by_shingles(spark, monkeypatch):
+    """Long texts make blocks of their own."""
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 1)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 200)
+    rows = corpus(3)
+    assert {r.doc_id: r.class_id for r in minhash.classes(frame(spark, rows)).collect()} == classes_by_hand(rows)
 
 
 def test_signatures_estimate_weighted_similarity():
@@ -167,11 +177,15 @@ def test_components(spark):
     assert {r.node: r.component for r in got} == {i: 1 for i in range(1, 41)} | {100: 100, 200: 100, 300: 100}
 
 
-def test_components_settle(spark, monkeypatch):
-    """No bound of rounds: one of a single round would leave a path split."""
-    monkeypatch.setattr(common, "range", lambda n: [0], raising=False)
-    got = connected_components(spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a long, b long")).collect()
-    assert {r.node: r.component for r in got} == dict.fromkeys(range(1, 41), 1)
+def test_components_settle(spark):
+    """As many rounds as it takes, and no table of an earlier round stays."""
+    common_paths = [*common._written]
+    edges = [(i, i + 1) for i in range(1, 300)] + [(1000 + 7 * i % 31, 1000 + 7 * (i + 1) % 31) for i in range(30)] + [(2000, 2000 + i) for i in range(90)]
+    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    want = dict.fromkeys(range(1, 301), 1) | dict.fromkeys(range(1000, 1031), 1000) | dict.fromkeys(range(2000, 2090), 2000)
+    assert {r.node: r.component for r in got} == want
+    assert len(common._written) == len(common_paths) + 1
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_pipeline(spark, tmp_path):
