@@ -89,10 +89,17 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digest(spread(read_table(spark, sf_dir, "documents")))
 
 
+#: The JSON schema of op10's implied tool: a question of 4 to 40 words.
+REPLY = {"reply": {
+    "type": "object", "required": ["chars", "words"], "additionalProperties": False,
+    "properties": {"chars": {"type": "integer", "minimum": 1}, "words": {"type": "integer", "minimum": 4, "maximum": 40}},
+}}
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siftlake.llm.chat import REPLY_SCHEMA, conversation_items, link_calls
+    from siftlake.llm.chat import conversation_items, link_calls
 
-    return link_calls(conversation_items(read_table(spark, sf_dir, "conversations")), REPLY_SCHEMA)
+    return link_calls(conversation_items(read_table(spark, sf_dir, "conversations")), REPLY)
 
 
 QUERIES: dict[str, Query] = {
@@ -184,17 +191,18 @@ WITH c AS (
 ), m AS (
   SELECT conv_id, turn, kind, call_id,
     CASE kind WHEN 'call' THEN hit IS NOT NULL WHEN 'result' THEN call_turn IS NOT NULL ELSE false END AS linked,
-    true AS valid, CASE kind WHEN 'result' THEN greatest(turn, coalesce(call_turn, turn)) ELSE turn END AS at_turn,
-    CAST(kind = 'result' AS INT) AS late,
+    CASE kind WHEN 'call' THEN length(text) >= 1 AND len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) BETWEEN 4 AND 40 ELSE true END AS valid,
+    CASE kind WHEN 'result' THEN greatest(turn, coalesce(call_turn, turn)) ELSE turn END AS at_turn,
+    CAST(kind = 'result' AND coalesce(call_turn >= turn, false) AS INT) AS level,
     '{' || CASE kind WHEN 'call' THEN '"arguments":{"chars":' || length(text) || ',"words":'
         || len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) || '},' ELSE '' END
-      || CASE WHEN kind = 'message' THEN '' ELSE '"call_id":' || to_json(call_id) || ',' END
+      || CASE WHEN kind = 'message' THEN '' ELSE '"call_id":' || coalesce(to_json(call_id), 'null') || ',' END
       || '"content":' || to_json(text) || CASE kind WHEN 'call' THEN ',"name":"reply"' ELSE '' END
       || ',"role":' || to_json(role) || '}' AS message
   FROM j
 )
-SELECT conv_id, turn, kind, call_id, linked, valid,
-  row_number() OVER (PARTITION BY conv_id ORDER BY at_turn, late, turn, call_id, message) - 1 AS position, message
+SELECT conv_id, turn, kind, call_id, linked, valid, row_number() OVER (PARTITION BY conv_id
+  ORDER BY at_turn NULLS FIRST, level, turn NULLS FIRST, call_id NULLS FIRST, message) - 1 AS position, message
 FROM m
 """
 

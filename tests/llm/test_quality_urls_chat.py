@@ -1,4 +1,5 @@
 import json
+import random
 import re
 
 import pytest
@@ -102,6 +103,7 @@ def test_empty_rules(spark):
 
 
 SCHEMA = "conv_id long, turn long, kind string, role string, content string, call_id string, name string, arguments string"
+ADD = {"add": {"type": "object", "required": ["b"], "properties": {"b": {"type": "integer"}}}}
 
 
 def test_tool_calls(spark):
@@ -114,8 +116,8 @@ def test_tool_calls(spark):
         (1, 5, "result", "tool", "orphan", "c9", None, None),
         (2, 0, "message", "user", None, None, None, None), (None, None, "message", "user", "x", None, None, None),
     ]
-    df = spark.createDataFrame(items, SCHEMA)
-    rows = chat.link_calls(df, {"add": {"b": "integer"}}).orderBy("conv_id", "position").collect()
+    df = spark.createDataFrame(items, SCHEMA).selectExpr("*", "7 AS position", "'x' AS message", "1 AS place", "2 AS answered")  # names that clash
+    rows = chat.link_calls(df, ADD).orderBy("conv_id", "position").collect()
     assert len(rows) == len(items)
     one = [r for r in rows if r.conv_id == 1]
     assert [(r.position, r.turn) for r in one] == [(0, 0), (1, 2), (2, 1), (3, 3), (4, 4), (5, 5)]
@@ -127,9 +129,117 @@ def test_tool_calls(spark):
     assert list(message) == sorted(message)
 
 
+def places_by_hand(items):
+    """Kahn's algorithm over calls; calls of circles, and calls that wait for them, keep their turns."""
+    calls, backs, needs = {}, {}, {}
+    for conv, turn, kind, call, wants in sorted(items, key=lambda r: r[1]):
+        if kind == "call" and (conv, call) not in calls:
+            calls[conv, call], needs[conv, call] = turn, {(conv, w) for w in wants or []}
+        if kind == "result":
+            backs.setdefault((conv, call), turn)
+    at, left = {}, dict(calls)
+    after = lambda p: (p[0], p[1] + 1)
+    back = lambda k: max((backs[k], 0), after(at[k])) if k in backs else None
+    while ready := [k for k in left if not needs[k] & left.keys()]:
+        for k in ready:
+            del left[k]
+            at[k] = max([(calls[k], 0), *(after(back(w)) for w in needs[k] if w in at and back(w))])
+    return at, {k: back(k) for k in at}, left
+
+
+def test_needs_over_many_levels(spark):
+    rng = random.Random(5)
+    items = []
+    for conv in range(12):
+        names = [f"c{k}" for k in range(15)]
+        turns = rng.sample(range(60), 30)
+        for k, name in enumerate(names):
+            wants = rng.sample(names[:k], min(k, rng.randint(0, 2)))
+            items.append((conv, turns[k], "call", name, wants))
+            if rng.random() < 0.8:
+                items.append((conv, turns[15 + k], "result", name, None))
+    items += [(99, 2 * k, "call", f"d{k}", [f"d{k + 1}"]) for k in range(30)] + [(99, 2 * k + 1, "result", f"d{k}", None) for k in range(30)]
+    items += [(100, 5, "call", "x", ["y"]), (100, 6, "call", "y", ["x"]), (100, 7, "result", "x", None), (100, 8, "result", "y", None)]
+    df = spark.createDataFrame(items, "conv_id long, turn long, kind string, call_id string, needs array<string>")
+    df = df.selectExpr("*", "'r' AS role", "'t' AS content", "'add' AS name", "'{}' AS arguments")
+    at, back, circle = places_by_hand(items)
+    assert set(circle) == {(100, "x"), (100, "y")} and max(p[1] for p in at.values()) > 20
+    got = chat.call_places(df, "needs").collect()
+    found = {(r.conv_id, r.call_id): (tuple(r.call_at), r.result_at and tuple(r.result_at)) for r in got}
+    for k in at:
+        assert found[k] == (at[k], back[k])
+    assert found[100, "x"] == ((5, 0), (7, 0)) and found[100, "y"] == ((6, 0), (8, 0))
+    rows = chat.link_calls(df, ADD, "needs").collect()
+    position = {(r.conv_id, r.kind, r.call_id): r.position for r in rows}
+    for conv, _, kind, call, wants in items:
+        if kind == "call" and conv != 100:
+            assert position.get((conv, "result", call), 1e9) > position[conv, "call", call]
+            for w in wants:
+                assert position.get((conv, "result", w), -1) < position[conv, "call", call]
+
+
+def schema_fits(value, schema):
+    """The keywords of ``chat.fits`` over Python values."""
+    kinds = {"string": str, "boolean": bool, "array": list, "object": dict, "null": type(None)}
+
+    def is_a(name):
+        if name in ("integer", "number"):
+            return isinstance(value, (int, float)) and not isinstance(value, bool) and (name == "number" or value == int(value))
+        return isinstance(value, kinds[name])
+
+    ok = "type" not in schema or any(is_a(t) for t in ([schema["type"]] if isinstance(schema["type"], str) else schema["type"]))
+    same = lambda x: json.dumps(x, sort_keys=True) == json.dumps(value, sort_keys=True)
+    ok = ok and ("enum" not in schema or any(map(same, schema["enum"]))) and ("const" not in schema or same(schema["const"]))
+    if isinstance(value, dict):
+        ok = ok and {*schema.get("required", [])} <= value.keys()
+        ok = ok and all(schema_fits(value[k], s) for k, s in schema.get("properties", {}).items() if k in value)
+        ok = ok and (schema.get("additionalProperties") is not False or value.keys() <= schema.get("properties", {}).keys())
+    if isinstance(value, list):
+        ok = ok and all(schema_fits(v, schema["items"]) for v in value if "items" in schema)
+        ok = ok and schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", 1e9)
+    if isinstance(value, str):
+        ok = ok and schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", 1e9)
+    if is_a("number"):
+        ok = ok and schema.get("minimum", -1e99) <= value <= schema.get("maximum", 1e99)
+    return bool(ok)
+
+
+def test_schemas(spark):
+    schema = {
+        "type": "object", "required": ["q", "it's"], "additionalProperties": False,
+        "properties": {
+            "q": {"type": "string", "minLength": 1, "maxLength": 5}, "it's": {"type": ["integer", "null"], "minimum": -1, "maximum": 9},
+            "x.y": {"type": "number"}, "on": {"type": "boolean"}, "mode": {"enum": ["a", "b", 3, None]},
+            "list": {"type": "array", "minItems": 1, "maxItems": 3, "items": {"type": "object", "required": ["k"], "properties": {"k": {"const": 1}}}},
+        },
+    }
+    good = {"q": "abc", "it's": 3}
+    cases = [
+        good, good | {"it's": None}, good | {"it's": 1.0}, good | {"it's": 1.5}, good | {"it's": 10}, good | {"it's": True}, good | {"q": ""},
+        good | {"q": "sechse"}, good | {"x.y": 1}, good | {"x.y": 1.25}, good | {"x.y": 1e30}, good | {"x.y": "1"}, good | {"on": False}, good | {"on": 0},
+        good | {"mode": "a"}, good | {"mode": 3}, good | {"mode": None}, good | {"mode": "c"}, good | {"list": []}, good | {"list": [{"k": 1}]},
+        good | {"list": [{"k": 1}, {}]}, good | {"list": [{"k": 1, "z": 2}] * 4}, good | {"list": {"k": 1}}, good | {"more": 1}, {"q": "a"}, {"it's": 1}, {},
+        [], [good], "text", 3, None, True,
+    ]
+    rows = [(i, json.dumps(c)) for i, c in enumerate(cases)] + [(1000, "not json"), (1001, None), (1002, "")]
+    df = spark.createDataFrame(rows, "i long, arguments string")
+    tools = {"tool": schema, "any": {}}
+    valid = lambda name: chat.arguments_valid(F.lit(name), F.col("arguments"), tools)
+    got = {r.i: (r.a, r.b, r.c) for r in df.select("i", valid("tool").alias("a"), valid("any").alias("b"), valid("none").alias("c")).collect()}
+    assert {i: x[0] for i, x in got.items() if i < 1000} == {i: schema_fits(c, schema) for i, c in enumerate(cases)}
+    assert all(got[i] == (False, False, False) for i in (1000, 1001, 1002)) and all(x[1:] == (True, False) for i, x in got.items() if i < 1000)
+    with pytest.raises(ValueError, match="pattern"):
+        chat.fits(F.col("v"), {"pattern": "x"})
+
+
 def test_conversations(spark):
-    rows = [(1, 0, "user", "a b"), (1, 1, "assistant", None), (1, 2, "system", "s"), (None, 0, "user", ""), (1, 0, "user", "a b")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    long_ = "word " * 200_000
+    rows = [(1, 0, "user", "a b"), (1, 1, "assistant", None), (1, 2, "system", "s"), (None, 0, "user", ""), (None, 1, "assistant", ""), (1, 0, "user", "a b"), (3, None, "user", "x")]
+    rows += [(2, k, "user" if k % 2 == 0 else "assistant", long_ if k == 7 else f"t{k}") for k in range(3000)]  # a very long conversation
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS call_id", "2 AS kind")
     out = chat.link_calls(chat.conversation_items(df), chat.REPLY_SCHEMA).collect()
-    assert len(out) == 5 and sum(r.linked for r in out) == 3 and all(r.valid for r in out)
+    assert len(out) == len(rows) and sum(r.linked for r in out if r.conv_id == 1) == 3 and all(r.valid for r in out)
+    assert [r.call_id for r in out if r.conv_id in (None, 3)] == [None, None, None] and not any(r.linked for r in out if r.conv_id in (None, 3))
+    assert all(r.position == r.turn for r in out if r.conv_id == 2) and {r.position for r in out if r.conv_id == 1} == {0, 1, 2, 3}
+    assert json.loads(next(r.message for r in out if r.conv_id == 2 and r.turn == 7))["content"] == long_
     assert chat.link_calls(chat.conversation_items(df.limit(0)), chat.REPLY_SCHEMA).count() == 0
