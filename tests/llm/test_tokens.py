@@ -92,6 +92,22 @@ def test_packing(spark):
     assert packing.pack(frame(spark, []), WORD, 1, 512).count() == 0
 
 
+def test_ranks_over_many_buckets(spark, monkeypatch):
+    """A length that most pieces have is ranked in many buckets; every place is taken once."""
+    monkeypatch.setattr(packing, "RANKED", 5)
+    rows = [(None, None)] * 60 + [(k, "word " * (600 + k % 3)) for k in range(40)]
+    packs = {}
+    for r in packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(5), WORD, 1, 256).collect():
+        packs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in packs.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 256
+    assert sorted(packs) == list(range(len(packs)))
+
+
 def test_patterns_hold_the_histogram():
     rng = random.Random(3)
     for size in (8, 64, 2048):
@@ -123,6 +139,56 @@ def test_store(spark):
     assert [(r.doc_id, r.nth) for r in idstore.lookup(spark, path, other).collect()] == [(3, 2)]
 
 
+def test_ids_beyond_two_bytes(spark, tmp_path):
+    """The width follows the tokenizer's largest id; a width that does not hold an id raises."""
+    assert idstore.shard_ids(np.array([65535]), 2) == b"\xff\xff"
+    with pytest.raises(OverflowError, match="70000"):
+        idstore.shard_ids(np.array([1, 70000]), 2)
+    words = [f"w{k}" for k in range(70_001)]
+    tok = tokenizers.Tokenizer(tokenizers.models.WordLevel({w: k for k, w in enumerate(words)}, unk_token="w0"))
+    tok.normalizer, tok.pre_tokenizer = tokenizers.normalizers.Lowercase(), tokenizers.pre_tokenizers.WhitespaceSplit()
+    tok.save(f"{tmp_path}/big.json")
+    path = scratch(spark, "test-store")
+    df = spark.createDataFrame([(1, "w5 w70000"), (2, "w65536")], SCHEMA)
+    idstore.write_store(df, path, f"{tmp_path}/big.json", 2)
+    rows = idstore.read_store(spark, path, idstore.all_keys(df), keep_ids=True).orderBy("doc_id").collect()
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in rows] == [[5, 70000, 2], [65536, 2]]
+
+
+def test_frequent_keys_over_many_shards(spark, monkeypatch):
+    """A third of the rows without id and a third with one id: they lie in several shards and all are found."""
+    monkeypatch.setattr(idstore, "RUN", 7)
+    rows = [(None, f"null {k}") for k in range(60)] + [(4, f"four {k}") for k in range(60)] + [(100 + k, "x") for k in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    path = scratch(spark, "test-store")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        manifest = idstore.write_store(df, path, BYTE, 2)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert manifest.count() > 6
+    keys = idstore.all_keys(df)
+    assert sorted((r.doc_id or -1, r.nth) for r in keys.collect())[:60] == [(-1, k) for k in range(60)]
+    tok = tokenizers.Tokenizer.from_file(BYTE)
+    got = sorted((r.doc_id or -1, np.frombuffer(r.ids, "<u4").tolist()) for r in idstore.read_store(spark, path, keys, keep_ids=True).collect())
+    assert got == sorted((i or -1, [*tok.encode(t, add_special_tokens=False).ids, 2]) for i, t in rows)
+
+
+def test_colliding_hashes_get_another_seed(monkeypatch):
+    import pyarrow as pa
+
+    ids, nth = pa.chunked_array([pa.array([1, 2, None], pa.int64())]), pa.chunked_array([pa.array([0, 0, 0], pa.int64())])
+    plain = idstore.hashes
+    monkeypatch.setattr(idstore, "hashes", lambda d, n, seed: (np.zeros(3, np.uint64), np.zeros(3, np.uint32)) if seed == 0 else plain(d, n, seed))
+    seed, key, _ = idstore.distinct_hashes(ids, nth)
+    assert seed == 8 and len({*key.tolist()}) == 3
+    with pytest.raises(ValueError, match="not distinct"):
+        idstore.distinct_hashes(pa.chunked_array([pa.array([1, 1], pa.int64())]), pa.chunked_array([pa.array([0, 0], pa.int64())]))
+
+
 def test_empty_store(spark):
     path = scratch(spark, "test-store")
     idstore.write_store(frame(spark, []), path, BYTE, 2)

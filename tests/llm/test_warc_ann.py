@@ -1,8 +1,10 @@
 import base64
 import gzip
 import hashlib
+import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from siftlake.llm import ann, warc
@@ -70,6 +72,64 @@ def test_foreign_members(spark):
     assert sorted((r.page_id, r.payload) for r in rows) == [(3, "body 3"), (3, "body 3"), (4, "body 4"), (4, "body 4")]
 
 
+def archive(spark, path):
+    """A reader's rows for the single file of an archive, in this process."""
+    def rows(columns):
+        schema = warc.read_warc(spark, path, columns).schema
+        reader = warc.WarcReader({"path": path}, schema)
+        return [x for p in reader.partitions() for b in reader.read(p) for x in b.to_pylist()]
+
+    return rows
+
+
+def test_payloads_nobody_asked_for_stay_deflated(spark, monkeypatch):
+    noise = "".join(map(chr, np.random.default_rng(1).integers(32, 0x2000, 50_000)))
+    path = write(spark, [(k, f"http://{k}/", noise + str(k)) for k in range(20)])
+    inflated = 0
+    more = warc.Member._more
+
+    def counted(self, most):
+        nonlocal inflated
+        before = len(self.data)
+        out = more(self, most)
+        inflated += len(self.data) - before
+        return out
+
+    monkeypatch.setattr(warc.Member, "_more", counted)
+    rows = archive(spark, path)
+    assert sorted(r["page_id"] for r in rows(["page_id", "record_type", "target_uri"])) == [*range(20)]
+    assert 0 < inflated <= 20 * 4096
+    inflated = 0
+    assert {r["payload_bytes"] for r in rows(["payload_bytes"])} == {len((noise + "1").encode()), len((noise + "10").encode())}
+    assert inflated > 20 * 100_000
+
+
+@pytest.mark.parametrize("keep", [0.47, 0.999])
+@pytest.mark.parametrize("kind", ["sized", "plain gzip", "text"])
+def test_archives_cut_short_raise(spark, kind, keep):
+    path = scratch(spark, "test-warc")
+    fs, root = filesystem(path)
+    fs.create_dir(root)
+    records = [warc.record(i, f"http://{i}/", b"body %d " % i * 400, "response", None, "2020-01-01T00:00:00Z") for i in range(10)]
+    pack = {"sized": warc.gzip_member, "plain gzip": gzip.compress, "text": bytes}[kind]
+    data = b"".join(map(pack, records))
+    name = f"{root}/a.warc" + (".gz" if kind != "text" else "")
+    with fs.open_output_stream(name, compression=None) as f:
+        f.write(data[: int(len(data) * keep)])
+    for columns in (["page_id"], ["page_id", "payload"]):
+        with pytest.raises(EOFError, match="archive ends within"):
+            archive(spark, path)(columns)
+    with fs.open_output_stream(name, compression=None) as f:
+        f.write(data + (b"\r\n" if kind == "text" else b""))
+    assert len(archive(spark, path)(["page_id"])) == 10
+
+
+def test_long_payloads(spark):
+    html = "é<p>" * 1_500_000
+    row = warc.read_warc(spark, write(spark, [(1, "http://a/", html)])).first()
+    assert row.payload == html and row.payload_bytes == len(html.encode())
+
+
 def test_least_bytes_and_empty(spark):
     rows = warc.read_warc(spark, write(spark, least_bytes=100)).collect()
     assert all(r.record_type == "response" for r in rows)
@@ -105,6 +165,65 @@ def test_search_small_is_exact(spark):
     assert {r.query_id for r in got} == set(want)
 
 
+def ranked(df, k=20):
+    out = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, k).orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return out
+
+
+def test_ties_go_to_the_smaller_id_across_blocks(spark, monkeypatch):
+    """Different vectors of equal scores, dealt over many blocks in any order."""
+    monkeypatch.setattr(ann, "VECTORS", 13)
+    monkeypatch.setattr(ann, "QUERIES", 2)
+    x = np.zeros((90, 64))
+    x[:, 0] = 0.5
+    x[np.arange(90), 1 + np.arange(90) % 63] = np.where(np.arange(90) < 63, 0.25, -0.25)
+    x[::20, 1:] = 0
+    x[::20, 0] = 1.0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = ranked(spark.createDataFrame(rows[::-1], "vec_id long, embedding array<double>").repartition(5))
+    for q, found in got.items():
+        want = sorted(((float(x[q] @ x[i]), -i) for i in range(90) if i != q), reverse=True)[:20]
+        assert found == [(-i, s) for s, i in want]
+
+
+def test_rows_of_one_id_with_different_vectors(spark):
+    """One of them takes part, the same in every order of the rows, as a query and as a candidate."""
+    x = vectors(40)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[30].tolist()), (7, x[31].tolist()), (7, x[31].tolist())]
+    one, other = (ranked(spark.createDataFrame(r, "vec_id long, embedding array<float>")) for r in (rows, rows[::-1]))
+    assert one == other and {len(v) for v in one.values()} == {20}
+    assert all(len({i for i, _ in v}) == 20 for v in one.values())
+
+
+def test_long_vectors(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 1 << 18)
+    x = vectors(60, 3000)
+    got = ranked(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), 5)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == exact(x, [*range(60)], [0, 20, 40], 5)
+
+
+def test_recall_on_the_test_table(spark):
+    """On ``embeddings`` of the test tables the neighbours are those of brute force, scores included."""
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    df = spark.read.parquet(path)
+    got = ranked(df)
+    table = df.toArrow()
+    ids = table["vec_id"].to_numpy()
+    x = ann.matrix(table["embedding"], 64) if len(table["embedding"][0]) == 64 else np.array(table["embedding"].to_pylist(), float)
+    hits = 0
+    for q in ids[ids % 20 == 0].tolist():
+        score = x @ x[np.flatnonzero(ids == q)[0]]
+        score[ids == q] = -np.inf
+        top = np.lexsort((ids, -score))[:20]
+        hits += len({i for i, _ in got[q]} & {*ids[top].tolist()})
+        assert np.allclose([s for _, s in got[q]], np.sort(score)[::-1][:20], rtol=1e-12, atol=0)
+    assert hits / (20 * len(got)) > 0.999
+
+
 def test_few_candidates_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (20, [1.0, 2.0]), (3, [2.0, 1.0])], "vec_id long, embedding array<float>")
     got = ann.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
