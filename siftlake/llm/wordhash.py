@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 
 U = np.uint64
@@ -67,6 +70,34 @@ class Words:
         self.offset = np.cumsum([0, *(len(t) + 1 for t in texts)])
         self.first = np.searchsorted(self.start, self.offset)
 
+    def digests(self, a: np.ndarray, b: np.ndarray, size: int = 16) -> list[bytes]:
+        """Cryptographic digests of the words ``a[k]`` to before ``b[k]``, with one blank between them."""
+        text = b" ".join(self.raw.split())
+        at = np.concatenate([[0], np.cumsum(self.end - self.start + 1)])
+        return [hashlib.blake2b(text[x:y], digest_size=size).digest() for x, y in zip(at[a].tolist(), (at[b] - 1).tolist(), strict=True)]
+
+
+def pieces_of(text: bytes, most: int, overlap: int, separators: np.ndarray = SPACE):
+    """``(piece, behind)`` of a text: pieces of about ``most`` bytes that end before a word, and what follows a piece up to
+    the end of the next ``overlap`` words, so that every range of ``overlap + 1`` words lies in a piece and what is behind it."""
+    n = len(text)
+    if n <= most:
+        yield text, b""
+        return
+    space = re.escape(bytes(np.flatnonzero(separators).astype(np.uint8)))
+    word, gap = re.compile(b"[" + space + b"]*[^" + space + b"]+"), re.compile(b"[" + space + b"]+")
+    at = 0
+    while at < n:
+        found = gap.search(text, at + most) if at + most < n else None
+        end = stop = found.end() if found else n
+        for _ in range(overlap):
+            m = word.match(text, stop)
+            if not m:
+                break
+            stop = m.end()
+        yield text[at:end], text[end:stop]
+        at = end
+
 
 def slices(sizes: list[int], most: int):
     """Ranges of consecutive texts of about ``most`` bytes together."""

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from siftlake.llm import common, minhash, substring
+from siftlake.llm import common, minhash, substring, wordhash
 from siftlake.llm.common import connected_components
 
 WINDOW = 50
@@ -65,8 +65,10 @@ def kept_by_hand(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_repeat_digest(spark, seed):
+@pytest.mark.parametrize("seed,bytes_", [(1, substring.SLICE_BYTES), (2, substring.SLICE_BYTES), (1, 300), (3, 700)])
+def test_repeat_digest(spark, monkeypatch, seed, bytes_):
+    """Also with texts in many overlapping pieces."""
+    monkeypatch.setattr(substring, "SLICE_BYTES", bytes_)
     rows = corpus(seed)
     want = Counter((i, len(w), len(w) - len(k), hashlib.sha256(b" ".join(k)).hexdigest()) for i, w, k in kept_by_hand(rows))
     got = substring.repeat_digest(frame(spark, rows))
@@ -74,7 +76,52 @@ def test_repeat_digest(spark, seed):
     assert substring.repeat_digest(frame(spark, [])).count() == 0
 
 
-def test_remove_repeats(spark):
+def test_every_window_has_a_symbol_that_its_words_decide():
+    """Equal windows pick equal symbols, in whole texts and in pieces."""
+    rng, words = random.Random(8), vocabulary(8, 60)
+    passage = [rng.choice(words) for _ in range(300)] + ["x"] * 120 + ["x", "y"] * 40
+    texts = [[rng.choice(words) for _ in range(90)] + passage + [rng.choice(words)], passage, ["x"] * 300, passage[100:] * 2]
+    seen = {}
+    for most in (1 << 20, 150, 901):
+        for text in texts:
+            raw, at = " \n".join(text).encode(), 0
+            for piece, behind in wordhash.pieces_of(raw, most, WINDOW - 1):
+                found = substring.choose(wordhash.Words([piece + behind]))
+                for key, i0, i1 in zip(found["key"].tolist(), found["i0"].tolist(), found["i1"].tolist(), strict=True):
+                    for i in range(at + i0, at + i1 + 1):
+                        seen.setdefault(tuple(text[i : i + WINDOW]), set()).add(key)
+                at += len(piece.split())
+            assert at == len(text)
+    assert all(len(v) == 1 for v in seen.values())
+    assert {g for t in texts for g in (tuple(t[i : i + WINDOW]) for i in range(len(t) - WINDOW + 1))} == seen.keys()
+
+
+def test_pieces_of_long_texts():
+    text = b"  ab c\n\n" + b"d" * 50 + b" e \x0b f " * 20 + b"g  "
+    for most in (1, 2, 7, 30, 10**6):
+        found = [*wordhash.pieces_of(text, most, 3)]
+        assert b"".join(p for p, _ in found) == text and all(not p[:1].isspace() for p, _ in found[1:])
+        for k, (p, behind) in enumerate(found):
+            rest = b"".join(q for q, _ in found[k + 1 :])
+            assert rest.startswith(behind) and behind.split() == rest.split()[:3]
+    assert [*wordhash.pieces_of(b"", 5, 3)] == [(b"", b"")]
+
+
+def test_long_text_in_bounded_memory():
+    """A text of 24 MB takes a few times its size, not some forty times."""
+    import tracemalloc
+
+    raw = b" ".join(b"w%d" % (k % 7001) for k in range(4_000_000))
+    tracemalloc.start()
+    n = sum(len(substring.choose(wordhash.Words([piece + behind]))["key"]) for _, _, piece, behind in substring.segments(raw, WINDOW))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 100_000 and peak < 6 * len(raw)
+
+
+@pytest.mark.parametrize("bytes_", [substring.SLICE_BYTES, 300])
+def test_remove_repeats(spark, monkeypatch, bytes_):
+    monkeypatch.setattr(substring, "SLICE_BYTES", bytes_)
     rows = corpus()
     df = frame(spark, rows)
     out = substring.remove_repeats(df)
