@@ -55,7 +55,7 @@ class Bpe:
         self.path, self.alphabet, self.pretokenizer = path, alphabet, None
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
         self.known: dict[str, bytes] = {}
-        self.chunked = ChunkCache(BYTE_CHUNKS, lambda new: [self._chunk(c) for c in new], [*self.specials], self._whole, len(self.bytes_of) - 1)
+        self.chunked = ChunkCache(BYTE_CHUNKS, lambda _, chunk: self._chunk(chunk), [*self.specials], self._whole, len(self.bytes_of) - 1)
 
     def _short(self, ids: list[int]) -> list[int]:
         merge = self.merge

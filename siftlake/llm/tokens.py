@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -19,6 +19,8 @@ import numpy as np
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The byte-level pattern with its three kinds of non-space runs put together.
 BYTE_CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
+#: A character that is no white space before a blank and another one: a new word starts at the blank in every pattern here.
+BLANK = re.compile(f"[^{SPACE}\x1c-\x1f](?= [^{SPACE}\x1c-\x1f])").search
 
 
 ASIS = "\0"
@@ -43,50 +45,70 @@ def word_chunks(text: str) -> list[bytes]:
 
 
 #: Chunks kept per Python worker (about 200 bytes each).
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 800_000
 #: Characters of text looked at together; bounds what a worker holds besides one text.
 GROUP_CHARS = 1 << 20
 LONG_CHUNK = 200
 
 
+class Chunks(dict):
+    """Chunks to their ids; those not seen yet are encoded as they are asked for, and kept unless they are long.
+
+    Two generations: when the young one is full it becomes the old one, from which chunks come back when they are asked
+    for, so that frequent ones stay and what is rare goes.
+    """
+
+    def __init__(self, encode: Callable[[Chunks, str | bytes], bytes]):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, chunk):
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.encode(self, chunk)
+            if len(chunk) > LONG_CHUNK:
+                return ids
+        self[chunk] = ids
+        return ids
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+
 class ChunkCache:
     """Texts to bytes of little-endian unsigned 32-bit ids, by a chunker and a function for chunks not seen yet."""
 
-    def __init__(self, chunks: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]],
+    def __init__(self, chunks: Callable[[str], list], encode: Callable[[Chunks, str | bytes], bytes],
                  specials: list[str], whole: Callable[[str], bytes], largest_id: int, entries: int = CACHE_ENTRIES):
-        self.chunks, self.encode, self.specials, self.whole, self.entries = chunks, encode, specials, whole, entries
-        self.largest_id = largest_id
-        self.cache: dict[str, bytes] = {}
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) > self.entries:
-            cache.clear()
-        cut = [None if any(s in t for s in self.specials) else self.chunks(t) for t in texts]
-        seen: set[str] = set()
-        for cs in cut:
-            seen.update(cs or ())
-        new = list(seen.difference(cache))
-        if new:
-            cache.update(zip(new, self.encode(new), strict=True))
-        get = cache.__getitem__
-        out = [self.whole(t) if cs is None else b"".join(map(get, cs)) for t, cs in zip(texts, cut, strict=True)]
-        for c in new:
-            if len(c) > LONG_CHUNK:
-                del cache[c]
-        return out
+        self.chunks, self.specials, self.whole, self.entries, self.largest_id = chunks, specials, whole, entries, largest_id
+        self.cache = Chunks(encode)
+
+    def parts(self, text: str) -> Iterator[str]:
+        """A long text in pieces of about ``GROUP_CHARS``, each from a single blank between two words on."""
+        at = 0
+        while len(text) - at > 2 * GROUP_CHARS:
+            cut = BLANK(text, at + GROUP_CHARS)
+            if not cut:
+                break
+            yield text[at : cut.start() + 1]
+            at = cut.start() + 1
+        yield text[at:] if at else text
+
+    def _one(self, text: str) -> bytes:
+        if any(s in text for s in self.specials):
+            return self.whole(text)
+        if len(self.cache) > self.entries // 2:
+            self.cache.turn()
+        return b"".join(map(self.cache.__getitem__, self.chunks(text)))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        group: list[str] = []
-        size = 0
+        out = []
         for t in texts:
-            group.append(t or "")
-            size += len(group[-1])
-            if size >= GROUP_CHARS:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group) if group else out
+            t = t or ""
+            long_ = len(t) > 2 * GROUP_CHARS and not any(s in t for s in self.specials)
+            out.append(b"".join(map(self._one, self.parts(t))) if long_ else self._one(t))
+        return out
 
 
 #: Letters of one byte or two that are composed and keep their class in lower case.
@@ -103,17 +125,25 @@ def byte_characters() -> str:
 
 
 class PlainEncoder:
-    """Encodes unseen chunks: plain ones by the library's model, their letters and punctuation apart; others whole."""
+    """Encodes unseen chunks: plain ones by the library's model, their letters and punctuation apart; others whole.
+
+    Letters are kept under the chunk that they are alone: after a blank for byte-level chunks, in lower case for others.
+    """
 
     def __init__(self, tok, lower: bool):
         self.tok, self.model, self.lower = tok, tok.model, lower
-        self.cores: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
         self.mapped = dict(enumerate(byte_characters()))
 
-    def each(self, chunks: list[str]) -> list[bytes]:
-        found = self.tok.encode_batch_fast(chunks, add_special_tokens=False) if chunks else []
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def each(self, chunk: str) -> bytes:
+        return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def tail(self, chunk: str) -> bytes:
+        if chunk not in self.tails:
+            if len(self.tails) > 1000:
+                self.tails = {"": b""}
+            self.tails[chunk] = self.each(chunk)
+        return self.tails[chunk]
 
     def core(self, word: str) -> bytes:
         """Ids of a run of letters, perhaps after a blank, which is one word to the pre-tokenizer."""
@@ -122,44 +152,22 @@ class PlainEncoder:
             letters = letters.encode().decode("latin-1").translate(self.mapped)
         return array("I", [t.id for t in self.model.tokenize(blank + letters)]).tobytes()
 
-    def __call__(self, keys: list) -> list[bytes]:
-        if len(self.cores) > CACHE_ENTRIES:
-            self.cores.clear()
-        if len(self.tails) > 1000:
-            self.tails = {"": b""}
-        if keys and isinstance(keys[0], bytes):
-            keys = [c.decode() for c in keys]
-        cores, tails, out, rest = self.cores, self.tails, [], []
-        for k, key in enumerate(keys):
-            before = " "
-            if key.isascii() and key.isalpha() and len(key) < LONG_CHUNK:
-                word, tail = key, ""
-            else:
-                m = PLAIN(key)
-                if m is None and not self.lower and key[0] in "\n\0":
-                    m, before = PLAIN(key, 1), key[0]
-                if m is None or m.end() > LONG_CHUNK:
-                    rest.append(k)
-                    out.append(b"")
-                    continue
-                word, tail = m.groups()
-            word = word.lower() if self.lower else f" {word}" if before == " " else word
-            ids = cores.get(word)
-            if ids is None:
-                ids = cores[word] = self.core(word)
-            if tail:
-                if tail not in tails:
-                    tails[tail] = self.each([tail])[0]
-                ids += tails[tail]
-            if before == "\n":
-                if before not in tails:
-                    tails[before] = self.each([before])[0]
-                ids = tails[before] + ids
-            out.append(ids)
-        plain = lambda key: key if self.lower or key[0] == "\n" else key[1:] if key[0] == ASIS else f" {key}"
-        for k, ids in zip(rest, self.each([plain(keys[k]) for k in rest]), strict=True):
-            out[k] = ids
-        return out
+    def __call__(self, kept: Chunks, key: str | bytes) -> bytes:
+        text = key if isinstance(key, str) else key.decode()
+        before, at = " ", 0
+        if not self.lower and text[:1] in ("\n", ASIS):
+            before, at = text[0], 1
+        if len(text) >= LONG_CHUNK or not (m := PLAIN(text, at)):
+            return self.each(text[1:] if before == ASIS else text if before == "\n" or self.lower else f" {text}")
+        word, tail = m.groups()
+        if self.lower:
+            word = word.lower()
+            name = word.encode()
+        else:
+            name = word if before == " " else ASIS + word
+        if name == key:
+            return self.core(word if self.lower or before != " " else f" {word}")
+        return (self.tail("\n") if before == "\n" else b"") + kept[name] + self.tail(tail)
 
 
 _encoders: dict[str, ChunkCache] = {}
