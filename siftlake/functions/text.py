@@ -8,16 +8,24 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Unicode White_Space as a Java and Python character class body.
 SPACE = "\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SPACES = re.compile(f"[{SPACE}]+")
-#: Typographic signs that count as their plain forms.
-PLAIN_SIGNS = {"’": "'", "‘": "'", "–": "-", "—": "-"}
+#: Typographic signs that count as their plain forms.
+PLAIN_SIGNS = {"\u2019": "'", "\u2018": "'", "\u2013": "-", "\u2014": "-"}
 _SIGNS = str.maketrans(PLAIN_SIGNS)
-
-#: Default domain rules: canonical domain to the domains that count as the same.
+#: Characters whose normal form is their lower case (and ``ss`` for the sharp s, plain forms for the typographic signs), that
+#: compose with none of each other: ASCII, letters of Latin-1 and Latin Extended-A, Cyrillic, kana, Han, Hangul syllables
+#: and some signs. Texts of these alone stay in built-in functions.
+SIMPLE = (
+    "\\x00-\\x7f\\u00a1-\\u00a7\\u00a9\\u00ab\\u00ac\\u00ae\\u00b0\\u00b1\\u00b6\\u00b7\\u00bb\\u00bf-\\u012f\\u0131\\u0134-\\u013e"
+    "\\u0141-\\u0148\\u014a-\\u017e\\u0410-\\u044f\\u0401\\u0451\\u2010\\u2012-\\u2016\\u2018-\\u201f\\u2020-\\u2022\\u20ac\\u3001-\\u3003\\u3008-\\u3011"
+    "\\u3041-\\u3096\\u30a1-\\u30fa\\u30fc\\u4e00-\\u9fff\\uac00-\\ud7a3"
+)
+
+#: Default domain rules, canonical domain to the domains that count as the same.
 SUFFIX_RULES = {
     "bofa.com": ["bankofamerica.com", "ml.com"],
     "gmail.com": ["googlemail.com"],
@@ -26,7 +34,7 @@ SUFFIX_RULES = {
     "amazon.com": ["aws.amazon.com"],
 }
 
-#: Country codes to phone prefixes.
+#: Country codes to phone prefixes.
 PHONE_PREFIXES = {
     "US": "1", "CA": "1", "GB": "44", "UK": "44", "FR": "33", "DE": "49", "IT": "39", "ES": "34", "AU": "61",
     "JP": "81", "CN": "86", "IN": "91", "MX": "52", "BR": "55", "NL": "31", "CH": "41", "SE": "46",
@@ -53,19 +61,33 @@ def _normalize_unicode(values: pd.Series) -> pd.Series:
     return values.map(normalize_text, na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _normalize_cells(rows: pd.Series) -> pd.Series:
+    return rows.map(lambda cells: None if cells is None else [normalize_text(c or "") for c in cells])
+
+
+def is_simple(x: Column) -> Column:
+    """Whether built-in functions normalise a text as ``normalize_text`` does."""
+    return (F.octet_length(x) == F.length(x)) | ~x.rlike(f"[^{SIMPLE}]")
+
+
+def _plain(x: Column) -> Column:
+    """``normalize_text`` of simple texts."""
+    signs = F.translate(F.replace(F.lower(x), F.lit("\u00df"), F.lit("ss")), "".join(PLAIN_SIGNS), "".join(PLAIN_SIGNS.values()))
+    return F.btrim(F.regexp_replace(signs, "[\\t-\\r ]+", " "))
+
+
 def normalize_field(x: Column) -> Column:
-    """B-01. ASCII stays in built-in functions; only other values cross to the Arrow function, the rest as nulls."""
-    plain = F.btrim(F.regexp_replace(F.lower(x), "[\\t-\\r ]+", " "))
-    ascii_only = F.octet_length(x) == F.length(x)
-    return F.when(ascii_only, plain).otherwise(_normalize_unicode(F.when(~ascii_only, x)))
+    """B-01. Simple texts stay in built-in functions; only other values cross to the Arrow function, the rest as nulls."""
+    simple = is_simple(x)
+    return F.when(simple, _plain(x)).otherwise(_normalize_unicode(F.when(~simple, x)))
 
 
 def normalize_row(cells: Column) -> Column:
-    """B-02 for ``array<string>``: joined by an unused separator, normalised in one call, split again."""
-    sep = ""
-    joined = F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), sep)
-    parts = F.split(normalize_field(joined), sep)
-    return F.when(F.size(cells) == 0, F.array().cast("array<string>")).otherwise(F.transform(parts, lambda p: F.btrim(p)))
+    """B-02 for ``array<string>``: cells of simple rows one by one, those of other rows in one Arrow call; null cells are empty."""
+    simple = F.forall(cells, lambda c: c.isNull() | is_simple(c))
+    plain = F.transform(cells, lambda c: _plain(F.coalesce(c, F.lit(""))))
+    return F.when(simple, plain).otherwise(_normalize_cells(F.when(~simple, cells)))
 
 
 def suffix_map(rules: dict[str, list[str]] | None = None) -> Column:

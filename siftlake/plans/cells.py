@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +34,12 @@ _IPV4 = (
     "coalesce(try_cast(x AS INT), 999))) < 256 AND NOT regexp_matches(v, "
     "'^(0|10|127|169\\.254|172\\.(1[6-9]|2[0-9]|3[01])|192\\.168|255\\.255\\.255\\.255)(\\.|/|$)'))"
 )
-_IPV6 = f"(regexp_matches(v, '{detect.IPV6}') AND lower(v) <> '::1' AND NOT regexp_matches(v, '(?i)^(fe80:|f[cd][0-9a-f:])'))"
+_IPV6 = (
+    f"((regexp_matches(v, '{detect.IPV6_WHOLE}') OR (regexp_matches(v, '{detect.IPV6_SHORT}') AND "
+    "len(list_filter(string_split(v, ':'), lambda g: g <> '')) <= 7) OR "
+    f"regexp_matches(v, '{detect.IPV6_ZONE}') OR regexp_matches(v, '{detect.IPV6_MAPPED}')) "
+    "AND lower(v) <> '::1' AND NOT regexp_matches(v, '(?i)^(fe80:|f[cd][0-9a-f:])'))"
+)
 _NAME = (
     f"({_OCT} BETWEEN 3 AND 50 AND NOT regexp_matches(v, '[0-9]') AND contains(v, ' ') AND len(string_split_regex(v, '\\s+')) >= 2 "
     "AND len(list_filter(string_split_regex(v, '\\s+'), lambda w: regexp_matches(w, '^\\p{Lu}'))) >= len(string_split_regex(v, '\\s+')) // 2)"
@@ -168,10 +175,10 @@ _WEAK_SQL = "SELECT unnest([" + ", ".join(f"'{w}'" for w in wordlist.WEAK_PASSWO
 
 
 @query("d19_weak_hash", f"""WITH words AS ({_WEAK_SQL}), h AS (SELECT md5(w) AS h, w FROM words UNION ALL SELECT sha256(w), w FROM words)
-SELECT l_orderkey, l_linenumber, w AS plaintext FROM lineitem JOIN h ON md5(CAST(l_suppkey AS STRING)) = h""")
+SELECT l_orderkey, l_linenumber, w AS plaintext FROM lineitem JOIN h ON md5(CAST(l_orderkey % 130 AS STRING)) = h""")
 def d19(spark: SparkSession, sf: str) -> DataFrame:
-    """D-19, D-21: hashes of lineitem suppliers that are hashes of weak passwords (``123`` and the like)."""
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.md5(F.col("l_suppkey").cast("string")).alias("value"))
+    """D-19, D-21: upper-case hashes of small numbers, of which some (``111``, ``123``) are hashes of weak passwords."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.upper(F.md5((F.col("l_orderkey") % 130).cast("string"))).alias("value"))
     hashes = wordlist.digests(wordlist.rainbow_table(wordlist.builtin_words(spark), with_ntlm=False))
     return wordlist.weak_hash_probe(lines, "value", hashes).where("plaintext IS NOT NULL").drop("value")
 
@@ -273,9 +280,13 @@ def h01(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", hashing.md5(x).alias("md5"), hashing.sha1(x).alias("sha1"), hashing.sha256(x).alias("sha256"))
 
 
-@query("h02_ntlm_sha512")
+_DIGESTS = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{w}', '{hashlib.sha512(w.encode()).hexdigest()}', '{hashing.ntlm_text(w)}')" for w in wordlist.WEAK_PASSWORDS) + ") AS v(plaintext, sha512, ntlm)"
+
+
+@query("h02_ntlm_sha512", f"SELECT plaintext, md5(plaintext) AS md5, sha1(plaintext) AS sha1, sha256(plaintext) AS sha256, sha512, ntlm FROM ({_DIGESTS})")
 def h02(spark: SparkSession, sf: str) -> DataFrame:
-    """M-02 in full: every digest of the word list (SHA-512 and NTLM have no SQL here)."""
+    """M-02 in full: every digest of the word list (its SQL has SHA-512 and NTLM as literals)."""
     return wordlist.rainbow_table(wordlist.builtin_words(spark))
 
 

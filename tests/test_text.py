@@ -1,3 +1,4 @@
+import re
 import unicodedata
 
 import pytest
@@ -44,6 +45,24 @@ def test_row(spark):
     assert [r.x for r in df.select(text.normalize_row(F.col("c")).alias("x")).collect()] == [["a", "", "strasse", ""], [], ["x"]]
 
 
+def test_row_keeps_private_use_characters(spark):
+    rows = [["a\ue000b", "c"], ["\uf8ff", "", "x\U000f0000"], ["\ue000"], ["Ａ", "\ue000\ue001", None]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, c array<string>").orderBy("i")
+    got = [r.x for r in df.select("i", text.normalize_row(F.col("c")).alias("x")).orderBy("i").collect()]
+    assert got == [[text.normalize_text(c or "") for c in r] for r in rows]
+
+
+def test_simple_characters_are_those_that_builtins_normalise(spark):
+    """Each one by itself, between letters, and before and after each kind of the others."""
+    simple = [chr(c) for c in range(0x10000) if re.fullmatch(f"[{text.SIMPLE}]", chr(c))]
+    assert len(simple) > 30_000 and all(unicodedata.normalize("NFKC", c) == c and unicodedata.combining(c) == 0 for c in simple)
+    some = simple[:700] + simple[700::97]
+    values = [f"A{c}b{c}{c}Z" for c in simple] + [a + b for a in some[::9] for b in some[::5]]
+    df = spark.createDataFrame([(v, text.normalize_text(v)) for v in values], "v string, want string")
+    assert df.where(~text.is_simple(F.col("v"))).count() == 0
+    assert df.where(text.normalize_field(F.col("v")) != F.col("want")).limit(5).collect() == []
+
+
 def test_emails(spark):
     got = column(spark, ["User.Name+tag@GoogleMail.com", "plain", "a@b@ML.com", "x@y.org"], text.normalize_email)
     assert got == ["username@gmail.com", "plain", "a@b@bofa.com", "x@y.org"]
