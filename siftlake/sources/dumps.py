@@ -1,7 +1,8 @@
 """Dump files as DataFrames: files, rows of cells, long cells; safety and compression checks on bytes.
 
-``load_dump`` parses each file exactly in one task. Files of lines that need no state across lines (TSV, JSON lines,
-CSV without line breaks in quotes) can go through ``load_lines``, which splits large files over tasks.
+``load_dump`` parses each file exactly: files up to ``LARGE`` in one task, larger CSV and TSV files split over tasks
+(``large``). JSON and XML files are single documents and stay whole. Files of lines that need no state across lines (JSON
+lines, CSV without line breaks in quotes) can also go through ``load_lines``.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions.text import SPACE
-from siftlake.sources.parsers import PARSERS, json_line, parse_csv_line
+from siftlake.sources import large
+from siftlake.sources.parsers import PARSERS, json_line, parse_csv_line, parser_of
 
 ROWS = "file_seq long, path string, file_id string, row_idx long, cells array<string>, error string"
 LARGE = 100 * 1024 * 1024
@@ -21,7 +23,7 @@ def dump_format(path: Column) -> Column:
     """A-13: the lower-cased extension, ``csv`` without one; null where unsupported."""
     ext = F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))
     ext = F.when(ext == "", "csv").otherwise(ext)
-    return F.when(ext.isin(*PARSERS), ext)
+    return F.when(ext.isin(*PARSERS), ext)  # with the adapters that were added
 
 
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -31,14 +33,32 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def load_dump(spark: SparkSession, paths: list[str] | str, fmt: str | None = None) -> DataFrame:
-    """Rows ``ROWS`` of all files, in the order of ``paths``; unreadable files give one row with an error."""
+    """Rows ``ROWS`` of all files, in the order of ``paths``; unreadable files give one row with an error.
+
+    The ``file_id`` of a large CSV or TSV file is a digest of its lines instead of its bytes; it is not checked for binary
+    content.
+    """
     paths = [paths] if isinstance(paths, str) else paths
-    parts = [read_files(spark, p).withColumn("file_seq", F.lit(i).cast("long")) for i, p in enumerate(paths)]
-    files = parts[0]
+    parts = []
+    kind = F.lit(fmt) if fmt else dump_format(F.col("path"))
+    for i, p in enumerate(paths):
+        files = read_files(spark, p).withColumns({"file_seq": F.lit(i).cast("long"), "fmt": kind})
+        splits = (F.col("size") > LARGE) & F.coalesce(kind.isin("csv", "tsv"), F.lit(False))
+        parts.append(_whole(files.where(~splits)))
+        for r in files.where(splits).select("path", "fmt").collect():  # one name for each file over LARGE
+            rows = large.read_rows(spark, r.path, '"' if r.fmt == "csv" else "")
+            file_id = large.content_id(large.split_lines(spark, r.path)).select("file_id").scalar()
+            error = F.lit(None).cast("string").alias("error")
+            parts.append(rows.select(F.lit(i).cast("long").alias("file_seq"), "path", file_id.alias("file_id"), "row_idx", "cells", error))
+    out = parts[0]
     for part in parts[1:]:
-        files = files.unionByName(part)
-    files = files.withColumns({"fmt": F.lit(fmt) if fmt else dump_format(F.col("path")), "safe": file_safety(F.col("content"))})
-    files = files.withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
+        out = out.unionByName(part)
+    return out
+
+
+def _whole(files: DataFrame) -> DataFrame:
+    """Rows ``ROWS`` of files that one task each parses."""
+    files = files.withColumns({"safe": file_safety(F.col("content")), "text": F.make_valid_utf8(F.col("content").cast("string"))})
 
     def run(batches):
         for batch in batches:
@@ -46,11 +66,11 @@ def load_dump(spark: SparkSession, paths: list[str] | str, fmt: str | None = Non
                 rows, error = [], None
                 if r["is_binary"]:
                     error = "binary content"
-                elif r["fmt"] not in PARSERS:
+                elif r["fmt"] not in parsers:
                     error = "unsupported format"
                 else:
                     try:
-                        rows = PARSERS[r["fmt"]](r["text"])
+                        rows = parsers[r["fmt"]](r["text"])
                     except ValueError as e:
                         error = str(e)
                 out = [(r["file_seq"], r["path"], r["file_id"], i, c, None) for i, c in enumerate(rows)]
@@ -61,6 +81,7 @@ def load_dump(spark: SparkSession, paths: list[str] | str, fmt: str | None = Non
                 names = ["file_seq", "path", "file_id", "row_idx", "cells", "error"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
+    parsers = {name: parser_of(name) for name in PARSERS}  # travels to the executors with the function
     return files.select("file_seq", "path", "file_id", "fmt", "text", F.col("safe.is_binary").alias("is_binary")).mapInArrow(run, ROWS)
 
 

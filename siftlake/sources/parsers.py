@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 
 def parse_csv(text: str) -> list[list[str]]:
@@ -142,4 +142,19 @@ def parse_json_array(text: str) -> list[list[str]]:
     return [json_line(v) for v in value]
 
 
-PARSERS = {"csv": parse_csv, "tsv": parse_tsv, "json": parse_json, "xml": parse_xml, "jsonl": lambda t: list(parse_jsonl(t))}
+#: Whole-file parsers by format; ``register`` adds to them.
+PARSERS = {
+    "csv": parse_csv, "tsv": parse_tsv, "json": parse_json, "xml": parse_xml, "jsonl": lambda t: list(parse_jsonl(t)),
+    "jsonarray": parse_json_array,
+}
+
+
+def parser_of(name: str) -> Callable[[str], list[list[str]]]:
+    return PARSERS[name]
+
+
+def register(name: str, parse: Callable[[str], list[list[str]]]) -> None:
+    """K-01: an adapter for files with the extension ``name``: a text to rows of cells; ``ValueError`` marks bad files."""
+    if not name.isalnum() or name != name.lower():
+        raise ValueError(f"not an extension: {name!r}")
+    PARSERS[name] = parse

@@ -1,9 +1,11 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siftlake.sources import dumps
+from siftlake.sources import dumps, large
 from siftlake.sources import parsers as p
 
 
@@ -91,3 +93,57 @@ def test_nesting(spark):
     assert spark.range(1).select(dumps.check_nesting(F.lit(3))).first()[0]
     with pytest.raises(Exception, match="nesting"):
         spark.range(1).select(dumps.check_nesting(F.col("id") + 4)).collect()
+
+
+def dump_texts(n=60):
+    rng = random.Random(3)
+    parts = ["a", "bc", ",", "\n", "\r\n", '"', '""', '"x,\ny"', "é", " ", "long cell " * 3]
+    for _ in range(n):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        yield text if text.endswith("z") else text + "z"  # the last cell is never empty
+    yield from ["", "plain,1\nrow,2\n", '"' + "q\n" * 40 + '",after\nnext,row\n', "x\n" * 30, 'a,"open\n' + "rest\n" * 20 + "z"]
+
+
+def test_large_csv_equals_whole_files(spark, tmp_path):
+    """Splits of a few bytes: rows cross borders, whole splits lie within quotes."""
+    texts = [*dump_texts()]
+    for k, t in enumerate(texts):
+        (tmp_path / f"f{k:03d}.csv").write_bytes(t.encode())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for few in (large.BROADCAST_SPLITS, 0):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "23")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        old, large.BROADCAST_SPLITS = large.BROADCAST_SPLITS, few
+        try:
+            rows = large.read_rows(spark, str(tmp_path)).collect()
+        finally:
+            large.BROADCAST_SPLITS = old
+            for k, v in before.items():
+                spark.conf.set(k, v)
+        got = {}
+        for r in rows:
+            got.setdefault(int(r.path[-7:-4]), {})[r.row_idx] = r.cells
+        for k, t in enumerate(texts):
+            assert [got.get(k, {})[i] for i in range(len(got.get(k, {})))] == p.parse_csv(t), t
+
+
+def test_large_files_in_a_dump(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dumps, "LARGE", 20)
+    (tmp_path / "a.csv").write_text('email,pw\nx@y.org,"1\n2"\nz@y.org,3\n')
+    (tmp_path / "b.tsv").write_text('k\tv "\n1\tlonger than the rest\r\n')
+    (tmp_path / "c.csv").write_text("small,1\n")
+    (tmp_path / "d.json").write_text('[{"a": "a long document stays whole"}]')
+    rows = dumps.load_dump(spark, [f"{tmp_path}/{n}" for n in ("a.csv", "b.tsv", "c.csv", "d.json")]).orderBy("file_seq", "row_idx").collect()
+    assert [(r.file_seq, r.row_idx, r.cells) for r in rows] == [
+        (0, 0, ["email", "pw"]), (0, 1, ["x@y.org", "1\n2"]), (0, 2, ["z@y.org", "3"]), (1, 0, ["k", 'v "']), (1, 1, ["1", "longer than the rest"]),
+        (2, 0, ["small", "1"]), (3, 0, ["a"]), (3, 1, ["a long document stays whole"]),
+    ]
+    assert all(len(r.file_id) == 64 and r.error is None for r in rows) and len({r.file_id for r in rows}) == 4
+
+
+def test_adapters(spark, tmp_path):
+    (tmp_path / "a.semi").write_text("x;y\n1;2\n")
+    p.register("semi", lambda t: [line.split(";") for line in t.splitlines()])
+    assert [r.cells for r in dumps.load_dump(spark, f"{tmp_path}/a.semi").orderBy("row_idx").collect()] == [["x", "y"], ["1", "2"]]
+    with pytest.raises(ValueError, match="extension"):
+        p.register("A b", str.split)
