@@ -1,8 +1,9 @@
 """The history store: versioned Parquet tables with insert-ignore, probes, neighbours, statistics, export and import.
 
-A table is a folder of versions; an insert writes only the new rows as a further version, so that nothing is rewritten
-and readers never see half a write. Probes are semi and anti joins over whole key columns, which Spark prunes and, for
-small sides, broadcasts by measured size.
+A table is a folder of versions; an insert writes only the new rows as a further version, so that nothing is rewritten.
+Readers take versions whose write has ended (Spark's success marker), so that they never see half a write. Inserts into
+one table have to come one after another: two at once may both insert a key. Probes are semi and anti joins over whole
+key columns, which Spark prunes and, for small sides, broadcasts by measured size.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.schema import TABLES
@@ -31,37 +32,53 @@ class HistoryStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, table: str) -> bool:
+    def versions(self, table: str) -> list[str]:
+        """The paths of all versions that are whole."""
         jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/*/_SUCCESS")
+        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern)
+        return sorted(x.getPath().getParent().toString() for x in found or [])
 
-    def read(self, table: str) -> DataFrame:
+    def read(self, table: str, without: str | None = None) -> DataFrame:
+        """All rows, or those of all versions but that named ``without``."""
         schema = TABLES[table][0]
-        if not self._exists(table):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/{table}")
+        paths = [p for p in self.versions(table) if p.rpartition("/")[2] != f"v-{without}"]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def insert(self, table: str, rows: DataFrame) -> int:
-        """Insert-ignore by primary key; returns how many rows went in."""
+    def insert(self, table: str, rows: DataFrame, version: str | None = None) -> int:
+        """Insert-ignore by primary key; returns how many rows went in.
+
+        A ``version`` that is there already is written anew against the others, so that a repeated batch replaces its own
+        rows.
+        """
         schema, key = TABLES[table]
         wanted = self.spark.createDataFrame([], schema)
         rows = rows.select(*[
             (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.schema
         ])
-        version = f"{self.path}/{table}/v-{uuid.uuid4().hex}"
-        insert_ignore(self.read(table), rows, key).write.parquet(version)
-        return self.spark.read.schema(schema).parquet(version).count()
+        path = f"{self.path}/{table}/v-{version or uuid.uuid4().hex}"
+        insert_ignore(self.read(table, version), rows, key).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(schema).parquet(path).count()
 
-    def insert_events(self, events: DataFrame, dataset: str) -> int:
+    def insert_events(self, events: DataFrame, dataset: str, version: str | None = None) -> int:
         """An event log as ``normalized_rows``: the id is a digest of the event, so that a repeated write adds nothing."""
         identity = F.sha2(F.to_json(F.struct(F.lit(dataset), *[F.col(c) for c in events.columns])), 256)
-        return self.insert("normalized_rows", events.withColumns({"id": identity, "dataset": F.lit(dataset), "source_file": F.col("file_id")}))
+        rows = events.withColumns({"id": identity, "dataset": F.lit(dataset), "source_file": F.col("file_id")})
+        return self.insert("normalized_rows", rows, version)
 
-    def known(self) -> dict[str, DataFrame]:
+    def known(self, without: str | None = None) -> dict[str, DataFrame]:
+        """The history for ``event_log``, without the rows of one version."""
         from siftlake.operators.events import history_of
 
-        return history_of(self.read("normalized_rows"))
+        return history_of(self.read("normalized_rows", without))
+
+    def aliases_of(self, probe: DataFrame) -> DataFrame:
+        """G-13: the alias relationships of the canonical hashes in ``probe``."""
+        return self.read("alias_relationships").join(probe.select("canonical_hash").distinct(), "canonical_hash", "left_semi")
+
+    def anomalies_of(self, probe: DataFrame) -> DataFrame:
+        """G-13: the anomaly scores of the files in ``probe``."""
+        return self.read("anomaly_scores").join(probe.select("file_id").distinct(), "file_id", "left_semi")
 
     def stats(self) -> DataFrame:
         return db_stats({t: self.read(t) for t in TABLES})
@@ -137,6 +154,16 @@ def neighbors(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("canonical_hash_1").alias("node"), F.col("canonical_hash_2").alias("neighbor"), "cooccurrence_count").union(flip)
 
 
+def distinct_credentials(rows: DataFrame) -> DataFrame:
+    """G-19: ``credential_hash, created_at``: each credential with its latest time."""
+    return rows.where("credential_hash IS NOT NULL").groupBy("credential_hash").agg(F.max("created_at").alias("created_at"))
+
+
+def plain_fields(fields: Column) -> Column:
+    """G-16: event fields as a JSON array, without those that only tag the event's origin."""
+    return F.to_json(F.filter(fields, lambda x: ~x.rlike("^(file_id|source_file|row_hash):")))
+
+
 def high_risk(anomalies: DataFrame, threshold: int) -> DataFrame:
     """G-13."""
     return anomalies.where(F.col("risk_score") > threshold)

@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; a temporary folder is set only where the session names none (tests)."""
+    """A fresh path below ``spark.checkpoint.dir``.
+
+    Where the session names none, a local master gets a temporary folder (tests); on a cluster, whose executors would write
+    to disks of their own, that is an error.
+    """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir")
     if not found and sc._jsc.sc().getCheckpointDir().isDefined():
         found = sc._jsc.sc().getCheckpointDir().get()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="siftlake-")
         sc.setCheckpointDir(found)
     return f"{found.rstrip('/')}/siftlake/{name}-{uuid.uuid4().hex[:12]}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +21,15 @@ def stream_lines(spark: SparkSession, path: str, fmt: str, files_per_trigger: in
 
 
 def ingest_batch(store: HistoryStore, dataset: str) -> Callable[[DataFrame, int], None]:
-    """J-02: a ``foreachBatch`` function: events against the history so far, then their insert, which is idempotent."""
+    """J-02: a ``foreachBatch`` function: events against the history of all other batches, then their insert.
+
+    A batch is a version of the store, named by the data set and its number: when Spark repeats one after a failure, its
+    rows of the first try are no history, and are replaced.
+    """
 
     def run(rows: DataFrame, batch: int) -> None:
-        store.insert_events(event_log(rows, store.known()), dataset)
+        version = f"{quote(dataset, safe='')}-{batch}"
+        store.insert_events(event_log(rows, store.known(version)), dataset, version)
 
     return run
 
