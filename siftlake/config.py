@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 from siftlake.functions.text import SUFFIX_RULES
+from siftlake.operators.enrich import Enrichment
 
 DOMAIN = re.compile(r"[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+", re.I)
 
@@ -23,6 +24,7 @@ class Config:
     suffix_rules: dict[str, list[str]] = field(default_factory=lambda: {k: [*v] for k, v in SUFFIX_RULES.items()})
     custom_passwords: list[str] = field(default_factory=list)
     working_directory: str = "/tmp/siftlake"
+    enrichment: Enrichment = field(default_factory=Enrichment)
 
     def check(self) -> Config:
         if self.breach_key is not None and not re.fullmatch(r"[0-9a-fA-F]{32}", self.breach_key):
@@ -48,7 +50,7 @@ def load(given: str | None = None) -> Config:
             return Config(
                 hibp.get("api_key") if hibp.get("enabled") else None,
                 raw.get("email_suffix_substitutions", Config().suffix_rules), raw.get("custom_passwords", []),
-                raw.get("working_directory", {}).get("path", Config().working_directory),
+                raw.get("working_directory", {}).get("path", Config().working_directory), Enrichment(**raw.get("enrichment", {})),
             ).check()
     if given:
         raise ConfigError(f"no such file: {given}")

@@ -26,6 +26,12 @@ def email_plus_alias(x: Column) -> Column:
     return F.when(v.contains("@") & local.contains("+"), _link(base, v, "email_plus", 95))
 
 
+def find_email_aliases(values: DataFrame, column: str = "value") -> DataFrame:
+    """L-07: the links of all values that are addresses with a tag: ``canonical, variant, alias_type, confidence``."""
+    links = values.select(email_plus_alias(F.col(column)).alias("a")).where("a IS NOT NULL")
+    return links.select("a.*").distinct()
+
+
 def email_domain_alias(x: Column, rules: dict[str, list[str]] | None = None) -> Column:
     """L-09: a link from the address at the canonical domain, or null."""
     v = F.lower(x)

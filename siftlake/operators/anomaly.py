@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlake.scratch import written
+
 #: The kinds of anomaly.
 KINDS = [
     "entropy_outlier", "rare_domain", "unusual_format", "unseen_combination", "length_outlier", "uniform_distribution",
@@ -12,18 +14,36 @@ KINDS = [
 ]
 
 
+#: Different characters up to which each is counted by a pass of its own; beyond, the characters are sorted.
+FEW_CHARACTERS = 200
+
+
+def _once(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def entropy(x: Column) -> Column:
-    """E-01: Shannon entropy of the characters, with the byte length as the denominator."""
+    """E-01: Shannon entropy of the characters, with the byte length as the denominator.
+
+    A text of few different characters is counted by one quick pass for each, one of many by sorting its characters.
+    """
     size = F.octet_length(x)
-    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    term = lambda n: _once(n / size, lambda s: -s * F.log2(s))
+
+    def passes(distinct: Column) -> Column:
+        count = lambda c, n: n - F.length(F.replace(x, c, F.lit("")))
+        return _once(F.length(x), lambda n: F.transform(F.array_sort(distinct), lambda c: term(count(c, n))))
 
-    def terms(chars: Column) -> Column:
-        share = lambda c: (chars - F.length(F.replace(x, c, F.lit("")))) / size
-        distinct = F.array_sort(F.array_distinct(F.split(x, "")))
-        return F.transform(distinct, lambda c: once(share(c), lambda s: -s * F.log2(s)))
+    def runs(chars: Column) -> Column:
+        first = lambda i: (i == 0) | (F.get(chars, i) != F.get(chars, i - 1))
+        starts = F.filter(F.sequence(F.lit(0), F.size(chars) - 1), first)
+        return _once(starts, lambda at: F.transform(at, lambda p, k: term(F.coalesce(F.get(at, k + 1), F.size(chars)) - p)))
 
-    total = F.aggregate(once(F.length(x), terms), F.lit(0.0), lambda a, t: a + t)
-    return F.when(size > 0, total).otherwise(F.lit(0.0))
+    terms = _once(
+        F.split(x, ""),
+        lambda chars: _once(F.array_distinct(chars), lambda d: F.when(F.size(d) <= FEW_CHARACTERS, passes(d)).otherwise(_once(F.array_sort(chars), runs))),
+    )
+    return F.when(size > 0, F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)).otherwise(F.lit(0.0))
 
 
 def email_domain(x: Column) -> Column:
@@ -33,10 +53,13 @@ def email_domain(x: Column) -> Column:
 
 def baseline(values: DataFrame, column: str = "value") -> DataFrame:
     """E-02: one row of ``mean_entropy, sd_entropy, mean_length, sd_length, n``; none of an empty table."""
-    measured = values.select(entropy(F.col(column)).alias("e"), F.octet_length(column).alias("l"))
+    return _baseline(values.select(entropy(F.col(column)).alias("__e"), F.octet_length(column).alias("__n")))
+
+
+def _baseline(measured: DataFrame) -> DataFrame:
     out = measured.agg(
-        F.avg("e").alias("mean_entropy"), F.stddev_pop("e").alias("sd_entropy"), F.avg("l").alias("mean_length"),
-        F.stddev_pop("l").alias("sd_length"), F.count("l").alias("n"),
+        F.avg("__e").alias("mean_entropy"), F.stddev_pop("__e").alias("sd_entropy"), F.avg("__n").alias("mean_length"),
+        F.stddev_pop("__n").alias("sd_length"), F.count("__n").alias("n"),
     )
     return out.where("n > 0")
 
@@ -47,14 +70,18 @@ def top_domains(values: DataFrame, column: str = "value", k: int = 10) -> DataFr
     return d.groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(k)
 
 
-def outliers(values: DataFrame, column: str = "value") -> DataFrame:
-    """E-03 and E-04: ``values`` with ``entropy_risk, length_risk`` (null: none) against their own baseline.
+def outliers(values: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """E-03 and E-04: ``values`` (or their columns ``keep``) with ``entropy_risk, length_risk`` (null: none) against their
+    own baseline.
 
-    The baseline is one row of five numbers; it reaches the scan as one scalar subquery.
+    Entropies are computed once and written with the kept columns; name those, so that long values are not written. The
+    baseline is one row of five numbers; it reaches the scan as one scalar subquery.
     """
     names = ["mean_entropy", "sd_entropy", "mean_length", "sd_length"]
-    e, n, b = F.col("__e"), F.octet_length(column), F.col("__b")
-    out = values.withColumn("__e", entropy(F.col(column))).withColumn("__b", baseline(values, column).select(F.struct(*names)).scalar())
+    measured = values.select(*(keep or values.columns), entropy(F.col(column)).alias("__e"), F.octet_length(column).alias("__n"))
+    measured = written(measured, "entropies")
+    e, n, b = F.col("__e"), F.col("__n"), F.col("__b")
+    out = measured.withColumn("__b", _baseline(measured).select(F.struct(*names)).scalar())
     far = F.abs(e - b["mean_entropy"]) / F.greatest(b["sd_entropy"], F.lit(0.1)) > 3
     high = e > b["mean_entropy"] + 3 * b["sd_entropy"]
     long_ = F.abs(n - b["mean_length"]) / b["sd_length"] > 3
@@ -62,7 +89,7 @@ def outliers(values: DataFrame, column: str = "value") -> DataFrame:
         "entropy_risk": F.when(far, F.when(high, 85).otherwise(75)),
         "length_risk": F.when((b["sd_length"] >= 0.1) & long_, F.when(n > b["mean_length"], 70).otherwise(60)),
     })
-    return out.drop("__e", "__b")
+    return out.drop("__e", "__n", "__b")
 
 
 def rare_domains(values: DataFrame, column: str = "value") -> DataFrame:

@@ -5,13 +5,15 @@ from __future__ import annotations
 import csv
 import io
 import json
-from collections.abc import Callable
+import textwrap
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.functions.detect import detect_pii, extract_email
 from siftlake.functions.hashing import is_credential_hash
+from siftlake.operators.risk import risk_distribution
 
 #: Counters of the summary: name to the labels that count.
 COUNTERS = {
@@ -75,10 +77,14 @@ def ingest_summary(rows: DataFrame, found: DataFrame, weak_hashes: DataFrame | N
     return out.withColumn("breached_addresses", F.lit(0).cast("long")).na.fill(0)
 
 
-def detailed_report(events: DataFrame, found: DataFrame, weak: DataFrame) -> dict[str, DataFrame]:
-    """S-08: the sections of the long report, each a table of its own; nothing is collected."""
+def detailed_report(events: DataFrame, found: DataFrame, weak: DataFrame, aliases: DataFrame | None = None, risks: DataFrame | None = None) -> dict[str, DataFrame]:
+    """S-08: the sections of the long report, each a table of its own; nothing is collected.
+
+    ``aliases``: ``canonical, variant, alias_type, confidence`` (as of ``alias_links``); ``risks``: rows with ``file_id,
+    row_idx`` and the fields of ``risk_score``. Without them their sections are left out.
+    """
     kind = lambda k: events.where(F.col("event_type") == k)
-    return {
+    out = {
         "duplicate_rows": kind("duplicate_row").select("file_id", "row_idx", "row_hash"),
         "new_addresses": kind("new_address").select("file_id", "row_idx", "address_hash"),
         "compromised_with_new_credentials": kind("known_address_new_credential").select("file_id", "row_idx", "address_hash", "credential_hash"),
@@ -86,41 +92,65 @@ def detailed_report(events: DataFrame, found: DataFrame, weak: DataFrame) -> dic
         "pii_by_row": detected_rows(found).select("file_id", "row_idx", "findings").where(F.size("findings") > 0),
         "pii_by_type": found.select(F.explode("labels").alias("pii_type")).groupBy("pii_type").agg(F.count("*").alias("n")),
     }
+    if aliases is not None:
+        out["aliases"] = aliases.groupBy("canonical", "alias_type").agg(
+            F.count("*").alias("n"), F.min("variant").alias("first_variant"), F.max("confidence").alias("confidence")
+        )
+    if risks is not None:
+        out["risk_by_row"] = risks.select("file_id", "row_idx", "score", "level", "explanation")
+        out["risk_distribution"] = risk_distribution(risks)
+    return out
+
+
+Findings = Iterable[dict]
 
 
-def format_json(summary: dict, detailed: list[dict] | None = None) -> str:
-    """S-04."""
-    return json.dumps(summary | ({"detailed_findings": detailed} if detailed else {}), indent=2, ensure_ascii=False, default=str)
+def stream_json(summary: dict, detailed: Findings = ()) -> Iterator[str]:
+    """S-04: findings are left out where there are none."""
+    dump = lambda x: json.dumps(x, indent=2, ensure_ascii=False, default=str)
+    head, first = dump(summary), True
+    for finding in detailed:
+        if first:
+            yield head[:-2] + (",\n" if summary else "") + '  "detailed_findings": [\n'
+        yield ("" if first else ",\n") + textwrap.indent(dump(finding), "    ")
+        first = False
+    yield head if first else "\n  ]\n}"
 
 
-def format_csv(summary: dict, detailed: list[dict] | None = None) -> str:
+def stream_csv(summary: dict, detailed: Findings = ()) -> Iterator[str]:
     """S-05."""
     out = io.StringIO()
     rows = csv.writer(out, lineterminator="\n")
     rows.writerow(["metric", "value"])
     for name in ("rows_processed", "unique_addresses", "hashed_credentials", "weak_passwords", "breached_addresses"):
         rows.writerow([name, summary.get(name, 0)])
-    return out.getvalue()
+    yield out.getvalue()
 
 
-def format_text(summary: dict, detailed: list[dict] | None = None) -> str:
+def stream_text(summary: dict, detailed: Findings = ()) -> Iterator[str]:
     """S-06: counters that are zero stay hidden."""
-    lines = ["Summary"] + [f"  {k}: {v}" for k, v in summary.items() if not isinstance(v, dict)]
+    yield "Summary\n" + "".join(f"  {k}: {v}\n" for k, v in summary.items() if not isinstance(v, dict))
     pii = {k: v for k, v in summary.get("pii", {}).items() if v}
     if pii:
-        lines += ["Findings"] + [f"  {k}: {v}" for k, v in pii.items()]
-    for r in detailed or []:
-        lines.append(f"  row {r['row_number']}: " + ", ".join(f"{f['type']} in column {f['column']}" for f in r["findings"]))
-    return "\n".join(lines) + "\n"
+        yield "Findings\n" + "".join(f"  {k}: {v}\n" for k, v in pii.items())
+    for r in detailed:
+        yield f"  row {r['row_number']}: " + ", ".join(f"{f['type']} in column {f['column']}" for f in r["findings"]) + "\n"
 
 
-def format_jsonl(summary: dict, detailed: list[dict] | None = None) -> str:
+def stream_jsonl(summary: dict, detailed: Findings = ()) -> Iterator[str]:
     """S-07: a line for the summary, one for the metadata, one for each error."""
-    dump = lambda kind, x: json.dumps({"event": kind, **x}, ensure_ascii=False, default=str)
-    lines = [dump("summary", {k: v for k, v in summary.items() if k not in ("metadata", "errors")}), dump("metadata", summary.get("metadata", {}))]
-    lines += [dump("error", {"message": e}) for e in summary.get("errors", [])]
-    return "\n".join(lines) + "\n"
+    dump = lambda kind, x: json.dumps({"event": kind, **x}, ensure_ascii=False, default=str) + "\n"
+    yield dump("summary", {k: v for k, v in summary.items() if k not in ("metadata", "errors")})
+    yield dump("metadata", summary.get("metadata", {}))
+    for e in summary.get("errors", []):
+        yield dump("error", {"message": e})
+
+
+def joined(stream: Callable[..., Iterator[str]]) -> Callable[..., str]:
+    return lambda summary, detailed=(): "".join(stream(summary, detailed))
+
 
+format_json, format_csv, format_text, format_jsonl = map(joined, (stream_json, stream_csv, stream_text, stream_jsonl))
 
-#: K-04.
-FORMATTERS: dict[str, Callable[..., str]] = {"json": format_json, "csv": format_csv, "text": format_text, "jsonl": format_jsonl}
+#: K-04: pieces of text of a summary and its findings, one after another.
+FORMATTERS: dict[str, Callable[..., Iterator[str]]] = {"json": stream_json, "csv": stream_csv, "text": stream_text, "jsonl": stream_jsonl}

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Points of each type of finding; others count 1.
 PII_WEIGHTS = {"ssn": 10, "credit_card": 10, "national_id": 5, "phone_number": 3, "ip_address": 3, "ipv4": 3, "ipv6": 3}
 #: The sum of weights and caps by which scores are scaled.
 SCALE = 123.0
@@ -20,6 +21,7 @@ PHRASES = {
     "anomaly": "{} anomalies detected",
     "none": "No significant risk factors detected",
 }
+#: The highest score of each level.
 LEVELS = [(10, "green"), (25, "yellow"), (50, "orange"), (75, "red")]
 
 

@@ -1,9 +1,9 @@
-"""Vector similarity of addresses: exact cosine in blocks, and a candidate form by random hyperplanes."""
+"""Vector similarity of addresses: exact cosine in blocks that meet in pairs."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,10 +22,19 @@ def cosine(a: Column, b: Column) -> Column:
 def find_similar(stored: DataFrame, queries: DataFrame, threshold: float = 0.85, limit: int = 5, blocks: int | None = None) -> DataFrame:
     """G-09: ``query_id, id, similarity`` of the ``limit`` best at or above ``threshold``, ties by id.
 
-    ``stored`` and ``queries``: ``id`` (long) and ``embedding``. Both sides are dealt into blocks that meet in pairs, as
-    matrices; a block pair keeps its ``limit`` best for each query before anything is shuffled.
+    ``stored`` and ``queries``: ``id`` (long or string) and ``embedding``; vectors that are null, empty, zero or hold null or
+    non-finite components take no part. Both sides are dealt by length into blocks that meet in pairs, as matrices; a
+    block pair keeps its ``limit`` best for each query before anything is shuffled. The work is queries x stored; blocks
+    of equal size ship least.
     """
-    clean = lambda df: df.select(F.col("id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where("v IS NOT NULL AND size(v) > 0")
+    kind = "string" if stored.schema["id"].dataType.simpleString() == "string" else "long"
+    ids_of = lambda column: column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+    def clean(df: DataFrame) -> DataFrame:
+        df = df.select(F.col("id").cast(kind), F.col("embedding").cast("array<double>").alias("v"))
+        return df.where(F.forall("v", finite) & F.exists("v", lambda x: x != 0)).withColumn("w", F.size("v"))
+
     stored, queries = clean(stored), clean(queries)
     n = blocks or max(1, -(-stored.count() // BLOCK))
     m = blocks or max(1, -(-queries.count() // BLOCK))
@@ -33,24 +42,30 @@ def find_similar(stored: DataFrame, queries: DataFrame, threshold: float = 0.85,
     left = deal(stored, n, "a").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     right = deal(queries, m, "b").withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
-    def meet(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for width in set(map(len, x["v"])) & set(map(len, q["v"])):
-            xs, qs = x[x["v"].map(len) == width], q[q["v"].map(len) == width]
-            unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                s = unit(np.stack(qs["v"])) @ unit(np.stack(xs["v"])).T
-            s[~np.isfinite(s)] = -2
-            s[qs["id"].to_numpy()[:, None] == xs["id"].to_numpy()[None, :]] = -2
-            order = np.lexsort((np.broadcast_to(xs["id"].to_numpy(), s.shape), -s), axis=1)[:, :limit]
-            best = np.take_along_axis(s, order, 1)
-            out.append(pd.DataFrame({
-                "query_id": np.repeat(qs["id"].to_numpy(), order.shape[1]), "id": xs["id"].to_numpy()[order].ravel(), "similarity": best.ravel()
-            }))
-        found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-        return found[found["similarity"] >= threshold].astype({"query_id": "int64", "id": "int64", "similarity": "float64"})
-
-    near = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, "query_id long, id long, similarity double")
+    def unit(column: pa.ChunkedArray, n: int) -> np.ndarray:
+        x = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def meet(x: pa.Table, q: pa.Table) -> pa.Table:
+        names, kinds = ["query_id", "id", "similarity"], [*[pa.string() if kind == "string" else pa.int64()] * 2, pa.float64()]
+        out = [np.zeros(0)] * 3
+        if len(x) and len(q):
+            x = x.sort_by("id")  # equal similarities go to the smaller id
+            xs, ids, asked = unit(x["v"], len(x)), ids_of(x["id"]), ids_of(q["id"])
+            found = []
+            for at in range(0, len(q), 256):
+                part = asked[at : at + 256]
+                s = unit(q["v"].slice(at, 256), len(part)) @ xs.T
+                s[part[:, None] == ids[None, :]] = -2
+                order = np.argsort(-s, axis=1, kind="stable")[:, :limit]
+                best = np.take_along_axis(s, order, 1)
+                row, place = np.nonzero(best >= threshold)
+                found.append((part[row], ids[order[row, place]], best[row, place]))
+            out = [np.concatenate(c) for c in zip(*found, strict=True)]
+        return pa.table([pa.array(c.tolist(), k) for c, k in zip(out, kinds, strict=True)], names=names)
+
+    key = ["w", "a", "b"]
+    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, f"query_id {kind}, id {kind}, similarity double")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return near.withColumn("place", place).where(F.col("place") <= limit).drop("place")
 

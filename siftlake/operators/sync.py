@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import enum
+import json
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PEER_TTL, PEER_LIMIT, STALE_AFTER = 120, 32, 300
@@ -96,3 +99,38 @@ class JobQueue:
     def page(self, offset: int = 0, limit: int = 50) -> list[Job]:
         """Newest first, at most 200 (a page)."""
         return sorted(self.jobs.values(), key=lambda j: -j.created_at)[offset : offset + min(limit, 200)]
+
+
+class JobLog:
+    """M-14: job states that outlive the driver: JSON lines below a folder, one file for each move."""
+
+    SCHEMA = "job_id string, kind string, state string, at double, about string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def put(self, job: Job, kind: str, **about) -> None:
+        row = (job.job_id, kind, job.state.value, time.time(), json.dumps(about, default=str))
+        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").json(self.path)
+
+    @contextlib.contextmanager
+    def running(self, kind: str, **about) -> Iterator[dict]:
+        """A job around a block, which may add to what is told of it; fails with the block."""
+        queue = JobQueue()
+        job, done = queue.enqueue(kind), {}
+        self.put(job, kind, **about)
+        self.put(queue.move(job.job_id, JobState.PROCESSING), kind, **about)
+        try:
+            yield done
+        except Exception as e:
+            self.put(queue.move(job.job_id, JobState.FAILED), kind, **about, error=str(e)[:1000])
+            raise
+        self.put(queue.move(job.job_id, JobState.COMPLETED), kind, **about, **done)
+
+    def latest(self, job_id: str | None = None, limit: int = 200) -> list[dict]:
+        """The last state of one job, or of the latest (a page of ``limit``)."""
+        moves = self.spark.read.schema(self.SCHEMA).json(self.path)
+        moves = moves if job_id is None else moves.where(F.col("job_id") == job_id)
+        last = moves.groupBy("job_id").agg(F.min("at").alias("created"), F.max_by(F.struct("kind", "state", "about"), F.col("at")).alias("last"))
+        rows = last.select("job_id", "created", "last.*").orderBy(F.desc("created"), "job_id").limit(limit).collect()
+        return [{k: v for k, v in r.asDict().items() if k != "about"} | json.loads(r.about) for r in rows]

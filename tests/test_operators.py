@@ -1,11 +1,14 @@
+import hashlib
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siftlake import cli, config
 from siftlake.operators import alias, anomaly, custody, enrich, history, report, risk, similar, sync, wordlist
+from siftlake.operators.history import HistoryStore
 
 
 def one(spark, column):
@@ -168,10 +171,62 @@ def test_config(tmp_path):
         config.load(str(tmp_path / "none.json"))
 
 
+def test_findings_stream_into_json():
+    findings = [{"row_number": 1, "findings": [{"type": "email", "column": 0}]}, {"row_number": 2, "findings": []}]
+    text = "".join(report.FORMATTERS["json"]({"a": 1}, iter(findings)))
+    assert json.loads(text) == {"a": 1, "detailed_findings": findings}
+    assert json.loads(report.format_json({"a": 1}, [])) == {"a": 1}
+
+
+def test_enriched_ingest(spark, tmp_path):
+    header = ["email", "password"]
+    schema = "file_seq long, file_id string, row_idx long, cells array<string>, header array<string>"
+    rows = lambda *cells: spark.createDataFrame([(0, "f", i, [*c], header) for i, c in enumerate(cells)], schema)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    vectors = spark.createDataFrame([(sha(f"{c}@x"), v) for c, v in (("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [0.0, 1.0]))], "address_hash string, embedding array<float>")
+    breaches = spark.createDataFrame([(sha("b@x"), "B", 5), (sha("z@x"), "B", 5)], "canonical_hash string, breach_name string, pwn_count long")
+    store = HistoryStore(spark, f"{tmp_path}/db")
+    every = enrich.Enrichment(embeddings=True, breaches=True)
+    enrich.ingest_enriched(store, rows(("a@x", "p"), ("c@x", "p")), "one", every, vectors, breaches)
+    out = enrich.ingest_enriched(store, rows(("b@x", "p"), ("a@x", "q"), ("n@x", "q")), "two", every, vectors, breaches)
+    assert [(r.query_id, r.id) for r in out["similar"].collect()] == [(sha("b@x"), sha("a@x"))]
+    assert {r.address_hash: r.breach_count for r in out["breached"].collect()} == {sha("b@x"): 1, sha("n@x"): 0}
+    assert store.read("canonical_addresses").count() == 4 and store.read("address_breaches").count() == 1
+    assert set(enrich.ingest_enriched(store, rows(("q@x", "p")), "three")) == {"events"}
+
+
+def test_similar_is_exact_in_blocks(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(150, 8))
+    x[10] = x[20]
+    odd = [(500, [0.0] * 8), (501, None), (502, [float("nan")] * 8), (503, [1.0] * 3), (504, [])]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + odd, "id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(unit @ unit.T, 12)
+    np.fill_diagonal(s, -2)
+    want = {(q, int(j)) for q in range(0, 150, 5) for j in np.lexsort((np.arange(150), -s[q]))[:4] if s[q, j] >= 0.3}
+    for blocks in (None, 3):
+        got = similar.find_similar(df, df.where("id % 5 = 0"), 0.3, 4, blocks).collect()
+        assert {(r.query_id, r.id) for r in got} == want
+
+
 def test_cli(spark, tmp_path, capsys):
     (tmp_path / "d.csv").write_text("email,password\njohn@example.com,5f4dcc3b5aa765d61d8327deb882cf99\n")
-    assert cli.main(["ingest", f"{tmp_path}/d.csv", "--database", f"{tmp_path}/db"]) == 0
+    (tmp_path / "e.yaml").write_text("a: 1")
+    assert cli.main(["ingest", f"{tmp_path}/d.csv", f"{tmp_path}/e.yaml", "--database", f"{tmp_path}/db"]) == 0
     out = json.loads(capsys.readouterr().out)
     assert (out["rows_processed"], out["unique_addresses"], out["hashed_credentials"], out["pii"]["emails"]) == (2, 1, 1, 1)
+    assert len(out["errors"]) == 1 and "unsupported format" in out["errors"][0] and len(out["detailed_findings"]) == 1
     assert cli.main(["stats", "--database", f"{tmp_path}/db"]) == 0
     assert json.loads(capsys.readouterr().out)["total_rows"] == 5
+    assert cli.main(["status", "--database", f"{tmp_path}/db"]) == 0
+    job = json.loads(capsys.readouterr().out)
+    assert (job["kind"], job["state"], job["events"]) == ("ingest", "completed", 5)
+    assert cli.main(["status", job["job_id"], "--database", f"{tmp_path}/db"]) == 0
+    assert json.loads(capsys.readouterr().out) == job
+    assert cli.main(["ingest", f"{tmp_path}/d.csv", "--findings", f"{tmp_path}/found", "--output", f"{tmp_path}/out.json"]) == 0
+    assert "detailed_findings" not in json.loads((tmp_path / "out.json").read_text())
+    assert spark.read.json(f"{tmp_path}/found").first().row_number == 1
+    with pytest.raises(RuntimeError), sync.JobLog(spark, f"{tmp_path}/db/jobs").running("x"):
+        raise RuntimeError("no")
+    assert sync.JobLog(spark, f"{tmp_path}/db/jobs").latest()[0]["state"] == "failed"
