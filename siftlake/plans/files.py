@@ -25,9 +25,9 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _write_text(df: DataFrame, path: str, suffix: str) -> str:
-    """One text per row of ``value``, as files of one row group each with the given suffix."""
-    df.select("value").write.option("lineSep", "\n").option("extension", suffix).text(path)
+def write_text(df: DataFrame, path: str) -> str:
+    """One line or document per row of ``value``, as text files."""
+    df.select("value").write.option("lineSep", "\n").text(path)
     return path
 
 
@@ -38,14 +38,14 @@ _CELLS = "cells[0] AS a, cells[1] AS b, cells[2] AS c"
 @query("a01_csv", f"SELECT {_TRICKY[0]} AS a, {_TRICKY[1]} AS b, {_TRICKY[2]} AS c FROM nation")
 def a01(spark: SparkSession, sf: str) -> DataFrame:
     quoted = F.array_join(F.transform(F.array(*[F.expr(e) for e in _TRICKY]), lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))), ",")
-    path = _write_text(table(spark, sf, "nation").select(quoted.alias("value")), shared_path(spark, "csv"), "csv")
+    path = write_text(table(spark, sf, "nation").select(quoted.alias("value")), shared_path(spark, "csv"))
     return dumps.load_dump(spark, path, "csv").selectExpr("cells[0] AS a", "cells[1] AS b", "cells[2] AS c")
 
 
 @query("a02_tsv", "SELECT c_name AS a, c_mktsegment AS b, CAST(c_custkey AS STRING) AS c FROM customer")
 def a02(spark: SparkSession, sf: str) -> DataFrame:
     line = F.concat_ws("\t", "c_name", "c_mktsegment", F.col("c_custkey").cast("string"))
-    path = _write_text(table(spark, sf, "customer").select(line.alias("value")), shared_path(spark, "tsv"), "tsv")
+    path = write_text(table(spark, sf, "customer").select(line.alias("value")), shared_path(spark, "tsv"))
     return dumps.load_lines(spark, path, "tsv").selectExpr("cells[0] AS a", "cells[1] AS b", "cells[2] AS c")
 
 
@@ -55,7 +55,7 @@ def a03(spark: SparkSession, sf: str) -> DataFrame:
     region = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit(',"region":'), "n_regionkey")).otherwise("")
     one = F.concat(F.lit('{"k":'), "n_nationkey", F.lit(',"v":{"name":"'), "n_name", F.lit('"'), region, F.lit("}}"))
     doc = table(spark, sf, "nation").agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("value"))
-    path = _write_text(doc, shared_path(spark, "json"), "json")
+    path = write_text(doc, shared_path(spark, "json"))
     return dumps.load_dump(spark, path, "json").selectExpr("cells[0] AS key", "cells[1] AS name", "cells[2] AS region")
 
 
@@ -63,21 +63,21 @@ def a03(spark: SparkSession, sf: str) -> DataFrame:
 def a07(spark: SparkSession, sf: str) -> DataFrame:
     element = F.concat(F.lit('<nation id="'), "n_nationkey", F.lit('"> '), "n_name", F.lit(" </nation>"))
     doc = table(spark, sf, "nation").agg(F.concat(F.lit("<?xml version='1.0'?><all>"), F.array_join(F.collect_list(element), "\n"), F.lit("</all>")).alias("value"))
-    path = _write_text(doc, shared_path(spark, "xml"), "xml")
+    path = write_text(doc, shared_path(spark, "xml"))
     return dumps.load_dump(spark, path, "xml").selectExpr("cells[0] AS tag", "cells[1] AS body")
 
 
 @query("a08_csv_lines", "SELECT c_name AS a, 'x \"y\", z' AS b, CAST(NULL AS VARCHAR) AS error FROM customer WHERE c_custkey % 10 <> 0 UNION ALL SELECT NULL, NULL, 'quote within a field' FROM customer WHERE c_custkey % 10 = 0")
 def a08(spark: SparkSession, sf: str) -> DataFrame:
     line = F.when(F.col("c_custkey") % 10 == 0, 'bad"quote,1').otherwise(F.concat("c_name", F.lit(',"x ""y"", z"')))
-    path = _write_text(table(spark, sf, "customer").select(line.alias("value")), shared_path(spark, "lines"), "csv")
+    path = write_text(table(spark, sf, "customer").select(line.alias("value")), shared_path(spark, "lines"))
     return dumps.load_lines(spark, path, "csv").selectExpr("cells[0] AS a", "cells[1] AS b", "error")
 
 
 @query("a11_statistics", "SELECT count(*) FILTER (c_custkey % 10 <> 0) AS rows_processed, count(*) FILTER (c_custkey % 10 = 0) AS rows_failed, CAST(sum(CASE WHEN c_custkey % 10 = 0 THEN 12 ELSE strlen(c_name) + 14 END) AS BIGINT) AS bytes_read, 'quote within a field' AS warnings FROM customer")
 def a11(spark: SparkSession, sf: str) -> DataFrame:
     line = F.when(F.col("c_custkey") % 10 == 0, 'bad"quote,1').otherwise(F.concat("c_name", F.lit(',"x ""y"", z"')))
-    path = _write_text(table(spark, sf, "customer").coalesce(1).select(line.alias("value")), shared_path(spark, "lines"), "csv")
+    path = write_text(table(spark, sf, "customer").coalesce(1).select(line.alias("value")), shared_path(spark, "lines"))
     stats = dumps.parse_statistics(dumps.load_lines(spark, path, "csv"))
     return stats.select("rows_processed", "rows_failed", "bytes_read", F.array_join("warnings", ",").alias("warnings"))
 
@@ -85,14 +85,14 @@ def a11(spark: SparkSession, sf: str) -> DataFrame:
 @query("a09_json_lines", "SELECT 'id:' || CAST(event_id AS STRING) AS a, 'type:\"' || event_type || '\"' AS b FROM events")
 def a09(spark: SparkSession, sf: str) -> DataFrame:
     line = F.to_json(F.struct(F.col("event_type").alias("type"), F.col("event_id").alias("id")))
-    path = _write_text(table(spark, sf, "events").select(line.alias("value")), shared_path(spark, "jsonl"), "jsonl")
+    path = write_text(table(spark, sf, "events").select(line.alias("value")), shared_path(spark, "jsonl"))
     return dumps.load_lines(spark, path, "jsonl").selectExpr("cells[0] AS a", "cells[1] AS b")
 
 
 @query("m01_words", "SELECT DISTINCT lower(c_mktsegment) AS plaintext FROM customer")
 def m01(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "customer").select(F.explode(F.array(F.lit("# comment"), F.lit(""), F.concat(F.lit("  "), F.lower("c_mktsegment")))).alias("value"))
-    return wordlist.load_words(spark, _write_text(lines, shared_path(spark, "words"), "txt"))
+    return wordlist.load_words(spark, write_text(lines, shared_path(spark, "words")))
 
 
 _COUNTS = DUMP_SQL + """, fr AS (SELECT row_hash, min(row_idx) AS r FROM good GROUP BY 1)
@@ -120,11 +120,11 @@ def g20(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j02_stream_ingest", _COUNTS)
 def j02(spark: SparkSession, sf: str) -> DataFrame:
-    """The dump as a stream of files through ``foreachBatch`` into a store; totals are those of the whole."""
+    """The dump as a stream of files, one a batch, through ``foreachBatch`` into a store; totals are those of the whole."""
     source, store, checkpoint = (shared_path(spark, n) for n in ("stream", "store", "checkpoint"))
     rows = dump(spark, sf)
     rows.repartitionByRange(3, "row_idx").sortWithinPartitions("row_idx").write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 100).parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     kept = history.HistoryStore(spark, store)
     incremental.ingest_stream(stream, kept, "stream", checkpoint).awaitTermination()
     return kept.read("normalized_rows").groupBy("event_type").agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["cells", "store", "files"]
+MODULES = ["cells", "store", "files", "more"]
 
 
 def all_queries() -> dict[str, Query]:

@@ -51,12 +51,15 @@ _EVENTS = {
 }
 
 
-def event_rows(spark: SparkSession, sf: str) -> DataFrame:
-    earlier = table(spark, sf, "customer").selectExpr(
+def earlier_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").selectExpr(
         "CAST(0 AS BIGINT) AS file_seq", "'earlier' AS file_id", "c_custkey AS row_idx", "array(" + ", ".join(_OLD_CELLS) + ") AS cells",
         "array('email', 'username', 'password') AS header",
     )
-    return events.event_log(dump(spark, sf), events.history_of(events.event_log(earlier)))
+
+
+def event_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return events.event_log(dump(spark, sf), events.history_of(events.event_log(earlier_rows(spark, sf))))
 
 
 def _event(kind: str):
@@ -227,21 +230,18 @@ def g14(spark: SparkSession, sf: str) -> DataFrame:
 
 # Anomalies, risk, aliases.
 _ENTROPY = "list_sum(list_transform(list_sort(list_distinct(string_split(v, ''))), lambda c: -((length(v) - length(replace(v, c, ''))) / strlen(v)) * log2((length(v) - length(replace(v, c, ''))) / strlen(v))))"
-_VALUES = f"WITH cells AS ({CELLS_SQL}), x AS (SELECT row_id, col_name, value AS v FROM cells WHERE col_name IN ('email', 'hash', 'full_name', 'user')) "
-
-
-def values(spark: SparkSession, sf: str) -> DataFrame:
-    return cells(spark, sf).where("col_name IN ('email', 'hash', 'full_name', 'user')")
+_VALUES = f"WITH cells AS ({CELLS_SQL}), x AS (SELECT row_id, col_name, value AS v FROM cells) "
+_ENTROPY = f"CASE WHEN v = '' THEN 0 ELSE {_ENTROPY} END"
 
 
 @query("e01_entropy", _VALUES + f"SELECT row_id, col_name, round({_ENTROPY}, 6) AS entropy FROM x")
 def e01(spark: SparkSession, sf: str) -> DataFrame:
-    return values(spark, sf).select("row_id", "col_name", F.round(anomaly.entropy(F.col("value")), 6).alias("entropy"))
+    return cells(spark, sf).select("row_id", "col_name", F.round(anomaly.entropy(F.col("value")), 6).alias("entropy"))
 
 
 @query("e02_baseline", _VALUES + f", e AS (SELECT {_ENTROPY} AS e, strlen(v) AS n FROM x) SELECT round(avg(e), 6) AS mean_entropy, round(stddev_pop(e), 6) AS sd_entropy, round(avg(n), 6) AS mean_length, round(stddev_pop(n), 6) AS sd_length, count(*) AS n FROM e")
 def e02(spark: SparkSession, sf: str) -> DataFrame:
-    b = anomaly.baseline(values(spark, sf))
+    b = anomaly.baseline(cells(spark, sf))
     return b.select(*[F.round(c, 6).alias(c) for c in b.columns if c != "n"], "n")
 
 
@@ -258,7 +258,7 @@ _OUT = ", e AS (SELECT *, {e} AS e, strlen(v) AS n FROM x), b AS (SELECT avg(e)
        "SELECT doc_id, CASE WHEN abs(e - me) / greatest(se, 0.1) > 3 THEN CASE WHEN e > me + 3 * se THEN 85 ELSE 75 END END AS entropy_risk, CASE WHEN sl >= 0.1 AND abs(n - ml) / sl > 3 THEN CASE WHEN n > ml THEN 70 ELSE 60 END END AS length_risk FROM e, b")
 def e03(spark: SparkSession, sf: str) -> DataFrame:
     d = spread(table(spark, sf, "documents")).where("text <> ''").select("doc_id", F.col("text").alias("value"))
-    return anomaly.outliers(d).select("doc_id", "entropy_risk", "length_risk")
+    return anomaly.outliers(d, keep=["doc_id"]).select("doc_id", "entropy_risk", "length_risk")
 
 
 @query("e05_rare_domains", "WITH d AS (SELECT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS domain FROM pages), c AS (SELECT domain, count(*) AS n FROM d GROUP BY 1), f AS (SELECT *, n / (SELECT count(*) FROM d) AS frequency FROM c) SELECT domain, n, round(frequency, 9) AS frequency, CAST(floor(100 * (1 - frequency)) AS INT) AS risk FROM f WHERE frequency < 0.01")
@@ -291,11 +291,18 @@ CAST(least(least(br, 4) * 10 + CASE WHEN nc AND br > 0 THEN 20 ELSE 0 END, 40) A
 s AS (SELECT *, CAST(floor((CAST(weak_password AS FLOAT) * CAST(0.3 AS FLOAT) + CAST(weak_hash AS FLOAT) * CAST(0.2 AS FLOAT) + CAST(breach AS FLOAT) * CAST(0.4 AS FLOAT) + CAST(pii AS FLOAT) * CAST(0.15 AS FLOAT) + CAST(anomaly AS FLOAT) * CAST(0.1 AS FLOAT)) / CAST(123 AS FLOAT) * CAST(100 AS FLOAT)) AS INT) AS score FROM f)
 SELECT k AS c_custkey, score, CASE WHEN score <= 10 THEN 'green' WHEN score <= 25 THEN 'yellow' WHEN score <= 50 THEN 'orange' WHEN score <= 75 THEN 'red' ELSE 'critical' END AS level, weak_password, weak_hash, breach, pii, anomaly FROM s""")
 def r01(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer").withColumnRenamed("c_custkey", "k")
-    k = F.col("k")
+    return risks(spark, sf)
+
+
+def risk_rows(spark: SparkSession, sf: str, weights: risk.Weights | None = None) -> DataFrame:
+    k = F.col("c_custkey")
     types = F.filter(F.array(F.when(k % 4 == 0, "ssn"), F.when(k % 6 == 0, "phone_number"), F.when(k % 9 == 0, "national_id"), F.lit("email")), lambda x: x.isNotNull())
-    r = risk.risk_score(k % 2 == 0, k % 3 == 0, k % 7, k % 5 == 0, types, k % 11)
-    return c.select(k.alias("c_custkey"), r.alias("r")).select("c_custkey", "r.score", "r.level", "r.weak_password", "r.weak_hash", "r.breach", "r.pii", "r.anomaly")
+    r = risk.risk_score(k % 2 == 0, k % 3 == 0, k % 7, k % 5 == 0, types, k % 11, weights)
+    return table(spark, sf, "customer").select("c_custkey", r.alias("r"))
+
+
+def risks(spark: SparkSession, sf: str, weights: risk.Weights | None = None) -> DataFrame:
+    return risk_rows(spark, sf, weights).select("c_custkey", "r.score", "r.level", "r.weak_password", "r.weak_hash", "r.breach", "r.pii", "r.anomaly")
 
 
 @query("r03_distribution", f"SELECT level, count(*) AS n FROM ({SQL['r01_risk_score']}) GROUP BY 1")
@@ -303,11 +310,21 @@ def r03(spark: SparkSession, sf: str) -> DataFrame:
     return risk.risk_distribution(r01(spark, sf))
 
 
-@query("r04_explanation", """SELECT c_custkey, CASE WHEN c_custkey % 2 = 1 AND c_custkey % 7 = 0 THEN 'No significant risk factors detected' ELSE concat_ws('; ', CASE WHEN c_custkey % 2 = 0 THEN 'Uses weak/common password' END,
-CASE WHEN c_custkey % 7 > 0 THEN 'Found in ' || CAST(c_custkey % 7 AS STRING) || ' breach(es)' END) END AS explanation FROM customer""")
+_SAID = [
+    ("c_custkey % 2 = 0", "'Uses weak/common password'"), ("c_custkey % 3 = 0", "'Hash algorithm is weak (MD5/SHA1/SHA256)'"),
+    ("c_custkey % 7 > 0", "'Found in ' || CAST(c_custkey % 7 AS STRING) || ' breach(es)'"),
+    ("c_custkey % 7 > 0 AND c_custkey % 5 = 0", f"'{risk.PHRASES['new_credential']}'"),
+    ("c_custkey % 4 = 0", "'Contains ' || CAST(CASE WHEN c_custkey % 8 = 0 THEN 2 ELSE 1 END AS STRING) || ' PII field(s)'"),
+    ("c_custkey % 11 > 0", "CAST(c_custkey % 11 AS STRING) || ' anomalies detected'"),
+]
+
+
+@query("r04_explanation", "SELECT c_custkey, coalesce(nullif(concat_ws('; ', " + ", ".join(f"CASE WHEN {c} THEN {p} END" for c, p in _SAID) + "), ''), 'No significant risk factors detected') AS explanation FROM customer")
 def r04(spark: SparkSession, sf: str) -> DataFrame:
+    """All six factors, in every combination."""
     k = F.col("c_custkey")
-    r = risk.risk_score(k % 2 == 0, F.lit(False), k % 7, F.lit(False), F.array().cast("array<string>"), F.lit(0))
+    types = F.when(k % 8 == 0, F.array(F.lit("ssn"), F.lit("email"))).when(k % 4 == 0, F.array(F.lit("ssn"))).otherwise(F.array().cast("array<string>"))
+    r = risk.risk_score(k % 2 == 0, k % 3 == 0, k % 7, k % 5 == 0, types, k % 11)
     return table(spark, sf, "customer").select("c_custkey", r["explanation"].alias("explanation"))
 
 
@@ -371,9 +388,10 @@ def m11(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.breach_summary(probe(spark, sf), br).drop("last_breach")
 
 
-@query("m10_peer_delta", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("m10_peer_delta", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT 2 * o_custkey FROM orders)")
 def m10(spark: SparkSession, sf: str) -> DataFrame:
-    remote = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """The other store holds keys twice as large."""
+    remote = table(spark, sf, "orders").select((2 * F.col("o_custkey")).alias("c_custkey"))
     return sync.peer_delta(table(spark, sf, "customer").select("c_custkey"), remote, ["c_custkey"])
 
 
@@ -396,9 +414,21 @@ def a14(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", dumps.is_header(cells_).alias("header"))
 
 
-@query("a15_safety", "SELECT doc_id, strlen(text) > 0 AS is_safe, false AS is_binary, 0 AS confidence FROM documents")
+#: Bytes put in front of texts, by remainder of doc_id: is_binary and confidence of the whole.
+_ODD = {1: ("6100", True, 95), 2: ("7F454C46", True, 99), 3: ("4D5A", True, 98), 4: ("FFFE", False, 40), 5: ("FEEDFACE", True, 98)}
+
+
+@query("a15_safety", "SELECT doc_id, " + ", ".join(
+    f"CASE doc_id % 7 {' '.join(f'WHEN {k} THEN {pick(v)}' for k, v in _ODD.items())} WHEN 6 THEN {six} ELSE {plain} END AS {name}" for name, pick, six, plain in (
+        ("is_safe", lambda v: str(not v[1]).lower(), "false", "strlen(coalesce(text, '')) > 0"), ("is_binary", lambda v: str(v[1]).lower(), "true", "false"),
+        ("confidence", lambda v: v[2], 80, 0))) + " FROM documents")
 def a15(spark: SparkSession, sf: str) -> DataFrame:
-    s = dumps.file_safety(F.col("text").cast("binary"))
+    """Texts as they are, and behind NUL, ELF, MZ and Mach-O heads, bad UTF-8, or among as many control characters."""
+    body, rest = F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.col("doc_id") % 7
+    content = F.when(rest == 6, F.concat(body, F.repeat(F.lit("\u0001"), 9 * F.octet_length(body) + 9).cast("binary"))).otherwise(body)
+    for k, (head, _, _) in _ODD.items():
+        content = F.when(rest == k, F.concat(F.unhex(F.lit(head)), body)).otherwise(content)
+    s = dumps.file_safety(content)
     return table(spark, sf, "documents").select("doc_id", s["is_safe"].alias("is_safe"), s["is_binary"].alias("is_binary"), s["confidence"].alias("confidence"))
 
 
