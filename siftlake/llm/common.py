@@ -82,7 +82,7 @@ class Tables:
         self.prefix, self.paths = prefix, {}
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        self.paths[name], out = write_table(df, f"{self.prefix}-{name}")
+        self.paths[name], out = write_table(df, f"{self.prefix}-{name}".replace(" ", "-"))
         return out
 
     def drop(self, *names: str) -> None:

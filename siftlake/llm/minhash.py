@@ -11,7 +11,7 @@ compared, large buckets in blocks that emit links only, so that no link of a sha
 Defined results: a null text, or one without words, is alone in its class; fewer than ``SHINGLE`` words are one shingle;
 documents without ``doc_id`` are left out of classes by ``classes`` and kept by ``keep_one``; rows that share a ``doc_id``
 are in one class, and each of their texts is compared by itself; an empty table gives no rows; other columns are ignored,
-or carried by ``keep_one``. Texts are read whole: a worker holds about 60 bytes for each byte of the longest.
+or carried by ``keep_one``. Long texts are read by pieces: a worker holds about 12 bytes for each byte of the longest.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm.common import Tables, by_shuffle, connected_components, materialize, pieces
-from siftlake.llm.wordhash import PUNCTUATION, RangeHash, U, Words, mix, slices
+from siftlake.llm.wordhash import MULTIPLIERS, PUNCTUATION, RangeHash, U, Words, mix, pieces_of, range_hash, slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -53,6 +53,44 @@ def shingles(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[new], hashes[new], np.diff(np.append(new, len(doc)))
 
 
+def gather(texts: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """``doc, shingle, times`` (by text) of texts, their numbers of words, and two hashes of all words of each.
+
+    Texts of more than ``2 * most`` bytes are read by pieces that overlap by a shingle.
+    """
+    long_ = [k for k, t in enumerate(texts) if len(t) > 2 * most]
+    words = Words([b"" if len(t) > 2 * most else t for t in texts], PUNCTUATION)
+    count = np.diff(words.first)
+    whole = [RangeHash(words.hashes, k)(words.first[:-1], words.first[1:]) for k in (0, 1)]
+    parts = [shingles(words)]
+    for k in long_:
+        element, times, count[k], hashes = long_shingles(texts[k], most)
+        parts.append((np.full(len(element), k), element, times))
+        for column, h in zip(whole, hashes, strict=True):
+            column[k] = h
+    doc, element, times = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.argsort(doc, kind="stable") if long_ else slice(None)
+    return doc[order], element[order], times[order], count, whole
+
+
+def long_shingles(text: bytes, most: int) -> tuple[np.ndarray, np.ndarray, int, list[np.uint64]]:
+    """Sorted shingles, their times, the number of words and two hashes of all words of a single text, by pieces."""
+    found, base, sums = [], 0, [0, 0]
+    for piece, behind in pieces_of(text, most, SHINGLE - 1, PUNCTUATION):
+        words = Words([piece + behind], PUNCTUATION)
+        own = int(np.searchsorted(words.start, len(piece)))
+        at = np.arange(min(own, max(0, len(words.hashes) - SHINGLE + 1)))
+        found.append(RangeHash(words.hashes)(at, at + SHINGLE))
+        for k, m in enumerate(MULTIPLIERS):
+            sums[k] += int(RangeHash(words.hashes, k).sums[own]) * pow(m, base, 1 << 64)
+        base += own
+    if base < SHINGLE:
+        words = Words([text], PUNCTUATION)
+        found = [RangeHash(words.hashes)(np.array([0]), np.array([base]))] if base else []
+    element, times = np.unique(np.concatenate([np.zeros(0, U), *found]), return_counts=True)
+    return element, times, base, [range_hash(np.array([x % (1 << 64)], U), np.array([base]))[0] for x in sums]
+
+
 #: Chances, as unsigned 64-bit thresholds, that a Poisson number of mean 1 is at most 0, 1, 2, ...
 POISSON = np.array([min(2**64 - 1, int(sum(math.exp(-1) / math.factorial(i) for i in range(m + 1)) * 2.0**64)) for m in range(16)], U)
 
@@ -110,21 +148,21 @@ def normalized(texts: list[str | None]) -> list[bytes]:
 def sign(docs: DataFrame) -> DataFrame:
     """``doc_id, q1, q2, size, bands`` of every document (``size`` in shingles); ``bands`` is null where there are no words."""
 
+    most = SLICE_BYTES  # travels with the function
+
     def run(batches):
         for batch in pieces(batches):
             texts = normalized(batch["text"].to_pylist())
-            for x, y in slices([len(t) for t in texts], SLICE_BYTES):
-                words = Words(texts[x:y], PUNCTUATION)
-                a, b = words.first[:-1], words.first[1:]
-                found = shingles(words)
-                keys = band_keys(dart_signatures(*found, y - x))
-                size = np.bincount(found[0], found[2], y - x).astype(np.int64)
-                whole = [RangeHash(words.hashes, k)(a, b).view(np.int64) for k in (0, 1)]
+            for x, y in slices([len(t) for t in texts], most):
+                doc, element, times, count, whole = gather(texts[x:y], most)
+                keys = band_keys(dart_signatures(doc, element, times, y - x))
+                size = np.bincount(doc, times, y - x).astype(np.int64)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.arange(0, BANDS * (y - x + 1), BANDS, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()),
-                    mask=pa.array(a == b),
+                    mask=pa.array(count == 0),
                 )
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][x:y], *map(pa.array, [*whole, size]), lists], ["doc_id", "q1", "q2", "size", "bands"])
+                cols = [w.view(np.int64) for w in whole]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][x:y], *map(pa.array, [*cols, size]), lists], ["doc_id", "q1", "q2", "size", "bands"])
 
     docs = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull())
     return docs.mapInArrow(run, "doc_id long, q1 long, q2 long, size long, bands array<long>")
@@ -133,20 +171,21 @@ def sign(docs: DataFrame) -> DataFrame:
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """``doc_id, q1, q2, shingles``: sorted 32-bit hashes of (shingle, occurrence), so that plain sets compare the multisets."""
 
+    most = SLICE_BYTES
+
     def run(batches):
         for batch in pieces(batches):
             texts, ids = normalized(batch["text"].to_pylist()), batch["doc_id"]
-            for x, y in slices([len(t) for t in texts], SLICE_BYTES):
-                words = Words(texts[x:y], PUNCTUATION)
-                whole = [RangeHash(words.hashes, k)(words.first[:-1], words.first[1:]).view(np.int64) for k in (0, 1)]
-                doc, element, times = shingles(words)
+            for x, y in slices([len(t) for t in texts], most):
+                doc, element, times, _, whole = gather(texts[x:y], most)
                 which = np.repeat(np.arange(len(doc)), times)
                 nth = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
                 with np.errstate(over="ignore"):
                     value = (mix(element[which] + nth.astype(U) * U(0x9E6C63D0876A9A47)) >> U(32)).astype(np.uint32)
                 at = np.searchsorted(doc[which], np.arange(y - x + 1))
                 sets = [np.sort(value[at[k] : at[k + 1]]).tobytes() for k in range(y - x)]
-                yield pa.RecordBatch.from_arrays([ids[x:y], *map(pa.array, whole), pa.array(sets, pa.binary())], ["doc_id", "q1", "q2", "shingles"])
+                cols = [pa.array(w.view(np.int64)) for w in whole]
+                yield pa.RecordBatch.from_arrays([ids[x:y], *cols, pa.array(sets, pa.binary())], ["doc_id", "q1", "q2", "shingles"])
 
     return docs.mapInArrow(run, "doc_id long, q1 long, q2 long, shingles binary")
 

@@ -42,6 +42,12 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(32))
 
 
+def range_hash(raw: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The hash of a range from the sum of its values times powers from 0 on, and its length."""
+    with np.errstate(over="ignore"):
+        return mix(raw + length.astype(U) * U(0x9FB21C651E98DF25))
+
+
 class RangeHash:
     """Hashes of ``values[a:b]`` for any ranges, by prefix sums; equal ranges of any arrays have equal hashes."""
 
@@ -54,7 +60,7 @@ class RangeHash:
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             raw = (self.sums[b] - self.sums[a]) * powers(INVERSES[self.which], len(self.sums))[a]
-            return mix(raw + (b - a).astype(U) * U(0x9FB21C651E98DF25))
+        return range_hash(raw, b - a)
 
 
 class Words:

@@ -206,6 +206,22 @@ def test_blocks_by_shingles(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in minhash.classes(frame(spark, rows)).collect()} == classes_by_hand(rows)
 
 
+def test_long_texts_by_pieces(spark, monkeypatch):
+    """Pieces give the shingles, their times and the hashes of the whole text."""
+    rng, words = random.Random(5), vocabulary(5, 50)
+    for n in (0, 1, 4, 5, 6, 400):
+        text = ", ".join(rng.choice(words) for _ in range(n)).encode()
+        doc, element, times, count, whole = minhash.gather([b"x y", text, b"z"], 1 << 20)
+        for most in (1, 20, 77):
+            found, again, n_words, hashes = minhash.long_shingles(text, most)
+            mine = doc == 1
+            assert (found == element[mine]).all() and (again == times[mine]).all() and n_words == count[1] == n
+            assert hashes == [w[1] for w in whole]
+    monkeypatch.setattr(minhash, "SLICE_BYTES", 200)
+    rows = corpus(4)
+    assert {r.doc_id: r.class_id for r in minhash.classes(frame(spark, rows)).collect()} == classes_by_hand(rows)
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     elements = rng.integers(0, 2**64, 400, dtype=np.uint64)
@@ -235,8 +251,31 @@ def test_components_settle(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_pipeline(spark, tmp_path):
+SCHEMA = "doc_id long, text string, lang string, source string"
+
+
+def pipeline_by_hand(rows):
+    """The words of the documents that the stages before packing leave."""
+    good = [(i, t) for i, t, *_ in rows if t and len(t.split()) >= 20]
+    by_hand = classes_by_hand(good)
+    return [(i, k) for i, _, k in kept_by_hand([(i, t) for i, t in good if i is None or by_hand[i] == i]) if k]
+
+
+def check_pipeline(spark, folder, rows, more=()):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    tokenizers = pytest.importorskip("tokenizers")
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "CAST(length(text) AS BIGINT) AS n_chars", *more)
+    df.write.parquet(f"{folder}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, str(folder)).collect()
+    left = pipeline_by_hand(rows)
+    assert {r.doc_id for r in pieces} == {i for i, _ in left}
+    tok = tokenizers.Tokenizer.from_file(corpus_pipeline.tokenizer_path("word_bpe_49k.json"))
+    want = sum(len(tok.encode(b" ".join(k).decode(), add_special_tokens=False).ids) + 1 for _, k in left)
+    assert sum(r.length for r in pieces) == want
+    return left
+
+
+def test_pipeline(spark, tmp_path):
     words = vocabulary(9)
     rng = random.Random(9)
     rows = []
@@ -244,14 +283,22 @@ def test_pipeline(spark, tmp_path):
         rows.append((i, " ".join(rng.choice(words) for _ in range(rng.randint(5, 120))), "en", f"s{i % 4}"))
     rows.append((200, rows[40][1], "en", "s1"))
     rows.append((201, rows[41][1] + " " + " ".join(rng.choice(words) for _ in range(300)), "en", "s1"))
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "CAST(length(text) AS BIGINT) AS n_chars")
-    df.write.parquet(f"{tmp_path}/documents.parquet")
-    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    good = [(i, t) for i, t, *_ in rows if len(t.split()) >= 20]
-    by_hand = classes_by_hand(good)
-    left = [(i, k) for i, _, k in kept_by_hand([(i, t) for i, t in good if by_hand[i] == i]) if k]
-    assert {r.doc_id for r in pieces} == {i for i, _ in left}
-    tokenizers = pytest.importorskip("tokenizers")
-    tok = tokenizers.Tokenizer.from_file(corpus_pipeline.tokenizer_path("word_bpe_49k.json"))
-    want = sum(len(tok.encode(b" ".join(k).decode(), add_special_tokens=False).ids) + 1 for _, k in left)
-    assert sum(r.length for r in pieces) == want
+    assert len(check_pipeline(spark, tmp_path, rows)) > 50
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows and ids, columns with the operators' own names."""
+    words = vocabulary(10)
+    rng = random.Random(10)
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, text(60), "en", f"s{i % 3}") for i in range(20)]
+    rows += [(None, text(60), None, None), (None, rows[3][1], None, "s1"), (30, None, None, None), (31, "", "en", ""), (32, "  \n", "en", None)]
+    rows += [(33, text(30), None, ""), (33, text(40), "en", "s1"), rows[5], rows[5], (34, rows[5][1], "de", None), (35, text(30_000), "en", "s2")]
+    more = ["1 AS th", "'x' AS host", "true AS host_failed", "2 AS class_id", "3 AS start", "array(1) AS ranges", "'y' AS kept", "4 AS row", "5 AS size"]
+    assert {None, 33, 35} <= {i for i, _ in check_pipeline(spark, tmp_path, rows, more)}
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], f"{SCHEMA}, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
