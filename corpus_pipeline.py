@@ -1,7 +1,14 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated substrings, packing.
 
 Each stage takes the documents its predecessor kept and returns documents (the last one: packed pieces). ``run`` writes
-every stage as Parquet in the shared folder and reads it back, so that a lost executor costs one stage's tasks only.
+every stage as Parquet in the shared folder and reads it back, so that a lost executor costs one stage's tasks only; a
+stage's table goes when its successor is written.
+
+Defined results: null and empty texts fail the quality rules; documents without ``doc_id`` are judged by the quality rules
+and packed, but neither are nor have near copies or repeats; rows that share a ``doc_id`` stay or go together as near
+copies; repeated rows are equal near copies, of which one ``doc_id`` stays, with all its rows; an empty table gives no
+pieces; further columns of documents are carried up to packing, whatever their names. Very long texts are held whole by one
+worker at a time (the operators say how much each takes for a byte).
 """
 
 from __future__ import annotations
@@ -9,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siftlake.llm import minhash, packing, quality, substring
-from siftlake.llm.common import materialize, read_table
+from siftlake.llm.common import Tables, read_table
 from siftlake.llm.queries import tokenizer_path
 
 
@@ -46,6 +53,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{k}")
+    tables = Tables("pipeline")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = tables(stage(spark, docs, sf_dir), name)
+        if k:
+            tables.drop(STAGES[k - 1][0])
     return docs
