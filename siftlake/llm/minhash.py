@@ -239,9 +239,12 @@ def bucket_links(outside: pa.Table, everyone: pa.Table, threshold: float) -> pa.
     return pa.table({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, class_id`` of every document; ``class_id`` is the smallest ``doc_id`` of its class."""
-    t = Tables("minhash")
+def classes(docs: DataFrame, threshold: float = THRESHOLD, t: Tables | None = None) -> DataFrame:
+    """``doc_id, class_id`` of every document; ``class_id`` is the smallest ``doc_id`` of its class.
+
+    Of the tables ``t`` the result reads ``signed`` and ``texts``.
+    """
+    t = t or Tables("minhash")
     signed = t(sign(docs), "signed")
     first = [F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")]
     texts = t(signed.where(F.col("bands").isNotNull()).groupBy("q1", "q2").agg(*first), "texts")
@@ -325,6 +328,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with one of each class, that of the smallest ``doc_id``; rows of equal ``doc_id`` stay together."""
-    found = classes(docs, threshold)
+    t = Tables("minhash")
+    found = classes(docs, threshold, t)
     drop = materialize(found.where("doc_id <> class_id").select(F.col("doc_id").alias("__drop")).distinct(), "minhash-drop")
+    t.drop("signed", "texts")
     return docs.join(drop, F.col("doc_id").cast("long") == F.col("__drop"), "left_anti")

@@ -230,9 +230,12 @@ def window_rows(candidates: DataFrame, window: int = WINDOW) -> DataFrame:
     return candidates.mapInArrow(run, "w1 long, w2 long, doc_id long, th long")
 
 
-def find_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The scan without stretches, and what goes: ``doc_id, th, ranges`` (words ``i0`` to before ``i1``), ``windows`` (hashes)."""
-    t = Tables("substring")
+def find_repeats(docs: DataFrame, window: int = WINDOW, t: Tables | None = None) -> tuple[DataFrame, DataFrame]:
+    """The scan without stretches, and what goes: ``doc_id, th, ranges`` (words ``i0`` to before ``i1``), ``windows`` (hashes).
+
+    They read ``scan`` and ``removed`` of the tables ``t``.
+    """
+    t = t or Tables("substring")
     scanned = t(scan(docs, window), "scan")
     base = scanned.drop("stretches").where("full_sha IS NOT NULL")
     long_ = base.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
@@ -267,7 +270,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Data
     copied = copies.select("doc_id", "th", F.lit(0).alias("i0"), F.col("n_words").cast("int").alias("i1"))
     whole = whole.union(copied).distinct().groupBy("doc_id", "th").agg(ranges)
     removed = t(whole.join(one, ["doc_id", "th"], "full"), "removed")
-    t.drop("copies", "copied", "known", "asked", "windows", "least")  # the result reads the scan and what goes
+    t.drop("copies", "copied", "known", "asked", "windows", "least")
     return base, removed
 
 
@@ -324,7 +327,9 @@ def repeat_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with repeated words cut out of their texts; those of which nothing is left go."""
-    _, removed = find_repeats(docs, window)
+    t = Tables("substring")
+    _, removed = find_repeats(docs, window, t)
+    t.drop("scan")
     columns, schema, most = docs.columns, docs.schema, SLICE_BYTES
     marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
     removed = removed.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.struct("ranges", "windows").alias("__gone"))
