@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftlake.functions import detect, hashing, text
 from siftlake.operators import report, wordlist
 from siftlake.plans.source import CELLS_SQL, TOKENS_SQL, TRIMMED_SQL, cells, table, tokens
+from siftlake.scratch import spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -143,8 +144,9 @@ _TOKEN_SQL = (
 
 @query("token_pii_by_lang", _TOKEN_SQL + "SELECT lang, pii_type, count(*) AS n, count(DISTINCT doc_id) AS documents FROM l GROUP BY ALL")
 def token_pii(spark: SparkSession, sf: str) -> DataFrame:
-    """The flagship: findings over all tokens of all documents, by language and type."""
-    found = tokens(spark, sf).select("doc_id", "lang", F.explode(detect.detect_pii(F.col("value"))).alias("pii_type"))
+    """The flagship: findings over all tokens of all documents, by language and type. The gate of the detectors stands in a
+    filter, where it is compiled with the scan."""
+    found = tokens(spark, sf).where(detect.may_match(F.col("value"))).select("doc_id", "lang", F.explode(detect.detect_pii(F.col("value"))).alias("pii_type"))
     return found.groupBy("lang", "pii_type").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
 
 
@@ -233,13 +235,13 @@ _FOLD = "trim(regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '\\
 @query("b01_normalize_field", f"SELECT doc_id, sha256({_FOLD}) AS normalized FROM documents")
 def b01(spark: SparkSession, sf: str) -> DataFrame:
     x = text.normalize_field(F.coalesce("text", F.lit("")))
-    return table(spark, sf, "documents").select("doc_id", F.sha2(x, 256).alias("normalized"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.sha2(x, 256).alias("normalized"))
 
 
 @query("b02_normalize_row", "SELECT doc_id, array_to_string([" + _FOLD + ", lower(lang), lower(source)], '|') AS normalized FROM documents")
 def b02(spark: SparkSession, sf: str) -> DataFrame:
     row = text.normalize_row(F.array("text", "lang", "source"))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(row, "|").alias("normalized"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.array_join(row, "|").alias("normalized"))
 
 
 @query("b03_normalize_email", TRIMMED_SQL + """SELECT row_id, col_name, replace(regexp_replace(split_part(lower(v), '@', 1), '\\+.*$', ''), '.', '') || '@'
@@ -277,7 +279,7 @@ def b06(spark: SparkSession, sf: str) -> DataFrame:
 @query("h01_digests", "SELECT doc_id, md5(coalesce(text, '')) AS md5, sha1(coalesce(text, '')) AS sha1, sha256(coalesce(text, '')) AS sha256 FROM documents")
 def h01(spark: SparkSession, sf: str) -> DataFrame:
     x = F.coalesce("text", F.lit(""))
-    return table(spark, sf, "documents").select("doc_id", hashing.md5(x).alias("md5"), hashing.sha1(x).alias("sha1"), hashing.sha256(x).alias("sha256"))
+    return spread(table(spark, sf, "documents")).select("doc_id", hashing.md5(x).alias("md5"), hashing.sha1(x).alias("sha1"), hashing.sha256(x).alias("sha256"))
 
 
 _DIGESTS = "SELECT * FROM (VALUES " + ", ".join(
@@ -293,7 +295,7 @@ def h02(spark: SparkSession, sf: str) -> DataFrame:
 @query("h04_row_hash", f"SELECT doc_id, sha256({_FOLD} || '|' || lower(lang) || '|' || lower(source)) AS row_hash FROM documents")
 def h04(spark: SparkSession, sf: str) -> DataFrame:
     row = text.normalize_row(F.array("text", "lang", "source"))
-    return table(spark, sf, "documents").select("doc_id", hashing.row_hash(row).alias("row_hash"))
+    return spread(table(spark, sf, "documents")).select("doc_id", hashing.row_hash(row).alias("row_hash"))
 
 
 _H05 = {

@@ -80,7 +80,7 @@ def f00(spark: SparkSession, sf: str) -> DataFrame:
 @query("f01_file_hash", "SELECT 'file_hash' AS event_type, sha256(text) AS file_id, 'md5:' || md5(text) || ',sha256:' || sha256(text) AS fields FROM documents")
 def f01(spark: SparkSession, sf: str) -> DataFrame:
     """Each document as a file."""
-    files = table(spark, sf, "documents").select(F.sha2("text", 256).alias("file_id"), F.md5("text").alias("md5"))
+    files = spread(table(spark, sf, "documents")).select(F.sha2("text", 256).alias("file_id"), F.md5("text").alias("md5"))
     return events.file_events(files).withColumn("fields", F.array_join("fields", ","))
 
 
@@ -411,7 +411,7 @@ def percentiles(spark: SparkSession, sf: str) -> DataFrame:
 @query("a14_header", "SELECT doc_id, regexp_matches(text, '\\p{L}') AS header FROM documents")
 def a14(spark: SparkSession, sf: str) -> DataFrame:
     cells_ = F.split(F.col("text"), ",")
-    return table(spark, sf, "documents").select("doc_id", dumps.is_header(cells_).alias("header"))
+    return spread(table(spark, sf, "documents")).select("doc_id", dumps.is_header(cells_).alias("header"))
 
 
 #: Bytes put in front of texts, by remainder of doc_id: is_binary and confidence of the whole.
@@ -429,7 +429,7 @@ def a15(spark: SparkSession, sf: str) -> DataFrame:
     for k, (head, _, _) in _ODD.items():
         content = F.when(rest == k, F.concat(F.unhex(F.lit(head)), body)).otherwise(content)
     s = dumps.file_safety(content)
-    return table(spark, sf, "documents").select("doc_id", s["is_safe"].alias("is_safe"), s["is_binary"].alias("is_binary"), s["confidence"].alias("confidence"))
+    return spread(table(spark, sf, "documents")).select("doc_id", s["is_safe"].alias("is_safe"), s["is_binary"].alias("is_binary"), s["confidence"].alias("confidence"))
 
 
 @query("a17_compression", "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'zip' WHEN 1 THEN 'gzip' WHEN 2 THEN 'bzip2' WHEN 3 THEN '7z' ELSE 'none' END AS kind FROM customer")
