@@ -52,6 +52,34 @@ def test_bad_hosts_go(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.where("host_failed").collect()) == [*range(1000, 1400), 5000]
 
 
+def test_prior_takes_chance_out(spark):
+    """Small hosts that differ by chance only shrink all the way; hosts that differ indeed keep their rates."""
+    rng = random.Random(2)
+    drawn = [(f"h{k}", 4, sum(rng.random() < 0.2 for _ in range(4))) for k in range(800)]
+    apart = [(f"h{k}", 400, 400 if k % 5 == 0 else 0) for k in range(100)]
+    for rows, low, high in ((drawn, 30, quality.MOST_WEIGHT), (apart, quality.LEAST_WEIGHT, quality.LEAST_WEIGHT), ([], quality.MOST_WEIGHT, quality.MOST_WEIGHT)):
+        mean, weight = quality.prior(spark.createDataFrame(rows, "host string, documents long, failures long"))
+        assert low <= weight <= high and (not rows or abs(mean - 0.2) < 0.03)
+
+
+def test_empty_host_is_no_host(spark):
+    good = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(i, "short" if i < 90 else good, "") for i in range(100)], "doc_id long, text string, source string")
+    assert {r.doc_id for r in quality.judge(df).where("kept").collect()} == set(range(90, 100)) == {r.doc_id for r in quality.keep_good(df).collect()}
+
+
+def test_very_long_text(spark):
+    rng = random.Random(1)
+    text = "\n".join(" ".join(f"w{rng.randrange(50_000)}" for _ in range(20)) for _ in range(10_000)) + " a b c d e f g h" * 3
+    df = spark.createDataFrame([(1, text, "h")], "doc_id long, text string, source string")
+    r = quality.judge(df).first()
+    windows, words = {}, WORD.findall(text)
+    for i in range(len(words) - 7):
+        windows.setdefault(tuple(words[i : i + 8]), []).append(i)
+    covered = {i + j for at in windows.values() if len(at) > 1 for i in at for j in range(8)}
+    assert (r.n_words, r.n_repeat_words, r.word_chars) == (len(words), len(covered), sum(map(len, words)))
+
+
 def test_salted_hosts(spark, monkeypatch):
     monkeypatch.setattr(quality, "BROADCAST_BYTES", -1)
     test_bad_hosts_go(spark)
@@ -96,6 +124,21 @@ def test_bloom_has_no_false_negatives(spark):
     assert other.where(urlfilter.in_bloom(words, F.col("key"), 128)).count() < 30
 
 
+def test_upper_case_rules_and_no_pages(spark):
+    rules = spark.createDataFrame([("EXAMPLE.Org", "/A", "block"), (None, "/", "block"), ("b.org", None, "block")], "host string, path string, action string")
+    pages = spark.createDataFrame([(1, "http://x.example.org/Ab"), (2, "http://example.org/a"), (3, "http://b.org")], "page_id long, url string")
+    got = urlfilter.judge_urls(pages, rules).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in got] == [("example.org/A", "block"), (None, "allow"), ("b.org", "block")]
+    assert urlfilter.judge_urls(pages.limit(0), rules).count() == 0
+
+
+def test_hot_urls(spark):
+    """A third of the pages without URL, a third with the same one."""
+    rows = [(i, (None, "http://x.net/es/1", f"http://h{i}.com/")[i % 3]) for i in range(300)]
+    got = urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(URL_RULES, "host string, path string, action string"))
+    assert sorted((r.page_id, r.rule) for r in got.collect()) == [(i, (None, "net/es/", "com/")[i % 3]) for i in range(300)]
+
+
 def test_empty_rules(spark):
     pages = spark.createDataFrame([(1, "http://x.com/")], "page_id long, url string")
     rules = spark.createDataFrame([], "host string, path string, action string")

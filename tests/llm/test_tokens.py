@@ -38,6 +38,30 @@ def test_chunks_equal_whole_texts(path):
     assert [np.frombuffer(x, "<u4").tolist() for x in encode(cases)] == want  # from the cache
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_very_long_texts_equal_whole_ones(path):
+    """Long texts are cut before single blanks; ids are those of the whole text, also where no blank can be found."""
+    rng = random.Random(6)
+    words = ["the", "Haus.", "été", "don't", "x1", "中文", "a\nB", "", "\n", "A.\x1cCd", "\u00a0"]
+    text = " ".join(rng.choice(words) for _ in range(900_000))
+    assert len(text) > 2 * tokens.GROUP_CHARS
+    encode, tok = tokens.library_encoder(path), tokenizers.Tokenizer.from_file(path)
+    cut = [*encode.parts(text)]
+    assert len(cut) > 1 and "".join(cut) == text
+    for t in (text, "y\n" * (tokens.GROUP_CHARS + 9)):
+        assert np.frombuffer(encode([t])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_kept_chunks_turn_over():
+    """Frequent chunks stay over the turn of generations, and ids do not depend on what is kept."""
+    asked = []
+    cache = tokens.ChunkCache(str.split, lambda _, chunk: asked.append(chunk) or chunk.encode(), [], str.encode, 9, entries=20)
+    for k in range(200):
+        assert cache([f"hot w{k} {'long' * 99}"]) == [f"hotw{k}{'long' * 99}".encode()]
+    assert asked.count("hot") == 1 and len(cache.cache) <= 12 and len(cache.cache.old) <= 12
+    assert asked.count("long" * 99) == 200  # long chunks are not kept
+
+
 def test_rank_array_equals_library():
     tok, model = tokenizers.Tokenizer.from_file(BYTE), bpe.model(BYTE)
     cases = [*texts(), "ab" * 500 + "é" * 3000 + "x" * 5000]
