@@ -81,11 +81,12 @@ class Codebook:
         for s in s_index:
             p, c = parts[:, s], codes[:, s]
             others = total - along[:, s]
-            a = np.zeros((CODEWORDS, width, width))
-            b = np.zeros((CODEWORDS, width))
-            np.add.at(a, c, np.eye(width) + pull[:, None, None] * p[:, :, None] * p[:, None, :])
-            np.add.at(b, c, p + (pull * (others + (p**2).sum(1)))[:, None] * p)
-            used = np.bincount(c, minlength=CODEWORDS) > 0
+            sums = lambda w: np.bincount(c, w, CODEWORDS)
+            held = np.bincount(c, minlength=CODEWORDS)
+            a = np.array([[sums(pull * p[:, i] * p[:, j]) + held * (i == j) for j in range(width)] for i in range(width)]).transpose(2, 0, 1)
+            scale = 1 + pull * (others + (p**2).sum(1))
+            b = np.array([sums(scale * p[:, i]) for i in range(width)]).T
+            used = held > 0
             self.words[s, used] = np.linalg.solve(a[used], b[used][..., None])[..., 0]
             new = ((p - self.words[s, c]) * p).sum(1)
             total += new - along[:, s]
@@ -138,13 +139,14 @@ def scan_block(book: Codebook, vectors: np.ndarray, codes: np.ndarray, errors: n
     keep = min(keep, m)
     probe = min(m, max(PROBE, keep))
     norms = np.sqrt((vectors**2).sum(1))
+    places = codes.T.astype(np.intp)
     for x in range(0, len(queries), 64):
         q = queries[x : x + 64]
         tables = book.tables(q)
         score = np.zeros((len(q), m), np.float32)
         with np.errstate(invalid="ignore", over="ignore"):
-            for b in range(codes.shape[1]):
-                score += tables[:, b][:, codes[:, b]]
+            for b, place in enumerate(places):
+                score += tables[:, b].take(place, axis=1)
         first = np.argpartition(-score, probe - 1, axis=1)[:, :probe]
         to_beat = -np.partition(-np.einsum("qrd,qd->qr", vectors[first], q), keep - 1, axis=1)[:, keep - 1]
         length = np.sqrt((q**2).sum(1))
