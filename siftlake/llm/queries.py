@@ -50,7 +50,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftlake.llm.quality import judge
 
-    return judge(read_table(spark, sf_dir, "documents"))
+    return judge(spread(read_table(spark, sf_dir, "documents")))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
