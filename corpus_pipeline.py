@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siftlake.llm import minhash, packing, quality, substring
 from siftlake.llm.common import Tables, read_table
 from siftlake.llm.queries import tokenizer_path
+from siftlake.scratch import spread
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     tables = Tables("pipeline")
     for k, (name, stage) in enumerate(STAGES):
         docs = tables(stage(spark, docs, sf_dir), name)
