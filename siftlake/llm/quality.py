@@ -140,11 +140,12 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns.
 
-    The first pass adds up hosts only; the second judges each document again, beside its host's verdict. Two readings of
-    the texts cost less than writing them once more, and each is narrow.
+    Texts are judged once and written with their verdict, those that fail without the text: reading them again costs far
+    less than judging them twice, whose garbage also lets executors grow.
     """
     columns = docs.columns
-    failed = base_failed(F.col("text"))
-    hosts = rejected_hosts(docs.select(F.col("source").alias("host"), failed.alias("failed")), "host", F.col("failed"))
-    out = with_host_verdict(docs.where(~failed), "source", hosts, F.col("doc_id"))
+    judged = docs.withColumn("__failed", base_failed(F.col("text")))
+    judged = materialize(judged.withColumn("text", F.when(~F.col("__failed"), F.col("text"))), "quality-docs")
+    hosts = rejected_hosts(judged, "source", F.col("__failed"))
+    out = with_host_verdict(judged.where(~F.col("__failed")), "source", hosts, F.col("doc_id"))
     return out.where(~F.col("__host_failed")).select(*columns)
