@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,13 @@ WEAK_PASSWORDS = [
 
 
 def builtin_words(spark: SparkSession, custom: list[str] | None = None) -> DataFrame:
-    """M-04: the built-in list and custom passwords as ``plaintext``."""
-    return spark.createDataFrame([(w,) for w in dict.fromkeys([*WEAK_PASSWORDS, *(custom or [])])], "plaintext string")
+    """M-04: the built-in list and custom passwords as ``plaintext``.
+
+    An Arrow table becomes a local relation, whose size Spark knows. A list of Python rows would be an RDD that counts as
+    larger than any table, so that Spark broadcasts the cells that are probed instead of the words.
+    """
+    words = list(dict.fromkeys([*WEAK_PASSWORDS, *(custom or [])]))
+    return spark.createDataFrame(pa.table({"plaintext": pa.array(words, pa.string())}))
 
 
 def load_words(spark: SparkSession, path: str) -> DataFrame:
@@ -44,8 +50,8 @@ def digests(table: DataFrame, kinds: tuple[str, ...] = ("md5", "sha256")) -> Dat
 
 
 def weak_hash_probe(cells: DataFrame, column: str, hashes: DataFrame) -> DataFrame:
-    """D-19, D-21: ``cells`` with the ``plaintext`` of a weak hash they hold, null elsewhere. The list is small and fixed;
-    whether it is broadcast is Spark's decision by its size."""
+    """D-19, D-21: ``cells`` with the ``plaintext`` of a weak hash they hold, null elsewhere. Whether the list is broadcast is
+    Spark's decision by its size."""
     return cells.join(hashes.select(F.col("hash").alias("__h"), "plaintext"), F.lower(column) == F.col("__h"), "left").drop("__h")
 
 

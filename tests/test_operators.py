@@ -2,6 +2,7 @@ import hashlib
 import json
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -230,3 +231,43 @@ def test_cli(spark, tmp_path, capsys):
     with pytest.raises(RuntimeError), sync.JobLog(spark, f"{tmp_path}/db/jobs").running("x"):
         raise RuntimeError("no")
     assert sync.JobLog(spark, f"{tmp_path}/db/jobs").latest()[0]["state"] == "failed"
+
+
+def test_probes_broadcast_the_words_and_not_the_cells(spark):
+    words = wordlist.builtin_words(spark, ["hunter2", "admin"])
+    assert words.columns == ["plaintext"] and [r.plaintext for r in words.collect()] == [*wordlist.WEAK_PASSWORDS, "hunter2"]
+    cells = spark.range(100_000).selectExpr("id", "md5(CAST(id AS STRING)) AS value")
+    hashes = wordlist.digests(wordlist.rainbow_table(words, with_ntlm=False))
+    found = wordlist.weak_hash_probe(cells, "value", hashes).where("plaintext IS NOT NULL")
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    assert {r.plaintext for r in found.collect()} == {"111", "123", "1234", "11111", "12345"}
+    plan = wordlist.weak_plaintext_probe(cells, "value", words)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi, BuildRight" in plan
+
+
+def broadcasts_no_cells(spark, sf, name):
+    """The rows of a query and its SQL agree, and no table is the left side that a join broadcasts."""
+    from siftlake.plans import registry
+
+    customers = spark.range(20_000).selectExpr(
+        "id AS c_custkey", "CASE WHEN id % 7 <> 3 THEN 'Customer#' || id END AS c_name", "'S' || id % 5 AS c_mktsegment")
+    customers.coalesce(1).write.parquet(f"{sf}/customer.parquet")
+
+    def executions():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = spark._jsparkSession.sharedState().statusStore().executionsList()
+        return {found.apply(i).executionId(): found.apply(i).physicalPlanDescription() for i in range(found.size())}
+
+    before = executions()
+    df = registry.all_queries()[name](spark, sf)
+    ours = sorted(df.collect())
+    plans = "".join(plan for i, plan in executions().items() if i not in before)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{sf}/customer.parquet/*.parquet'")
+    assert ours == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.all_sql()[name]})").fetchall())
+    assert "BuildRight" in plans and "BuildLeft" not in plans
+
+
+def test_ingest_summary_broadcasts_no_cells(spark, tmp_path):
+    broadcasts_no_cells(spark, str(tmp_path), "s01_ingest_summary")
