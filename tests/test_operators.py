@@ -271,3 +271,7 @@ def broadcasts_no_cells(spark, sf, name):
 
 def test_ingest_summary_broadcasts_no_cells(spark, tmp_path):
     broadcasts_no_cells(spark, str(tmp_path), "s01_ingest_summary")
+
+
+def test_formats_broadcast_no_cells(spark, tmp_path):
+    broadcasts_no_cells(spark, str(tmp_path), "s04_s07_formats")
