@@ -275,3 +275,27 @@ def test_ingest_summary_broadcasts_no_cells(spark, tmp_path):
 
 def test_formats_broadcast_no_cells(spark, tmp_path):
     broadcasts_no_cells(spark, str(tmp_path), "s04_s07_formats")
+
+
+def test_formats_broadcast_no_more_rows_than_the_words_have(spark, tmp_path):
+    """However many customers there are, the driver holds the words with their digests and single counts."""
+    from siftlake.plans import registry
+
+    customers = spark.range(20_000).selectExpr("id AS c_custkey", "'Customer#' || id AS c_name", "'S' || id % 5 AS c_mktsegment")
+    customers.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def executions():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.executionsList()
+        return {found.apply(i).executionId() for i in range(found.size())}
+
+    before, sent = executions(), []
+    registry.all_queries()["s04_s07_formats"](spark, str(tmp_path))
+    for k in executions() - before:
+        values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            if node.name() == "BroadcastExchange":
+                rows = [m.accumulatorId() for m in map(node.metrics().apply, range(node.metrics().size())) if m.name() == "number of output rows"]
+                sent += [int(values.apply(x).replace(",", "")) for x in rows if values.contains(x)]
+    assert max(sent) == 2 * len(wordlist.WEAK_PASSWORDS)
