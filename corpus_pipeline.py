@@ -36,9 +36,13 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return substring.remove_repeats(docs)
 
 
+#: Chunks that packing keeps in a worker: half of those that `op1_packing` keeps, as executors are full when it runs.
+KEPT_CHUNKS = 400_000
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' ids in sequences of at most 2048."""
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, size=2048)
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, size=2048, entries=KEPT_CHUNKS)
 
 
 STAGES = [

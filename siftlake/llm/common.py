@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
+from siftlake.llm.tokens import forget_encoders
 from siftlake.scratch import shared_path
 
 #: A side this small (``memory_bytes``) may be broadcast; larger ones are shuffled.
@@ -108,6 +111,30 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(at)
 
 
+def tidy(run: Callable, encodes: bool = False) -> Callable:
+    """``run`` for ``mapInArrow``, in workers that hold no more than they use.
+
+    Spark gives a worker to task after task, of any operator. Kept chunks of tokenizers go when a task starts that does not
+    encode, and when a task ends, memory that is free goes back to the system, which malloc and Arrow would keep.
+    """
+
+    @functools.wraps(run)
+    def tidied(batches):
+        if not encodes:
+            forget_encoders()
+        yield from run(batches)
+        release_memory()
+
+    return tidied
+
+
+def release_memory() -> None:
+    """Give what this process has freed back to the system; nothing on systems whose C library cannot."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_shuffle(df: DataFrame) -> DataFrame:
     """A join side that grows with the input: never broadcast, so that the plan is the same at every size."""
     return df.hint("shuffle_merge")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import Tables, by_shuffle, connected_components, materialize, pieces
+from siftlake.llm.common import Tables, by_shuffle, connected_components, materialize, pieces, tidy
 from siftlake.llm.wordhash import MULTIPLIERS, PUNCTUATION, RangeHash, U, Words, mix, pieces_of, range_hash, slices
 
 SHINGLE = 5
@@ -31,9 +31,9 @@ THRESHOLD = 0.8
 #: 30 bands of 5: a pair of similarity 0.8 shares none with probability 7e-6.
 BANDS, ROWS = 30, 5
 COORDINATES = BANDS * ROWS
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 #: Cells that are thrown together.
-CELLS = 1 << 18
+CELLS = 1 << 16
 #: Buckets of up to so many texts are compared by a join of pairs, larger ones within tasks in blocks of at most about
 #: ``BLOCK`` texts and ``BLOCK_SHINGLES`` shingles (a longer text is a block of its own).
 SMALL_BUCKET, BLOCK, BLOCK_SHINGLES = 16, 256, 1 << 18
@@ -165,7 +165,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch["doc_id"][x:y], *map(pa.array, [*cols, size]), lists], ["doc_id", "q1", "q2", "size", "bands"])
 
     docs = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull())
-    return docs.mapInArrow(run, "doc_id long, q1 long, q2 long, size long, bands array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, q1 long, q2 long, size long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 cols = [pa.array(w.view(np.int64)) for w in whole]
                 yield pa.RecordBatch.from_arrays([ids[x:y], *cols, pa.array(sets, pa.binary())], ["doc_id", "q1", "q2", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, q1 long, q2 long, shingles binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, q1 long, q2 long, shingles binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

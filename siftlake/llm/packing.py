@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import materialize, pieces
-from siftlake.llm.tokens import library_encoder
+from siftlake.llm.common import materialize, pieces, tidy
+from siftlake.llm.tokens import CACHE_ENTRIES, library_encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Pieces of one length that are ranked together: a length is dealt into as many buckets as its count asks for, so that
@@ -30,11 +30,11 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 RANKED = 50_000
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, keep_ids: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, keep_ids: bool = False, entries: int = CACHE_ENTRIES) -> DataFrame:
     """Rows ``PIECES`` (and ``ids`` binary, if kept): documents as ids with the end id, cut at multiples of ``size``."""
 
     def run(batches):
-        encode, end = library_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = library_encoder(tokenizer, entries), np.array([end_id], "<u4").tobytes()
         for batch in pieces(batches):
             cols: list[list] = [[], [], [], [], [], []]
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode(batch["text"].to_pylist()), strict=True):
@@ -52,7 +52,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, keep_ids
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    return docs.mapInArrow(run, PIECES + (", ids binary" if keep_ids else ""))
+    return docs.mapInArrow(tidy(run, encodes=True), PIECES + (", ids binary" if keep_ids else ""))
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -112,17 +112,21 @@ def layout(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.nd
     return dict(zip(("key", "first", "base", "times", "offset"), cols.T.copy(), strict=True))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048, keep_ids: bool = False) -> DataFrame:
-    """Pieces with their ``sequence_id`` and gapless ``offset`` in sequences of at most ``size`` ids."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048, keep_ids: bool = False, entries: int = CACHE_ENTRIES) -> DataFrame:
+    """Pieces with their ``sequence_id`` and gapless ``offset`` in sequences of at most ``size`` ids.
+
+    A worker keeps the ids of up to ``entries`` chunks: fewer take less of its memory and more time.
+    """
     spark = docs.sparkSession
     # Numbered before they are written, so that equal pieces of equal documents differ.
-    cut = cut_pieces(docs, tokenizer, end_id, size, keep_ids).withColumn("row", F.monotonically_increasing_id())
+    cut = cut_pieces(docs, tokenizer, end_id, size, keep_ids, entries).withColumn("row", F.monotonically_increasing_id())
     pieces = materialize(cut, "pieces")
     histogram = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``size`` rows
     places = spark.sparkContext.broadcast(layout(shortest_pack_first(histogram, size)))
 
-    dealt = [(length, -(-n // RANKED)) for length, n in histogram.items()]
-    dealt = spark.createDataFrame(dealt, "length long, buckets int")  # at most ``size`` rows
+    # An Arrow table of at most ``size`` rows: Python rows would take further workers, with a daemon of their own.
+    dealt = {"length": pa.array(list(histogram), pa.int64()), "buckets": pa.array([-(-n // RANKED) for n in histogram.values()], pa.int32())}
+    dealt = spark.createDataFrame(pa.table(dealt))
     pieces = pieces.join(F.broadcast(dealt), "length")
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("buckets")).cast("int")).drop("buckets")
     before = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))

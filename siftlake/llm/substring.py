@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import Tables, by_shuffle, pieces
+from siftlake.llm.common import Tables, by_shuffle, pieces, tidy
 from siftlake.llm.wordhash import RangeHash, U, Words, mix, pieces_of
 
 WINDOW = 50
 ROUNDS = 4
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 FAR = 1 << 40
 #: Low bits of a name that give way to its place, so that the leftmost of equal names wins, alike in all pieces.
 PLACE_BITS = U(28)
@@ -192,7 +192,7 @@ def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield rows_of(group)
 
     schema = f"doc_id long, th long, n_words long, q1 long, q2 long, full_sha string, stretches {STRETCH}"
-    return identified(docs).mapInArrow(run, schema)
+    return identified(docs).mapInArrow(tidy(run), schema)
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def window_rows(candidates: DataFrame, window: int = WINDOW) -> DataFrame:
                         [pa.array(w1), pa.array(w2), pa.array([doc_id] * n, pa.int64()), pa.array([th] * n, pa.int64())], ["w1", "w2", "doc_id", "th"]
                     )
 
-    return candidates.mapInArrow(run, "w1 long, w2 long, doc_id long, th long")
+    return candidates.mapInArrow(tidy(run), "w1 long, w2 long, doc_id long, th long")
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, t: Tables | None = None) -> tuple[DataFrame, DataFrame]:
@@ -317,7 +317,7 @@ def repeat_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "n_removed", "sha"])
 
     texts = identified(docs).join(by_shuffle(removed), ["doc_id", "th"]).select("doc_id", "th", "text", "ranges", "windows")
-    cut = texts.mapInArrow(run, "doc_id long, th long, n_removed long, sha string").distinct()
+    cut = texts.mapInArrow(tidy(run), "doc_id long, th long, n_removed long, sha string").distinct()
     out = base.select("doc_id", "th", "n_words", "full_sha").join(cut, ["doc_id", "th"], "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
@@ -347,7 +347,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    out = marked.select(*columns, "__gone").mapInArrow(run, schema)
+    out = marked.select(*columns, "__gone").mapInArrow(tidy(run), schema)
     return out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 

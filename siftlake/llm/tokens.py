@@ -173,8 +173,16 @@ class PlainEncoder:
 _encoders: dict[str, ChunkCache] = {}
 
 
-def library_encoder(path: str) -> ChunkCache:
-    """The cached encoder for a ``tokenizers`` file, one per worker process. Special tokens in a text are honoured."""
+def forget_encoders() -> None:
+    """Drop the encoders of this process with the chunks they keep."""
+    _encoders.clear()
+
+
+def library_encoder(path: str, entries: int = CACHE_ENTRIES) -> ChunkCache:
+    """The cached encoder for a ``tokenizers`` file, one per worker process, which keeps up to ``entries`` chunks.
+
+    Special tokens in a text are honoured.
+    """
     if path not in _encoders:
         from tokenizers import Tokenizer
 
@@ -189,4 +197,5 @@ def library_encoder(path: str) -> ChunkCache:
             lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(),
             max(tok.get_vocab(with_added_tokens=True).values(), default=0),
         )
+    _encoders[path].entries = entries
     return _encoders[path]
